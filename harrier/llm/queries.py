@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontam, ngram_join, rans, toxicity
+from . import curriculum, decontam, extract, hostrep, langid, media, ngram_join, rans, toxicity, warc
 from .common import documents, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,26 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, sf_dir))
 
 
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.assemble(warc.parse(warc.page_records(table(spark, sf_dir, "pages"))))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(documents(spark, sf_dir)).select("doc_id", "lang", "pred_family", "family_margin", "pred_lang", "lang_margin")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(media.page_pictures(table(spark, sf_dir, "pages")))
+
+
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrep.reputation(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.pack(documents(spark, sf_dir))
 
@@ -35,7 +55,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op8_token_blocks, op9_toxicity, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_ngram_jaccard_join, op3_warc_transactions, op4_language_id, op5_media_columns, op6_host_reputation, op7_html_extraction, op8_token_blocks, op9_toxicity, op10_mix_sources)}
 
 
 _WORDS = r"regexp_extract_all(lower(text), '[0-9a-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+')"
@@ -47,10 +67,10 @@ reps AS (SELECT w, min(doc_id) AS rep FROM ids GROUP BY w),
 grams AS (SELECT DISTINCT rep, CASE WHEN len(w) < {ngram_join.GRAM} THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + {ngram_join.GRAM - 1}], ' ') END AS g
           FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - {ngram_join.GRAM - 2}, 2))) AS i FROM reps)),
 sizes AS (SELECT rep, count(*) AS n FROM grams GROUP BY rep),
-both AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep)
+pairs AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep)
 SELECT rep AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM ids JOIN reps USING (w) WHERE doc_id > rep
 UNION ALL
-SELECT a, b, c::DOUBLE / (x.n + y.n - c) FROM both JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE c::DOUBLE / (x.n + y.n - c) >= {ngram_join.THRESHOLD}
+SELECT a, b, c::DOUBLE / (x.n + y.n - c) FROM pairs JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE c::DOUBLE / (x.n + y.n - c) >= {ngram_join.THRESHOLD}
 """
 
 MIX = rf"""
@@ -69,5 +89,29 @@ SELECT doc_id, text, lang, source, n_chars, epoch::INTEGER AS epoch, n_tokens, r
 """
 
 
+_RHO = "CASE WHEN sum((n - 1) * {m} * (1 - {m})) > 0 THEN least(greatest((sum(n * (k / n - {m}) * (k / n - {m})) - sum({m} * (1 - {m}))) / sum((n - 1) * {m} * (1 - {m})), %s), %s) ELSE %s END" % hostrep.RHO
+_TWO = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
+_IN = ", ".join(f"'{x}'" for x in hostrep.TWO_LABEL_SUFFIXES)
+
+HOST_REPUTATION = rf"""
+WITH p AS (SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '{hostrep.HOST}', 1)), '\.+$', ''), '') AS host FROM pages),
+q AS (SELECT *, CASE WHEN regexp_matches(host, '^\[|^[0-9.]+$') THEN host WHEN {_TWO} IN ({_IN}) THEN {_TWO} ELSE list_extract(string_split(host, '.'), -1) END AS suffix,
+      CASE WHEN regexp_matches(host, '^\[|^[0-9.]+$') THEN host WHEN {_TWO} IN ({_IN}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE {_TWO} END AS domain FROM p),
+placed AS (SELECT *, coalesce(suffix, '') AS hs, coalesce(domain, '') AS hd, coalesce(host, '') AS hh FROM q),
+outcome AS (SELECT doc_id, CASE WHEN max(quality) > 0 THEN 1 ELSE 0 END AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT hs, hd, hh, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k FROM placed JOIN outcome ON page_id = doc_id GROUP BY ALL),
+d AS (SELECT hs, hd, sum(n) AS n, sum(k) AS k FROM h GROUP BY ALL),
+s AS (SELECT hs, sum(n) AS n, sum(k) AS k FROM d GROUP BY ALL),
+o AS (SELECT CASE WHEN sum(n) > 0 THEN sum(k) / sum(n) ELSE 0.5 END AS m0 FROM s),
+s0 AS (SELECT s.*, m0 FROM s, o), s1 AS (SELECT hs, (k + r * m0) / (n + r) AS m1 FROM s0, (SELECT 1 / ({_RHO.format(m="m0")}) - 1 AS r FROM s0)),
+d0 AS (SELECT d.*, m1 FROM d JOIN s1 USING (hs)), d1 AS (SELECT hs, hd, (k + r * m1) / (n + r) AS m2 FROM d0, (SELECT 1 / ({_RHO.format(m="m1")}) - 1 AS r FROM d0)),
+h0 AS (SELECT h.*, m2 FROM h JOIN d1 USING (hs, hd)), strength AS (SELECT 1 / ({_RHO.format(m="m2")}) - 1 AS r FROM h0),
+j AS (SELECT placed.*, coalesce(h.n, 0) AS n, coalesce(h.k, 0) AS k, coalesce(m2, m1, m0) AS m, r FROM placed LEFT JOIN h USING (hs, hd, hh) LEFT JOIN d1 USING (hs, hd) LEFT JOIN s1 USING (hs), o, strength),
+ab AS (SELECT *, (k + r * m) / (n + r) AS mean, n + r AS t FROM j),
+res AS (SELECT *, round(greatest(mean - {hostrep.Z} * sqrt(mean * (1 - mean) / (t + 1)), 0), {hostrep.DIGITS}) AS bound FROM ab)
+SELECT page_id, url, host, domain, suffix, n::BIGINT AS host_labelled, k::BIGINT AS host_good, round(mean, {hostrep.DIGITS}) AS reputation, bound AS reputation_bound, bound >= {hostrep.KEEP_AT} AS keep FROM res
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_jaccard_join": NGRAM_JOIN, "op10_mix_sources": MIX}
+    return {"op2_ngram_jaccard_join": NGRAM_JOIN, "op6_host_reputation": HOST_REPUTATION, "op10_mix_sources": MIX}
