@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read back: cuts the lineage, and a lost executor costs nothing that was finished."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/harrier-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -43,11 +44,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Long texts: Arrow batches are bounded by bytes, unless the session says otherwise. Workers then need the same memory for any texts."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, "-1", "67108864", "67108864b", "64MB", "64m"):
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

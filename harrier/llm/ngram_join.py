@@ -26,16 +26,18 @@ from .tokens import U64
 GRAM = 3
 THRESHOLD = 0.5
 #: Grams that one fragment should hold; the number of fragments follows the corpus.
-FRAGMENT_GRAMS = 4_000_000
+FRAGMENT_GRAMS = 8_000_000
 #: Grams that a task packs before it sends them.
-PACK_GRAMS = 1_500_000
+PACK_GRAMS = 1_000_000
 #: Fragments in which a block's overlaps are counted separately.
-BLOCK_FRAGMENTS = 4
+BLOCK_FRAGMENTS = 2
 #: Low bits of a gram's hash that travel; the fragment supplies the rest.
 LOW_BITS = 40
 LOW_BYTES = LOW_BITS // 8
+#: Bits of a gram's place in its fragment, beside the low bits of its hash in one 64-bit number.
+PLACE_BITS = 64 - LOW_BITS
 #: Pairs held at once while a fragment counts.
-COUNT_PAIRS = 8_000_000
+COUNT_PAIRS = 2_000_000
 
 
 def hashed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -88,16 +90,18 @@ def _fragments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
         grams, row, frag = grams[order], row[order], frag[order]
         low = grams.view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
         cuts = np.flatnonzero(np.diff(frag)) + 1
-        out: dict[str, list] = {"bucket": [], "keys": [], "sizes": [], "counts": [], "grams": []}
+        out: dict[str, list] = {"bucket": [], "keys": [], "counts": [], "grams": [], "all_keys": [], "all_sizes": []}
         for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(frag)]):
             here = row[lo:hi]
             begin = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
-            own = here[begin]
             out["bucket"].append(int(frag[lo]))
-            out["keys"].append(keys[own].tobytes())
-            out["sizes"].append(sizes[own].tobytes())
-            out["counts"].append(np.diff(np.r_[begin, hi - lo]).astype(np.uint32).tobytes())
+            out["keys"].append(keys[here[begin]].tobytes())
+            out["counts"].append(_short(np.diff(np.r_[begin, hi - lo])))
             out["grams"].append(low[lo:hi].tobytes())
+            out["all_keys"].append(b"")
+            out["all_sizes"].append(b"")
+        one = int(keys[0] % U64(len(out["bucket"])))  # set sizes travel once, with any fragment
+        out["all_keys"][one], out["all_sizes"][one] = keys.tobytes(), sizes.tobytes()
         yield batch_of(bucket=pa.array(out.pop("bucket"), pa.int32()), **{k: binary(v) for k, v in out.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,12 +124,28 @@ def _fragments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
         if held:
             yield from pack(parts)
 
-    return docs.select("text").mapInArrow(run, "bucket int, keys binary, sizes binary, counts binary, grams binary")
+    return docs.select("text").mapInArrow(run, "bucket int, keys binary, counts binary, grams binary, all_keys binary, all_sizes binary")
 
 
-def _unpack(packed: np.ndarray, n: int) -> np.ndarray:
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :LOW_BYTES] = packed.reshape(n, LOW_BYTES)
+def _short(counts: np.ndarray) -> bytes:
+    """16-bit numbers, or 32-bit ones if a count needs them; see ``_counts``."""
+    return counts.astype("<u2" if counts.max(initial=0) < 65536 else "<u4").tobytes()
+
+
+def _counts(counts: pa.ChunkedArray, keys: pa.ChunkedArray) -> np.ndarray:
+    parts = [np.frombuffer(c.as_buffer(), "<u2" if len(c.as_buffer()) * 4 == len(k.as_buffer()) else "<u4") for c, k in zip(counts, keys)]
+    return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+
+
+def _unpack(packed: pa.ChunkedArray) -> np.ndarray:
+    """Grams from their low bytes."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in packed]
+    wide = np.zeros((sum(len(x) for x in parts) // LOW_BYTES, 8), np.uint8)
+    at = 0
+    for x in parts:
+        n = len(x) // LOW_BYTES
+        wide[at : at + n, :LOW_BYTES] = x.reshape(n, LOW_BYTES)
+        at += n
     return wide.reshape(-1).view(U64)
 
 
@@ -134,24 +154,36 @@ def _shared_grams(fragments: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fragment, rows in by_bucket(batches):
-            keys, sizes, counts = numbers(rows["keys"], "<u8")[0], numbers(rows["sizes"], "<u4")[0], numbers(rows["counts"], "<u4")[0]
-            grams = _unpack(numbers(rows["grams"], "u1")[0], int(counts.sum()))
+            all_keys, all_sizes = numbers(rows["all_keys"], "<u8")[0], numbers(rows["all_sizes"], "<u4")[0]
+            home = ((all_keys >> U64(20)) % U64(buckets)).astype(np.int32)
+            for k in np.unique(home):
+                yield _packed(k, -1, all_keys=all_keys[home == k].tobytes(), all_sizes=all_sizes[home == k].tobytes())
+            keys, counts, grams = numbers(rows["keys"], "<u8")[0], _counts(rows["counts"], rows["keys"]), _unpack(rows["grams"])
+            del rows
             _, once = np.unique(keys, return_index=True)
             if len(once) < len(keys):  # copies that different tasks read
                 take = np.zeros(len(keys), bool)
                 take[once] = True
                 grams = grams[np.repeat(take, counts)]
-                keys, sizes, counts = keys[take], sizes[take], counts[take]
-            order = np.argsort(grams)
-            ordered = grams[order]
-            begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-            frequency = np.empty(len(grams), np.int64)
+                keys, counts = keys[take], counts[take]
+            if len(grams) < 1 << PLACE_BITS:  # the gram and its place fit in 64 bits: sort them in place
+                grams_at = grams << U64(PLACE_BITS)
+                grams_at |= np.arange(len(grams), dtype=U64)
+                grams_at.sort()
+                order = (grams_at & U64((1 << PLACE_BITS) - 1)).astype(np.int32)
+                grams_at >>= U64(PLACE_BITS)
+            else:
+                order = np.argsort(grams)
+                grams_at = grams[order]
+            begin = np.flatnonzero(np.r_[True, grams_at[1:] != grams_at[:-1]]).astype(np.int32)
+            del grams_at
             run_lengths = np.diff(np.r_[begin, len(grams)])
-            frequency[order] = np.repeat(run_lengths, run_lengths)
-            del order, ordered
+            frequency = np.empty(len(grams), np.uint16)
+            frequency[order] = np.repeat(np.minimum(run_lengths, 65535).astype(np.uint16), run_lengths)
+            del order, begin, run_lengths
             shared = frequency > 1
-            row = np.repeat(np.arange(len(keys)), counts)[shared]
-            grams, frequency = grams[shared], np.minimum(frequency[shared], 65535).astype(np.uint16)
+            row = np.repeat(np.arange(len(keys), dtype=np.int32), counts)[shared]
+            grams, frequency = grams[shared], frequency[shared]
             bucket = (keys >> U64(20)) % U64(buckets)
             order = np.argsort(bucket[row].astype(np.uint16 if buckets < 65536 else np.uint32), kind="stable")
             row, grams, frequency = row[order], grams[order], frequency[order]
@@ -161,13 +193,16 @@ def _shared_grams(fragments: DataFrame, buckets: int) -> DataFrame:
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]) if len(bucket) else ():
                 here = row[lo:hi]
                 begin = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
-                own = here[begin]
-                yield batch_of(
-                    bucket=pa.array([bucket[lo]], pa.int32()), fragment=pa.array([fragment], pa.int32()), keys=binary([keys[own].tobytes()]), sizes=binary([sizes[own].tobytes()]),
-                    counts=binary([np.diff(np.r_[begin, hi - lo]).astype(np.uint32).tobytes()]), grams=binary([low[lo:hi].tobytes()]), frequency=binary([frequency[lo:hi].tobytes()]),
-                )
+                yield _packed(bucket[lo], fragment, keys=keys[here[begin]].tobytes(), counts=_short(np.diff(np.r_[begin, hi - lo])), grams=low[lo:hi].tobytes(), frequency=frequency[lo:hi].tobytes())
+
+    return fragments.mapInArrow(run, "bucket int, fragment int, " + ", ".join(f"{x} binary" for x in _PARTS))
+
+
+_PARTS = ("keys", "counts", "grams", "frequency", "all_keys", "all_sizes")
 
-    return fragments.mapInArrow(run, "bucket int, fragment int, keys binary, sizes binary, counts binary, grams binary, frequency binary")
+
+def _packed(bucket: int, fragment: int, **parts: bytes) -> pa.RecordBatch:
+    return batch_of(bucket=pa.array([bucket], pa.int32()), fragment=pa.array([fragment], pa.int32()), **{x: binary([parts.get(x, b"")]) for x in _PARTS})
 
 
 def _least_overlap(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -180,13 +215,15 @@ def _survivors(shared: DataFrame, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
             keys, per_row = numbers(rows["keys"], "<u8")
-            sizes, counts = numbers(rows["sizes"], "<u4")[0], numbers(rows["counts"], "<u4")[0].astype(np.int64)
-            nodes, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-            sizes, have = sizes[at].astype(np.int64), np.bincount(inverse, weights=counts).astype(np.int64)
+            counts = _counts(rows["counts"], rows["keys"])
+            all_keys, at = np.unique(numbers(rows["all_keys"], "<u8")[0], return_index=True)
+            all_sizes = numbers(rows["all_sizes"], "<u4")[0][at].astype(np.int64)
+            nodes, inverse = np.unique(keys, return_inverse=True)
+            sizes, have = all_sizes[np.searchsorted(all_keys, nodes)], np.bincount(inverse, weights=counts, minlength=len(nodes)).astype(np.int64)
             least = _least_overlap(sizes, threshold)
             alive = have >= least
-            fragment = np.repeat(rows["fragment"].to_numpy().astype(U64), per_row)
-            grams = _unpack(numbers(rows["grams"], "u1")[0], int(counts.sum())) | np.repeat(fragment << U64(LOW_BITS), counts)
+            fragment = np.repeat(np.maximum(rows["fragment"].to_numpy(), 0).astype(U64), per_row)
+            grams = _unpack(rows["grams"]) | np.repeat(fragment << U64(LOW_BITS), counts)
             frequency = numbers(rows["frequency"], "<u2")[0]
             node = np.repeat(inverse, counts)
             take = alive[node]
@@ -237,16 +274,22 @@ def _prefix_edges(survivors: DataFrame, partitions: int) -> DataFrame:
     return exchange(packed, partitions).mapInArrow(link, "a long, b long")
 
 
-def _count(key: np.ndarray, size: np.ndarray, block: np.ndarray, gram: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps of all pairs of one block that share a gram here and whose sizes allow the threshold."""
+def _count(key: np.ndarray, size: np.ndarray, have: np.ndarray, block: np.ndarray, gram: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Partial overlaps of all pairs of one block that share a gram here.
+
+    Left out are pairs that cannot reach the threshold: by their sizes, or even if all of the shared grams (``have``) that the
+    smaller one has in other fragments were common.
+    """
     order = np.lexsort((key, gram, block))
-    key, size, block, gram = key[order], size[order], block[order], gram[order]
+    key, size, have, block, gram = key[order], size[order], have[order], block[order], gram[order]
     begin = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
     length = np.diff(np.r_[begin, len(gram)])
     begin, length = begin[length > 1], length[length > 1]
     nodes, node = np.unique(key, return_inverse=True)
-    sizes = np.zeros(len(nodes), np.int64)
+    sizes, elsewhere = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
     sizes[node] = size
+    elsewhere[node] = have
+    elsewhere -= np.bincount(node, minlength=len(nodes))
     # each occurrence is paired with those after it in its list; many short steps are taken together
     left = np.repeat(begin, length) + (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
     after = np.repeat(begin + length, length) - left - 1
@@ -270,6 +313,8 @@ def _count(key: np.ndarray, size: np.ndarray, block: np.ndarray, gram: np.ndarra
         lo = hi
     if sums is not None and len(sums[0]):
         a, b = sums[0] // len(nodes), sums[0] % len(nodes)
+        enough = sums[1] + np.minimum(elsewhere[a], elsewhere[b]) >= threshold / (1 + threshold) * (sizes[a] + sizes[b]) - 1e-6
+        a, b, sums = a[enough], b[enough], (sums[0], sums[1][enough])
         yield batch_of(a=nodes[a], b=nodes[b], sizes=sizes[a] + sizes[b], overlap=sums[1].astype(np.int64))
 
 
@@ -294,18 +339,18 @@ def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions
                 begin = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
                 own = here[begin]
                 yield batch_of(
-                    bucket=pa.array([bucket[lo]], pa.int32()), keys=binary([keys[own].astype("<i8").tobytes()]), sizes=binary([size[own].astype("<i4").tobytes()]), blocks=binary([block[own].astype("<i8").tobytes()]),
+                    bucket=pa.array([bucket[lo]], pa.int32()), keys=binary([keys[own].astype("<i8").tobytes()]), sizes=binary([size[own].astype("<i4").tobytes()]), have=binary([counts[own].astype("<i4").tobytes()]), blocks=binary([block[own].astype("<i8").tobytes()]),
                     counts=binary([np.diff(np.r_[begin, hi - lo]).astype("<u4").tobytes()]), grams=binary([grams[lo:hi].tobytes()]),
                 )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
             counts = numbers(rows["counts"], "<u4")[0]
-            key, size, block = (np.repeat(numbers(rows[x], t)[0], counts) for x, t in (("keys", "<i8"), ("sizes", "<i4"), ("blocks", "<i8")))
-            yield from _count(key, size, block, numbers(rows["grams"], "<u8")[0], threshold)
+            key, size, have, block = (np.repeat(numbers(rows[x], t)[0], counts) for x, t in (("keys", "<i8"), ("sizes", "<i4"), ("have", "<i4"), ("blocks", "<i8")))
+            yield from _count(key, size, have, block, numbers(rows["grams"], "<u8")[0], threshold)
 
     placed = survivors.join(blocks.withColumnRenamed("node", "key"), "key").select("key", "size", "component", "grams")
-    partial = exchange(placed.mapInArrow(split, "bucket int, keys binary, sizes binary, blocks binary, counts binary, grams binary"), by_block * BLOCK_FRAGMENTS).mapInArrow(count, "a long, b long, sizes long, overlap long")
+    partial = exchange(placed.mapInArrow(split, "bucket int, keys binary, sizes binary, have binary, blocks binary, counts binary, grams binary"), by_block * BLOCK_FRAGMENTS).mapInArrow(count, "a long, b long, sizes long, overlap long")
     total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("sizes").alias("sizes"))
     return total.select("a", "b", (F.col("overlap") / (F.col("sizes") - F.col("overlap"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
