@@ -29,15 +29,16 @@ THRESHOLD = 0.5
 FRAGMENT_GRAMS = 8_000_000
 #: Grams that a task packs before it sends them.
 PACK_GRAMS = 1_000_000
-#: Fragments in which a block's overlaps are counted separately.
+#: Fragments in which a block's overlaps are counted separately, at least, and grams in a fragment of a larger block.
 BLOCK_FRAGMENTS = 2
+BLOCK_GRAMS = 4_000_000
 #: Low bits of a gram's hash that travel; the fragment supplies the rest.
 LOW_BITS = 40
 LOW_BYTES = LOW_BITS // 8
 #: Bits of a gram's place in its fragment, beside the low bits of its hash in one 64-bit number.
 PLACE_BITS = 64 - LOW_BITS
 #: Pairs held at once while a fragment counts.
-COUNT_PAIRS = 2_000_000
+COUNT_PAIRS = 1_000_000
 
 
 def hashed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -274,69 +275,65 @@ def _prefix_edges(survivors: DataFrame, partitions: int) -> DataFrame:
     return exchange(packed, partitions).mapInArrow(link, "a long, b long")
 
 
-def _count(key: np.ndarray, size: np.ndarray, have: np.ndarray, block: np.ndarray, gram: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Partial overlaps of all pairs of one block that share a gram here.
+def _count(node: np.ndarray, sizes: np.ndarray, have: np.ndarray, gram: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, overlap) of all pairs of nodes that share a gram here; ``gram`` tells blocks apart, ``node`` ascends.
 
     Left out are pairs that cannot reach the threshold: by their sizes, or even if all of the shared grams (``have``) that the
-    smaller one has in other fragments were common.
+    smaller one has in other fragments were common. Pairs are counted by ranges of their lower node, so that no sum is ever
+    open and only ``COUNT_PAIRS`` of them, or those of one node, are held.
     """
-    order = np.lexsort((key, gram, block))
-    key, size, have, block, gram = key[order], size[order], have[order], block[order], gram[order]
-    begin = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])])
+    order = np.argsort(gram, kind="stable")
+    node, gram = node[order], gram[order]
+    del order
+    begin = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
     length = np.diff(np.r_[begin, len(gram)])
-    begin, length = begin[length > 1], length[length > 1]
-    nodes, node = np.unique(key, return_inverse=True)
-    sizes, elsewhere = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
-    sizes[node] = size
-    elsewhere[node] = have
-    elsewhere -= np.bincount(node, minlength=len(nodes))
-    # each occurrence is paired with those after it in its list; many short steps are taken together
-    left = np.repeat(begin, length) + (np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length))
-    after = np.repeat(begin + length, length) - left - 1
-    left, after = left[after > 0], after[after > 0]
-    sums: tuple[np.ndarray, np.ndarray] | None = None
-    ends = np.cumsum(after)
-    lo = 0
+    del gram
+    elsewhere = have - np.bincount(node, minlength=len(sizes))
+    # the occurrences that others of the same list follow, by node
+    after = np.repeat((begin + length).astype(np.int32), length) - np.arange(len(node), dtype=np.int32) - 1
+    left = np.flatnonzero(after).astype(np.int32)
+    left = left[np.argsort(node[left], kind="stable")]
+    after = after[left]
+    ends = np.cumsum(after, dtype=np.int64)
+    last = np.flatnonzero(np.r_[node[left][1:] != node[left][:-1], True]) if len(left) else np.zeros(0, np.int64)
+    lo = k = 0
     while lo < len(left):
-        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + COUNT_PAIRS)))
+        k = max(int(np.searchsorted(ends[last], (ends[lo - 1] if lo else 0) + COUNT_PAIRS, "right")), k + 1)
+        hi = int(last[k - 1]) + 1
         n = after[lo:hi]
         a = np.repeat(left[lo:hi], n)
-        b = a + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        pair = node[a].astype(np.int64) * len(nodes) + node[b]
-        fits = np.minimum(sizes[node[a]], sizes[node[b]]) >= threshold * np.maximum(sizes[node[a]], sizes[node[b]]) - 1e-9
-        found, times = np.unique(pair[fits], return_counts=True)
-        if sums is None:
-            sums = found, times
-        else:
-            both, at = np.unique(np.r_[sums[0], found], return_inverse=True)
-            sums = both, np.bincount(at, weights=np.r_[sums[1], times]).astype(np.int64)
+        b = a + 1 + (np.arange(len(a), dtype=np.int64) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)).astype(np.int32)
+        a, b = node[a], node[b]
+        fits = np.minimum(sizes[a], sizes[b]) >= threshold * np.maximum(sizes[a], sizes[b]) - 1e-9
+        pair, times = np.unique(a[fits].astype(np.int64) * len(sizes) + b[fits], return_counts=True)
+        del a, b, fits
+        a, b = pair // len(sizes), pair % len(sizes)
+        enough = times + np.minimum(elsewhere[a], elsewhere[b]) >= threshold / (1 + threshold) * (sizes[a] + sizes[b]) - 1e-6
+        if enough.any():
+            yield a[enough], b[enough], times[enough]
         lo = hi
-    if sums is not None and len(sums[0]):
-        a, b = sums[0] // len(nodes), sums[0] % len(nodes)
-        enough = sums[1] + np.minimum(elsewhere[a], elsewhere[b]) >= threshold / (1 + threshold) * (sizes[a] + sizes[b]) - 1e-6
-        a, b, sums = a[enough], b[enough], (sums[0], sums[1][enough])
-        yield batch_of(a=nodes[a], b=nodes[b], sizes=sizes[a] + sizes[b], overlap=sums[1].astype(np.int64))
 
 
 def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions: int) -> DataFrame:
     """(a, b, jaccard) of the keys of all pairs at the threshold."""
-    by_block = max(1, partitions // BLOCK_FRAGMENTS)
+    buckets = max(BLOCK_FRAGMENTS, partitions)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, counts = numbers(batch.column("grams"), "<u8")
             if not len(grams):
                 continue
-            fragment = (tokens.mix(grams.copy()) % U64(BLOCK_FRAGMENTS)).astype(np.int64)
             row = np.repeat(np.arange(len(counts)), counts)
-            home = (tokens.mix(batch.column("component").to_numpy().astype(np.int64).view(U64).copy()) % U64(by_block)).astype(np.int64)
-            order = np.lexsort((row, fragment, home[row]))
-            bucket, row, grams = (home[row] * BLOCK_FRAGMENTS + fragment)[order], row[order], grams[order]
-            keys, size, block = (batch.column(x).to_numpy() for x in ("key", "size", "component"))
+            keys, size, block, parts = (batch.column(x).to_numpy() for x in ("key", "size", "component", "parts"))
+            fragment = tokens.mix(grams.copy()) % parts.astype(U64)[row]
+            home = tokens.mix(block.astype(np.int64).view(U64).copy())[row]
+            bucket = ((home + fragment) % U64(buckets)).astype(np.int64)
+            order = np.lexsort((fragment, row, bucket))
+            bucket, row, grams, fragment = bucket[order], row[order], grams[order], fragment[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]):
                 here = row[lo:hi]
-                begin = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+                begin = np.flatnonzero(np.r_[True, (here[1:] != here[:-1]) | (fragment[lo + 1 : hi] != fragment[lo : hi - 1])])
                 own = here[begin]
                 yield batch_of(
                     bucket=pa.array([bucket[lo]], pa.int32()), keys=binary([keys[own].astype("<i8").tobytes()]), sizes=binary([size[own].astype("<i4").tobytes()]), have=binary([counts[own].astype("<i4").tobytes()]), blocks=binary([block[own].astype("<i8").tobytes()]),
@@ -346,11 +343,21 @@ def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
             counts = numbers(rows["counts"], "<u4")[0]
-            key, size, have, block = (np.repeat(numbers(rows[x], t)[0], counts) for x, t in (("keys", "<i8"), ("sizes", "<i4"), ("have", "<i4"), ("blocks", "<i8")))
-            yield from _count(key, size, have, block, numbers(rows["grams"], "<u8")[0], threshold)
+            nodes, node = np.unique(numbers(rows["keys"], "<i8")[0], return_inverse=True)
+            sizes, have = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
+            sizes[node], have[node] = numbers(rows["sizes"], "<i4")[0], numbers(rows["have"], "<i4")[0]
+            # a gram in two blocks is two grams
+            grams = tokens.mix(numbers(rows["grams"], "<u8")[0] ^ np.repeat(tokens.mix(numbers(rows["blocks"], "<i8")[0].view(U64).copy()), counts))
+            del rows
+            node = np.repeat(node.astype(np.int32), counts)
+            order = np.argsort(node, kind="stable")
+            for a, b, overlap in _count(node[order], sizes, have, grams[order], threshold):
+                yield batch_of(a=nodes[a], b=nodes[b], sizes=sizes[a] + sizes[b], overlap=overlap)
 
     placed = survivors.join(blocks.withColumnRenamed("node", "key"), "key").select("key", "size", "component", "grams")
-    partial = exchange(placed.mapInArrow(split, "bucket int, keys binary, sizes binary, have binary, blocks binary, counts binary, grams binary"), by_block * BLOCK_FRAGMENTS).mapInArrow(count, "a long, b long, sizes long, overlap long")
+    large = saved(placed.groupBy("component").agg((F.sum(F.octet_length("grams")) / (8 * BLOCK_GRAMS)).alias("parts")).where(F.col("parts") > BLOCK_FRAGMENTS).select("component", F.ceil("parts").cast("int").alias("parts")))
+    placed = placed.join(large, "component", "left").select("key", "size", "component", F.coalesce("parts", F.lit(BLOCK_FRAGMENTS)).alias("parts"), "grams")
+    partial = exchange(placed.mapInArrow(split, "bucket int, keys binary, sizes binary, have binary, blocks binary, counts binary, grams binary"), buckets).mapInArrow(count, "a long, b long, sizes long, overlap long")
     total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("sizes").alias("sizes"))
     return total.select("a", "b", (F.col("overlap") / (F.col("sizes") - F.col("overlap"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
