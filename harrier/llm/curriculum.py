@@ -6,7 +6,9 @@ at cumulative token c of its source is placed at the time when the demand reache
 position. Sources go round again (epochs) until their demand is met.
 
 Running token counts are taken in two levels: sums per (source, hash bucket) first, then inside each bucket, so no task ever
-holds a whole source.
+holds a whole source. They are taken on rows without text. By the schedule tokens are spread evenly over positions, so equal
+stretches of positions make equal partitions; the narrow rows give the hash at which each source enters each stretch, and the
+texts move once, straight to their stretch.
 """
 
 from __future__ import annotations
@@ -23,7 +25,10 @@ TEMPERATURE = 0.85
 #: Knots of the schedule, and how much the weight of the later half of the sources (by name) grows towards the end.
 KNOTS = (0.0, 0.5, 1.0)
 RAMP = 0.3
-BUCKET_ROWS = 2000
+#: Documents whose running counts one window holds, about; such a row has no text.
+BUCKET_ROWS = 100_000
+#: Tokens in a partition of the result, about.
+PARTITION_TOKENS = 8_000_000
 SPACES = r"[^ \t\n\r\f]+"
 
 
@@ -32,9 +37,14 @@ def token_count(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(SPACES)), F.lit(0)).cast("long")
 
 
-def source_tokens(docs: DataFrame) -> dict[str | None, int]:
-    """Tokens of each source, of all documents; one row per source goes to the driver."""
-    return {r.source: r.n for r in docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(token_count()).alias("n")).collect()}
+def _hash(seed: str) -> F.Column:
+    return F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def _sums(docs: DataFrame, seed: str) -> DataFrame:
+    """(h_source, h_hash, h_rows, h_sum): documents and tokens by source and hash, that is about by document."""
+    narrow = docs.select(F.col("source").cast("string").alias("h_source"), _hash(seed).alias("h_hash"), token_count().alias("h_n"))
+    return narrow.groupBy("h_source", "h_hash").agg(F.count(F.lit(1)).alias("h_rows"), F.sum("h_n").alias("h_sum"))
 
 
 def default_schedule(supply: Mapping[str | None, int], temperature: float = TEMPERATURE, knots: Sequence[float] = KNOTS, ramp: float = RAMP) -> dict[str | None, list[tuple[float, float]]]:
@@ -92,48 +102,60 @@ def mix(
 
     The null source is a source like any other. Null and empty texts have no tokens and share the position of the document
     after them. Sources without weight, or without any tokens, are left out. Null doc_ids hash alike; ties in the hash, and
-    repeated rows, are ordered by doc_id and text and all placed. An empty table gives an empty result.
+    repeated rows, are ordered by doc_id and text and all placed; they stay in the partition of the first of them. An empty table gives an empty result.
     """
     names = ["epoch", "n_tokens", "position"]
     columns = [c for c in docs.columns if not report or c.lower() not in names]
-    supply = {s: n for s, n in source_tokens(docs).items() if n > 0}
+    spark = docs.sparkSession
+    groups = saved(_sums(docs, seed))
+    # one row per source goes to the driver
+    totals = groups.groupBy("h_source").agg(F.sum("h_sum").alias("n"), F.sum("h_rows").alias("rows")).collect()
+    supply = {r.h_source: r.n for r in totals if r.n > 0}
     plan = segments(schedule if schedule is not None else default_schedule(supply))
     plan = {s: p for s, p in plan.items() if s in supply and _integral(p) > 0}
     if budget is None:
         budget = -int(-max((supply[s] / _integral(p) for s, p in plan.items()), default=0) // 1)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-budget // PARTITION_TOKENS), 1)
     rows = [(s, int(supply[s]), int(-(-budget * _integral(p) // supply[s])), float(budget), [dict(zip(("t0", "t1", "a", "b", "done"), x)) for x in p]) for s, p in plan.items()]
-    spark = docs.sparkSession
     # one row per source
-    plans = spark.createDataFrame(rows, "h_source string, h_supply long, h_epochs long, h_budget double, h_parts array<struct<t0:double,t1:double,a:double,b:double,done:double>>")
+    plans = F.broadcast(spark.createDataFrame(rows, "h_p string, h_supply long, h_epochs long, h_budget double, h_parts array<struct<t0:double,t1:double,a:double,b:double,done:double>>"))
+
+    def positioned(df: DataFrame, tokens_before: str) -> DataFrame:
+        """Adds h_position to rows with source and epoch; those beyond the demand of their source are left out."""
+        df = df.withColumn("h_x", (F.col("h_epoch") * F.col("h_supply") + F.col(tokens_before)) / F.col("h_budget"))
+        # the stretch in which the demand reaches x, then the root of done + a u + (b - a) u^2 / (2 (t1 - t0)) = x
+        reached = F.filter("h_parts", lambda p: (p.done <= F.col("h_x")) & (p.done + (p.a + p.b) / 2 * (p.t1 - p.t0) > F.col("h_x")))
+        df = df.withColumn("h_part", F.try_element_at(reached, F.lit(-1))).where("h_part IS NOT NULL")
+        p, rest = F.col("h_part"), F.col("h_x") - F.col("h_part.done")
+        slope = (p.b - p.a) / (p.t1 - p.t0)
+        root = 2 * rest / (p.a + F.sqrt(F.greatest(p.a * p.a + 2 * slope * rest, F.lit(0.0))))
+        return df.withColumn("h_position", F.when(rest <= 0, p.t0).otherwise(p.t0 + root))
 
-    own = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("h_row"), F.col("source").cast("string").alias("h_source"), token_count().alias("h_n"),
-        F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h_hash"), F.col("doc_id").alias("h_id"), F.col("text").alias("h_text"),
-    )
-    small = docs.select(F.col("source").cast("string").alias("h_source"), token_count().alias("h_n"), F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))).alias("h_hash"))
     digits = 1
-    count = docs.count()
-    while count / 16**digits > bucket_rows and digits < 12:
+    while sum(r.rows for r in totals) / 16**digits > bucket_rows and digits < 12:
         digits += 1
     bucket = F.substring("h_hash", 1, digits)
-    sums = small.groupBy("h_source", bucket.alias("h_bucket")).agg(F.sum("h_n").alias("h_sum"))
     before = Window.partitionBy("h_source").orderBy("h_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = saved(sums.withColumn("h_start", F.coalesce(F.sum("h_sum").over(before), F.lit(0))).drop("h_sum"))
-
-    inside = Window.partitionBy("h_source", "h_bucket").orderBy("h_hash", "h_id", "h_text").rowsBetween(Window.unboundedPreceding, -1)
-    running = own.drop("h_text").withColumn("h_text", F.col("h_row.text")) if "text" in columns else own
-    running = running.withColumn("h_bucket", bucket).withColumn("h_in", F.coalesce(F.sum("h_n").over(inside), F.lit(0))).drop("h_text")
-    placed = running.join(starts.withColumnRenamed("h_source", "h_s").withColumnRenamed("h_bucket", "h_b"), F.col("h_source").eqNullSafe(F.col("h_s")) & (F.col("h_bucket") == F.col("h_b")))
-    placed = placed.join(plans.withColumnRenamed("h_source", "h_p"), F.col("h_source").eqNullSafe(F.col("h_p")))
-    placed = placed.withColumn("h_epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("h_epochs") - 1, F.lit(0)).cast("int"))))
-    placed = placed.withColumn("h_x", (F.col("h_epoch") * F.col("h_supply") + F.col("h_start") + F.col("h_in")) / F.col("h_budget"))
-    # the stretch in which the demand reaches x, then the root of done + a u + (b - a) u^2 / (2 (t1 - t0)) = x
-    reached = F.filter("h_parts", lambda p: (p.done <= F.col("h_x")) & (p.done + (p.a + p.b) / 2 * (p.t1 - p.t0) > F.col("h_x")))
-    placed = placed.withColumn("h_part", F.try_element_at(reached, F.lit(-1))).where("h_part IS NOT NULL")
-    p, rest = F.col("h_part"), F.col("h_x") - F.col("h_part.done")
-    slope = (p.b - p.a) / (p.t1 - p.t0)
-    root = 2 * rest / (p.a + F.sqrt(F.greatest(p.a * p.a + 2 * slope * rest, F.lit(0.0))))
-    placed = placed.withColumn("h_position", F.when(rest <= 0, p.t0).otherwise(p.t0 + root))
-    ordered = placed.repartitionByRange("h_position", "h_hash", "h_epoch").sortWithinPartitions("h_position", "h_hash", "h_epoch")
-    out = [F.col("h_row").getField(c).alias(c) for c in columns]
+    starts = groups.groupBy("h_source", bucket.alias("h_bucket")).agg(F.sum("h_sum").alias("h_sum")).withColumn("h_start", F.coalesce(F.sum("h_sum").over(before), F.lit(0)))
+    inside = Window.partitionBy("h_source", "h_bucket").orderBy("h_hash").rowsBetween(Window.unboundedPreceding, -1)
+    running = groups.withColumn("h_bucket", bucket).withColumn("h_in", F.coalesce(F.sum("h_sum").over(inside), F.lit(0))).drop("h_sum")
+    running = running.join(starts.select(F.col("h_source").alias("h_s"), F.col("h_bucket").alias("h_b"), "h_start"), F.col("h_source").eqNullSafe(F.col("h_s")) & (F.col("h_bucket") == F.col("h_b")))
+    running = running.join(plans, F.col("h_source").eqNullSafe(F.col("h_p"))).withColumn("h_before", F.col("h_start") + F.col("h_in"))
+    running = running.withColumn("h_epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("h_epochs") - 1, F.lit(0)).cast("int"))))
+    running = positioned(running, "h_before").withColumn("h_to", F.least(F.floor(F.col("h_position") * partitions), F.lit(partitions - 1)).cast("int"))
+    # where each source, epoch and bucket enters each partition: the first hash and the tokens before it
+    cuts = running.groupBy("h_source", "h_bucket", "h_epoch", "h_to").agg(F.min(F.struct("h_hash", "h_before")).alias("h_cut"))
+    cuts = saved(cuts.groupBy(F.col("h_source").alias("h_s"), F.col("h_bucket").alias("h_b"), "h_epoch").agg(F.array_sort(F.collect_list(F.struct(F.col("h_cut.h_hash").alias("hash"), F.col("h_cut.h_before").alias("before"), F.col("h_to").alias("to")))).alias("h_cuts")))
+
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], *[F.col(f"`{c}`").alias(f"h_{c}") for c in ("doc_id", "text") if c not in columns], F.col("source").cast("string").alias("h_source"), token_count().alias("h_n"), _hash(seed).alias("h_hash"))
+    doc_id, text = (f"c{columns.index(c)}" if c in columns else f"h_{c}" for c in ("doc_id", "text"))
+    placed = own.join(cuts, F.col("h_source").eqNullSafe(F.col("h_s")) & (bucket == F.col("h_b"))).withColumn("h_cut", F.element_at(F.filter("h_cuts", lambda c: c.hash <= F.col("h_hash")), -1)).where("h_cut IS NOT NULL")
+    kept = [f"c{k}" for k in range(len(columns))] + [f"h_{c}" for c in ("doc_id", "text") if c not in columns]
+    placed = placed.select(*kept, "h_source", "h_n", F.unhex("h_hash").alias("h_hash"), "h_epoch", bucket.alias("h_bucket"), F.col("h_cut.to").alias("h_to"), F.col("h_cut.before").alias("h_before"))
+    moved = placed.repartitionById(partitions, F.col("h_to"))
+    # all rows of a hash go where its first token is, so the sum is whole
+    since = Window.partitionBy("h_to", "h_source", "h_epoch", "h_bucket").orderBy("h_hash", doc_id, text).rowsBetween(Window.unboundedPreceding, -1)
+    moved = moved.withColumn("h_tokens", F.col("h_before") + F.coalesce(F.sum("h_n").over(since), F.lit(0))).join(plans, F.col("h_source").eqNullSafe(F.col("h_p")))
+    ordered = positioned(moved, "h_tokens").sortWithinPartitions("h_position", "h_hash", "h_epoch")
+    out = [F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]
     return ordered.select(*out, *([F.col("h_epoch").alias("epoch"), F.col("h_n").alias("n_tokens"), F.col("h_position").alias("position")] if report else []))
