@@ -138,18 +138,33 @@ def _counts(counts: pa.ChunkedArray, keys: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
 
 
-def _unpack(packed: pa.ChunkedArray) -> np.ndarray:
-    """Grams from their low bytes."""
+def _unpack(packed: pa.ChunkedArray | pa.Array, width: int = LOW_BYTES) -> np.ndarray:
+    """Grams from their low ``width`` bytes."""
     parts = [np.frombuffer(x.as_buffer(), np.uint8) for x in packed]
-    wide = np.zeros((sum(len(x) for x in parts) // LOW_BYTES, 8), np.uint8)
+    wide = np.zeros((sum(len(x) for x in parts) // width, 8), np.uint8)
     at = 0
     for x in parts:
-        n = len(x) // LOW_BYTES
-        wide[at : at + n, :LOW_BYTES] = x.reshape(n, LOW_BYTES)
+        n = len(x) // width
+        wide[at : at + n, :width] = x.reshape(n, width)
         at += n
     return wide.reshape(-1).view(U64)
 
 
+def _low(grams: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each gram; the inverse of ``_unpack``."""
+    return np.ascontiguousarray(np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :width])
+
+
+def _width(fragments: int) -> int:
+    """Bytes of a gram with its fragment's number."""
+    return LOW_BYTES + -(-max(fragments - 1, 1).bit_length() // 8)
+
+
+def _rarity(frequency: np.ndarray) -> np.ndarray:
+    """Document frequencies on a logarithmic scale of one byte: the global order needs to be the same everywhere, not fine."""
+    return np.minimum(np.rint(8 * np.log2(frequency)), 255).astype(np.uint8)
+
+
 def _shared_grams(fragments: DataFrame, buckets: int) -> DataFrame:
     """Of each fragment, the grams of two documents at least with their document frequency, packed by bucket of the document's key."""
 
@@ -179,17 +194,17 @@ def _shared_grams(fragments: DataFrame, buckets: int) -> DataFrame:
             begin = np.flatnonzero(np.r_[True, grams_at[1:] != grams_at[:-1]]).astype(np.int32)
             del grams_at
             run_lengths = np.diff(np.r_[begin, len(grams)])
-            frequency = np.empty(len(grams), np.uint16)
-            frequency[order] = np.repeat(np.minimum(run_lengths, 65535).astype(np.uint16), run_lengths)
+            frequency = np.empty(len(grams), np.uint8)
+            frequency[order] = np.repeat(_rarity(run_lengths), run_lengths)
             del order, begin, run_lengths
-            shared = frequency > 1
+            shared = frequency > 0
             row = np.repeat(np.arange(len(keys), dtype=np.int32), counts)[shared]
             grams, frequency = grams[shared], frequency[shared]
             bucket = (keys >> U64(20)) % U64(buckets)
             order = np.argsort(bucket[row].astype(np.uint16 if buckets < 65536 else np.uint32), kind="stable")
             row, grams, frequency = row[order], grams[order], frequency[order]
             bucket = bucket[row].astype(np.int32)
-            low = grams.view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
+            low = _low(grams, LOW_BYTES)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]) if len(bucket) else ():
                 here = row[lo:hi]
@@ -210,8 +225,8 @@ def _least_overlap(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.maximum(np.ceil(threshold * size - 1e-9), 1).astype(np.int64)
 
 
-def _survivors(shared: DataFrame, threshold: float) -> DataFrame:
-    """Documents that share enough grams to have a partner: (key, size, prefix, grams), the grams rarest first; the first ``prefix`` of them are the part that a partner must meet."""
+def _survivors(shared: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Documents that share enough grams to have a partner: (key, size, prefix, have, grams), the grams (``have`` of them) rarest first; the first ``prefix`` of them are the part that a partner must meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
@@ -225,29 +240,29 @@ def _survivors(shared: DataFrame, threshold: float) -> DataFrame:
             alive = have >= least
             fragment = np.repeat(np.maximum(rows["fragment"].to_numpy(), 0).astype(U64), per_row)
             grams = _unpack(rows["grams"]) | np.repeat(fragment << U64(LOW_BITS), counts)
-            frequency = numbers(rows["frequency"], "<u2")[0]
+            frequency = numbers(rows["frequency"], np.uint8)[0]
             node = np.repeat(inverse, counts)
             take = alive[node]
             node, grams, frequency = node[take], grams[take], frequency[take]
             order = np.argsort(grams)
             order = order[np.argsort(frequency[order], kind="stable")]
             order = order[np.argsort(node[order].astype(np.uint16) if len(nodes) < 65536 else node[order], kind="stable")]
-            grams = grams[order].view(np.uint8)
-            ends = np.cumsum(have[alive]) * 8
-            begins = ends - have[alive] * 8
+            grams = _low(grams[order], width).reshape(-1)
+            ends = np.cumsum(have[alive]) * width
+            begins = ends - have[alive] * width
             yield batch_of(
-                key=nodes[alive].view(np.int64), size=sizes[alive].astype(np.int32), prefix=(have - least + 1)[alive].astype(np.int32), grams=pa.array([grams[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())
+                key=nodes[alive].view(np.int64), size=sizes[alive].astype(np.int32), prefix=(have - least + 1)[alive].astype(np.int32), have=have[alive].astype(np.int32), grams=pa.array([grams[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())
             )
 
-    return shared.mapInArrow(run, "key long, size int, prefix int, grams binary")
+    return shared.mapInArrow(run, "key long, size int, prefix int, have int, grams binary")
 
 
-def _prefix_edges(survivors: DataFrame, partitions: int) -> DataFrame:
+def _prefix_edges(survivors: DataFrame, partitions: int, width: int) -> DataFrame:
     """Edges (a, b) from each prefix gram's least document to its others: whoever shares a prefix gram is connected."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, counts = numbers(batch.column("grams"), "<u8")
+            grams, counts = _unpack(batch.column("grams"), width), batch.column("have").to_numpy()
             if not len(grams):
                 continue
             place = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -258,11 +273,11 @@ def _prefix_edges(survivors: DataFrame, partitions: int) -> DataFrame:
             bucket, keys, grams = bucket[order], keys[order], grams[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             spans = list(zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]))
-            yield batch_of(bucket=bucket[[a for a, _ in spans]], keys=binary(keys[a:b].tobytes() for a, b in spans), grams=binary(grams[a:b].tobytes() for a, b in spans))
+            yield batch_of(bucket=bucket[[a for a, _ in spans]], keys=binary(keys[a:b].tobytes() for a, b in spans), grams=binary(_low(grams[a:b], width).tobytes() for a, b in spans))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
-            keys, grams = numbers(rows["keys"], "<i8")[0], numbers(rows["grams"], "<u8")[0]
+            keys, grams = numbers(rows["keys"], "<i8")[0], _unpack(rows["grams"], width)
             order = np.lexsort((keys, grams))
             keys, grams = keys[order], grams[order]
             begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
@@ -314,13 +329,13 @@ def _count(node: np.ndarray, sizes: np.ndarray, have: np.ndarray, gram: np.ndarr
         lo = hi
 
 
-def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions: int) -> DataFrame:
+def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions: int, width: int) -> DataFrame:
     """(a, b, jaccard) of the keys of all pairs at the threshold."""
     buckets = max(BLOCK_FRAGMENTS, partitions)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, counts = numbers(batch.column("grams"), "<u8")
+            grams, counts = _unpack(batch.column("grams"), width), batch.column("have").to_numpy()
             if not len(grams):
                 continue
             row = np.repeat(np.arange(len(counts)), counts)
@@ -337,7 +352,7 @@ def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions
                 own = here[begin]
                 yield batch_of(
                     bucket=pa.array([bucket[lo]], pa.int32()), keys=binary([keys[own].astype("<i8").tobytes()]), sizes=binary([size[own].astype("<i4").tobytes()]), have=binary([counts[own].astype("<i4").tobytes()]), blocks=binary([block[own].astype("<i8").tobytes()]),
-                    counts=binary([np.diff(np.r_[begin, hi - lo]).astype("<u4").tobytes()]), grams=binary([grams[lo:hi].tobytes()]),
+                    counts=binary([np.diff(np.r_[begin, hi - lo]).astype("<u4").tobytes()]), grams=binary([_low(grams[lo:hi], width).tobytes()]),
                 )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,16 +362,18 @@ def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions
             sizes, have = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
             sizes[node], have[node] = numbers(rows["sizes"], "<i4")[0], numbers(rows["have"], "<i4")[0]
             # a gram in two blocks is two grams
-            grams = tokens.mix(numbers(rows["grams"], "<u8")[0] ^ np.repeat(tokens.mix(numbers(rows["blocks"], "<i8")[0].view(U64).copy()), counts))
+            grams = tokens.mix(_unpack(rows["grams"], width) ^ np.repeat(tokens.mix(numbers(rows["blocks"], "<i8")[0].view(U64).copy()), counts))
             del rows
             node = np.repeat(node.astype(np.int32), counts)
             order = np.argsort(node, kind="stable")
             for a, b, overlap in _count(node[order], sizes, have, grams[order], threshold):
                 yield batch_of(a=nodes[a], b=nodes[b], sizes=sizes[a] + sizes[b], overlap=overlap)
 
-    placed = survivors.join(blocks.withColumnRenamed("node", "key"), "key").select("key", "size", "component", "grams")
-    large = saved(placed.groupBy("component").agg((F.sum(F.octet_length("grams")) / (8 * BLOCK_GRAMS)).alias("parts")).where(F.col("parts") > BLOCK_FRAGMENTS).select("component", F.ceil("parts").cast("int").alias("parts")))
-    placed = placed.join(large, "component", "left").select("key", "size", "component", F.coalesce("parts", F.lit(BLOCK_FRAGMENTS)).alias("parts"), "grams")
+    home = blocks.withColumnRenamed("node", "key")
+    large = saved(survivors.select("key", "have").join(home, "key").groupBy("component").agg((F.sum("have") / BLOCK_GRAMS).alias("parts")).where(F.col("parts") > BLOCK_FRAGMENTS).select("component", F.ceil("parts").cast("int").alias("parts")))
+    home = saved(home.join(large, "component", "left").select("key", "component", F.coalesce("parts", F.lit(BLOCK_FRAGMENTS)).alias("parts")))
+    release(survivors.sparkSession)
+    placed = survivors.join(home, "key").select("key", "size", "have", "component", "parts", "grams")
     partial = exchange(placed.mapInArrow(split, "bucket int, keys binary, sizes binary, have binary, blocks binary, counts binary, grams binary"), buckets).mapInArrow(count, "a long, b long, sizes long, overlap long")
     total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("sizes").alias("sizes"))
     return total.select("a", "b", (F.col("overlap") / (F.col("sizes") - F.col("overlap"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
@@ -372,16 +389,16 @@ def key_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> t
     keys = saved(document_keys(docs, n))
     total = keys.agg(F.sum("grams")).first()[0] or 0
     fragments = min(max(math.ceil(total / FRAGMENT_GRAMS), spark.sparkContext.defaultParallelism, 1), 1 << 22)
-    partitions = _partitions(docs, fragments)
+    partitions, width = _partitions(docs, fragments), _width(fragments)
 
     def gather() -> DataFrame:
         shared = _shared_grams(exchange(_fragments(docs, n, fragments), partitions), fragments)
-        return saved(_survivors(exchange(shared, partitions), threshold))
+        return saved(_survivors(exchange(shared, partitions), threshold, width))
 
     survivors = gather()
     release(spark)
-    blocks = components(_prefix_edges(survivors, partitions))
-    return keys.select("doc_id", "key"), _pairs(survivors, blocks, threshold, partitions)
+    blocks = components(_prefix_edges(survivors, partitions, width))
+    return keys.select("doc_id", "key"), _pairs(survivors, blocks, threshold, partitions, width)
 
 
 def ngram_join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
