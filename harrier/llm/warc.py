@@ -167,7 +167,7 @@ def assemble(records: DataFrame, links: int = MAX_LINKS) -> DataFrame:
     rank = F.struct(F.when(response.isNotNull(), 0).otherwise(1).alias("k"), F.col("record_id"), F.col("target_uri"), F.col("date"))
     grouped = linked.groupBy("capture_id").agg(
         F.min(rank).alias("first"), F.min_by(request, F.when(kind == "request", F.col("record_id"))).alias("request"), F.min_by(response, F.when(response.isNotNull(), F.col("record_id"))).alias("response"),
-        F.array_sort(F.collect_list(metadata), lambda x, y: F.when(x.record_id < y.record_id, -1).when(x.record_id > y.record_id, 1).otherwise(0)).alias("metadata"), F.countDistinct("record_id").cast("int").alias("n_records"),
+        F.array_sort(F.collect_list(metadata), lambda x, y: F.when(x.record_id < y.record_id, -1).when(x.record_id > y.record_id, 1).otherwise(0)).alias("metadata"), F.size(F.collect_set("record_id")).alias("n_records"),
     )
     once = F.filter("metadata", lambda x, i: (i == 0) | (x.record_id != F.try_element_at("metadata", i).record_id))
     return grouped.withColumn("metadata", once).select("capture_id", F.col("first.target_uri").alias("target_uri"), F.col("first.date").alias("date"), "request", "response", "metadata", "n_records")
