@@ -151,7 +151,9 @@ def assemble(records: DataFrame, links: int = MAX_LINKS) -> DataFrame:
     of its least record. An empty table gives an empty result; other columns are ignored.
     """
     own = records.where("record_id IS NOT NULL AND record_type IN ('request', 'response', 'metadata', 'revisit', 'resource')")
-    linked = own.join(transactions(own, links), "record_id")
+    # a response is its own capture: only the others, that have little payload, look theirs up
+    main = F.col("record_type").isin("response", "revisit", "resource")
+    linked = own.where(main).withColumn("capture_id", F.col("record_id")).unionByName(own.where(~main).join(transactions(own, links), "record_id"))
     kind = F.col("record_type")
     request = F.when(kind == "request", F.struct("record_id", F.regexp_extract("http_head", r"^([A-Z]+) ", 1).alias("method"), F.col("http_head").alias("head"), "payload"))
     response = F.when(
