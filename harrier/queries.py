@@ -2,19 +2,184 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import allow, text
+from .functions.catalogue import EVIDENCE_POINTS, Rule, rules
+from .functions.regex import example, to_java
+from .operators import detectors, iocs
+from .operators.rules import scan
+
+SECTIONS = ("recipe", "hook", "source", "binaries")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _counted(found: DataFrame) -> DataFrame:
+    return found.groupBy("id", "category", "class", "cwe", "points").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rule_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(scan(_table(spark, sf_dir, "documents"), ["doc_id"], "text", SECTIONS))
+
+
+def rule_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(scan(_table(spark, sf_dir, "pages"), ["page_id"], "html", SECTIONS))
+
+
+def rule_scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(scan(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", SECTIONS))
+
+
+def _fixtures() -> list[tuple[int, str]]:
+    """A text for each rule that it matches, on the second line; addresses are routable ones."""
+    return [(k, "first line\n" + re.sub(r"\b\d(\.\d){3}", "45.67.89.123", example(r.pattern)) + "\nlast line") for k, r in enumerate(rules())]
+
+
+def rule_scan_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(scan(spark.createDataFrame(_fixtures(), "fixture int, content string"), ["fixture"], "content", SECTIONS, hook=True))
+
+
+def comment_lines_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.size(F.filter(text.lines(F.col("html")), text.is_comment)).cast("long").alias("comments"))
+
+
+def entropy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(text.byte_entropy(F.col("text")), 6).alias("bits"))
+
+
+def ipv4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(to_java(iocs.IPV4)), F.lit(0)))).alias("ip"))
+    return found.select("doc_id", "ip", allow.ipv4_number(F.col("ip")).alias("number"), allow.version_like(F.col("ip")).alias("version_like"))
+
+
+def benign_hosts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", text.host_of(F.col("url")).alias("host"), allow.benign_url(F.col("url")).alias("benign"))
+
+
+def iocs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iocs.extract(_table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"))
+
+
+def long_hashes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n\t]"))).alias("word"))
+    return words.select("doc_id", iocs.normal_hash(F.col("word")).alias("hash")).where("hash IS NOT NULL").distinct()
+
+
+def rewritten_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return turns.where("before IS NOT NULL AND text IS NOT NULL").select("conv_id", "turn", detectors.changed_percent(F.col("text"), F.col("before")).cast("long").alias("percent"))
+
+
+def typosquat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names made of the parts' keys around popular packages' names, judged as package names."""
+    popular = F.array(*map(F.lit, detectors.POPULAR))
+    base = F.element_at(popular, (F.col("p_partkey") % len(detectors.POPULAR) + 1).cast("int"))
+    kind = F.col("p_partkey") % 4
+    named = _table(spark, sf_dir, "part").select("p_partkey", F.when(kind == 0, base).when(kind == 1, F.concat(base, F.lit("x"))).when(kind == 2, F.concat(base, F.lit("-"), F.col("p_partkey").cast("string"))).otherwise("own").alias("name"))
+    near = F.exists(popular, lambda p: F.levenshtein("name", p) == 1)
+    inside = F.exists(popular, lambda p: (F.octet_length("name") > F.octet_length(p)) & (F.startswith("name", p) | F.endswith("name", p)))
+    return named.select("p_partkey", "name", near.alias("one_edit"), inside.alias("embeds"))
+
+
+def maintainer_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with three purchases in the 48 hours before the last event, counted as a maintainer's new packages are."""
+    events = _table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts").alias("now"))
+    recent = events.crossJoin(F.broadcast(now)).where(F.col("ts") >= F.col("now") - F.expr("INTERVAL 48 HOURS"))  # one row
+    return recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("recent")).where("recent >= 3")
+
+
+def finding_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(spark.createDataFrame(_fixtures(), "fixture int, content string"), ["fixture"], "content", SECTIONS, hook=True)
+    return found.rollup("category", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return rule_scan_documents(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    own = (
+        rule_scan_documents, rule_scan_pages, rule_scan_conversations, rule_scan_fixtures, comment_lines_pages, entropy_documents, ipv4_documents, benign_hosts_pages, iocs_documents, long_hashes_documents,
+        rewritten_turns, typosquat_parts, maintainer_batches, finding_rollup,
+    )
+    return {f.__name__: f for f in own}
+
+
+def _q(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_TRIM = r"'^[\s\x0B\x{85}\p{Z}]+|[\s\x0B\x{85}\p{Z}]+$'"
+
+
+def _trimmed(x: str) -> str:
+    return f"regexp_replace({x}, {_TRIM}, '', 'g')"
+
+
+def _comment(x: str) -> str:
+    s = _trimmed(x)
+    rest = _trimmed(f"substr({s}, 3)")
+    return f"(starts_with({s}, '#') OR starts_with({s}, '//') OR starts_with({s}, '/*') OR starts_with({s}, '<!--') OR starts_with({s}, '-- ') OR {s} = '*/' OR (starts_with({s}, '* ') AND NOT starts_with({rest}, ')')))"
+
+
+def _rule_sql(rule: Rule, table: str, column: str, hook: bool) -> str:
+    from .functions.catalogue import SECTIONS as CATEGORIES
+    from .functions.catalogue import cwe
+
+    if rule.hook_only and not hook and rule.points < EVIDENCE_POINTS:
+        return ""
+    kind = "evidence" if rule.evidence and (hook or not rule.hook_only) else "context"
+    pattern = _q(rule.pattern)
+    recipe = f" AND regexp_matches({column}, {_q(text.RECIPE)})" if rule.recipe_only and not hook else ""
+    found = f"list_filter(string_split({column}, chr(10)), lambda x: regexp_matches(x, {pattern}))"
+    return (
+        f"SELECT {_q(rule.id)} AS id, {_q(CATEGORIES[rule.section])} AS category, {_q(kind)} AS class, {_q(cwe(rule.id))} AS cwe, {rule.points}::INTEGER AS points, count(*) AS n FROM {table} "
+        f"WHERE regexp_matches({column}, {pattern}){recipe} AND (len({found}) = 0 OR len(list_filter({found}, lambda x: NOT {_comment('x')})) > 0) HAVING count(*) > 0"
+    )
+
+
+def _scan_sql(table: str, column: str, hook: bool = False) -> str:
+    each = " UNION ALL ".join(s for r in rules() if (s := _rule_sql(r, table, column, hook)))
+    return f"SELECT id, category, class, cwe, points, sum(n)::BIGINT AS n FROM ({each}) GROUP BY ALL"
+
+
+def _fixture_sql() -> str:
+    rows = ", ".join(f"({k}, {' || chr(10) || '.join(_q(x) for x in content.split(chr(10)))})" for k, content in _fixtures())
+    return f"WITH fixtures AS MATERIALIZED (SELECT * FROM (VALUES {rows}) AS t(fixture, content)) "
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    octets = ", ".join(f"string_split(ip, '.')[{k}]::BIGINT" for k in range(1, 5))
+    popular = ", ".join(map(_q, detectors.POPULAR))
+    hosts = ", ".join(map(_q, allow._hosts()))
+    ends = " OR ".join(f"ends_with(host, '.{x}')" for x in (*allow._RESERVED_ENDS, *allow._BENIGN_ENDS))
+    docs = ", ".join(map(_q, allow._DOCS))
+    lines = lambda c: f"list_distinct(list_filter(list_transform(string_split({c}, chr(10)), lambda x: {_trimmed('x')}), lambda x: x <> ''))"
+    fixtures = _fixture_sql()
+    return {
+        "rule_scan_documents": _scan_sql("documents", "text"),
+        "rule_scan_pages": _scan_sql("pages", "html"),
+        "rule_scan_conversations": _scan_sql("conversations", "text"),
+        "rule_scan_fixtures": fixtures + _scan_sql("fixtures", "content", hook=True),
+        "finding_rollup": f"{fixtures}SELECT category, class, sum(n)::BIGINT AS n, sum(n * points)::BIGINT AS points FROM ({_scan_sql('fixtures', 'content', hook=True)}) GROUP BY ROLLUP (category, class)",
+        "comment_lines_pages": f"SELECT page_id, len(list_filter(string_split(html, chr(10)), lambda x: {_comment('x')})) AS comments FROM pages",
+        "entropy_documents": "WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents), e AS (SELECT doc_id, entropy(x) AS bits FROM b GROUP BY doc_id) SELECT doc_id, round(CASE WHEN text = '' THEN 0 ELSE bits END, 6) AS bits FROM documents LEFT JOIN e USING (doc_id)",
+        "ipv4_documents": f"WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, {_q(iocs.IPV4)}))) AS ip FROM documents), o AS (SELECT doc_id, ip, [{octets}] AS o, regexp_matches(ip, {_q(allow.QUAD)}) AS good FROM f) "
+        "SELECT doc_id, ip, CASE WHEN good THEN o[1] * 16777216 + o[2] * 65536 + o[3] * 256 + o[4] END AS number, good AND (starts_with(ip, '2.5.29.') OR starts_with(ip, '2.5.4.') OR (o[2] = 0 AND o[3] = 0 AND o[4] = 0) OR list_max(o) <= 31) AS version_like FROM o",
+        "benign_hosts_pages": "WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^.*?://', ''), '^.*@', ''), '[/?#:].*$', '') AS host FROM pages), l AS (SELECT *, string_split(host, '.') AS l FROM h) "
+        f"SELECT page_id, host, host = '' OR (len(l) >= 3 AND l[1] IN ({docs})) OR len(list_intersect(list_transform(range(1, len(l) + 1), lambda k: array_to_string(l[k:], '.')), [{hosts}])) > 0 OR {ends} AS benign FROM l",
+        "long_hashes_documents": "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(text, '[ \\n\\t]'))) AS word FROM documents), h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(word)), '^sha256:', ''), '^sha512:', ''), '^[''\"]+|[''\"]+$', '', 'g') AS hash FROM w) SELECT DISTINCT doc_id, hash FROM h WHERE regexp_matches(hash, '^[0-9a-f]{32,}$')",
+        "rewritten_turns": f"WITH t AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), s AS (SELECT conv_id, turn, {lines('text')} AS a, {lines('before')} AS b FROM t WHERE before IS NOT NULL AND text IS NOT NULL) "
+        "SELECT conv_id, turn, CASE WHEN len(b) > 0 THEN trunc((greatest(len(a), len(b)) - len(list_intersect(a, b)))::DOUBLE / greatest(len(a), len(b)) * 100)::BIGINT END AS percent FROM s",
+        "typosquat_parts": f"WITH p AS (SELECT p_partkey, [{popular}][p_partkey % {len(detectors.POPULAR)} + 1] AS base FROM part), n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN base WHEN 1 THEN base || 'x' WHEN 2 THEN base || '-' || p_partkey::VARCHAR ELSE 'own' END AS name FROM p) "
+        f"SELECT p_partkey, name, len(list_filter([{popular}], lambda x: levenshtein(name, x) = 1)) > 0 AS one_edit, len(list_filter([{popular}], lambda x: strlen(name) > strlen(x) AND (starts_with(name, x) OR ends_with(name, x)))) > 0 AS embeds FROM n",
+        "maintainer_batches": "SELECT user_id, count(*) AS recent FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR GROUP BY user_id HAVING count(*) >= 3",
+    }
