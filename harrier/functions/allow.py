@@ -9,6 +9,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from .text import host_of, norm_host, trim
 
@@ -54,7 +55,7 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(F.rlike(v, F.lit(QUAD)), sum((parts[k].cast("long") * (1 << (8 * (3 - k))) for k in range(1, 4)), parts[0].cast("long") * (1 << 24)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _ipv6_reserved(values: pd.Series) -> pd.Series:
     """Whether an IPv6 address is reserved, once per distinct text; null if it is no IPv6 address."""
     nets = [ipaddress.ip_network(x) for x in _NETS6]
