@@ -153,7 +153,7 @@ def homograph() -> Column:
 def array_entries(content: Column, name: str | Column) -> Column:
     """How many entries a shell array has; 0 if there is none or it is computed."""
     name = F.lit(name) if isinstance(name, str) else name
-    body = F.regexp_extract(content, F.concat(F.lit(r"(?dms)^\Q"), name, F.lit(r"\E=\((.*?)\)")), 1)
+    body = F.call_function("regexp_extract", content, F.concat(F.lit(r"(?dms)^\Q"), name, F.lit(r"\E=\((.*?)\)")), F.lit(1))
     return F.when(_has(body, r"\$\(|`|\$\{[^}]*\[[@*]\]"), 0).otherwise(F.size(_all(body, "['\"][^'\"]*['\"]|[^\\s'\")()]+")))
 
 
