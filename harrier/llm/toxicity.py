@@ -58,7 +58,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
     """Ridge-penalised logistic regression by Newton's method; with one class only, its smoothed rate."""
     n, d = x.shape
-    rate = (y.sum() + 0.5) / (n + 1)
+    rate = (y.sum() + 0.5) / (n + 2)  # under a half without any rows
     w, b = np.zeros(d), float(np.log(rate / (1 - rate)))
     if not 0 < y.sum() < n:
         return w, b
