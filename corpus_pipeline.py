@@ -2,6 +2,7 @@
 test items are cut out, sources are mixed along their schedule, and token ids are packed.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame that is written as Parquet and read as the next one's documents.
+Rows come back from Parquet in any order, so mixing adds their position and packing goes by it.
 """
 
 from __future__ import annotations
@@ -25,11 +26,11 @@ def remove_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return curriculum.mix(docs, report=False)
+    return curriculum.mix(docs)
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return rans.pack(docs)
+    return rans.pack(docs, order=curriculum.training_order())
 
 
 STAGES = [

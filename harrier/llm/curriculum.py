@@ -41,6 +41,11 @@ def _hash(seed: str) -> F.Column:
     return F.md5(F.concat_ws("/", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
 
 
+def training_order(seed: str = "mix") -> list[F.Column]:
+    """What the rows of ``mix`` (with ``report``) are in the order of: their order on files is lost when those are read."""
+    return [F.col("position"), _hash(seed), F.col("epoch")]
+
+
 def _sums(docs: DataFrame, seed: str) -> DataFrame:
     """(h_source, h_hash, h_rows, h_sum): documents and tokens by source and hash, that is about by document."""
     narrow = docs.select(F.col("source").cast("string").alias("h_source"), _hash(seed).alias("h_hash"), token_count().alias("h_n"))

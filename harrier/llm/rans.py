@@ -11,13 +11,14 @@ from __future__ import annotations
 import base64
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import tokens
 from .common import batch_of, binary, saved
@@ -277,19 +278,25 @@ def decode(states: bytes, words: bytes, table: Table, tokens_: int, symbols: np.
 # --- operator
 
 
-def tokenized(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, tokens): token ids as packed little-endian integers of 16 bits, or 32 if the vocabulary needs them."""
+def tokenized(docs: DataFrame, path: str = VOCABULARY, order: Sequence[F.Column] = ()) -> DataFrame:
+    """(doc_id, tokens, o0, o1, ..., place): token ids as packed little-endian integers of 16 bits, or 32 if the vocabulary needs them; the values of ``order``; place ascends with the order of the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         kind = np.uint16 if own.size <= 65536 else np.uint32
+        context = TaskContext.get()
+        place = (context.partitionId() if context else 0) << 40
         for batch in batches:
             ids, counts = own.encode(batch.column("text"))
             raw = memoryview(ids.astype(kind).tobytes())
             ends = np.cumsum(counts) * kind().itemsize
-            yield batch_of(doc_id=batch.column("doc_id"), tokens=pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary()))
+            coded = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+            yield batch_of(doc_id=batch.column("doc_id"), tokens=coded, **{x: batch.column(x) for x in keys}, place=np.arange(place, place + batch.num_rows))
+            place += batch.num_rows
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, tokens binary")
+    keys = [f"o{k}" for k in range(len(order))]
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(x) for c, x in zip(order, keys)])
+    return own.mapInArrow(run, StructType([*StructType.fromDDL("doc_id long, tokens binary").fields, *own.schema.fields[2:], *StructType.fromDDL("place long").fields]))
 
 
 def _kind(path: str) -> str:
@@ -373,12 +380,14 @@ def blocks(coded: DataFrame, frequencies: np.ndarray, kind: str, block_tokens: i
     return coded.mapInArrow(run, BLOCK_SCHEMA)
 
 
-def pack(docs: DataFrame, path: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS, lanes: int = LANES, checkpoint: int = CHECKPOINT_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, path: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS, lanes: int = LANES, checkpoint: int = CHECKPOINT_TOKENS, order: Sequence[F.Column] = ()) -> DataFrame:
     """Blocks of rANS-coded tokens of all documents, and one row (block_id -1) with the shared frequency table.
 
     A block names the parts of documents it holds: doc_ids, the first token of each part in its document (doc_starts) and its
     number of tokens (doc_tokens). The table's row has the frequencies of all symbols as 32-bit numbers in ``words``.
-    ``unpack`` is the inverse. Documents keep the order of the input; the high half of block_id is the partition.
+    ``unpack`` is the inverse. Blocks in order of block_id have the documents in the order of the columns ``order``, and of the
+    input where those tie or are not given; the high half of block_id is the partition. The order of a table that was read from
+    several files is the one Spark happens to read them in.
 
     Null and empty texts have no tokens and stand in a block with 0 of them; a null doc_id stays null; repeated rows are
     packed as often as they come; a document longer than a block goes on in the next. An empty table gives the table's row
@@ -389,15 +398,17 @@ def pack(docs: DataFrame, path: str = VOCABULARY, block_tokens: int = BLOCK_TOKE
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     kind = _kind(path)
-    coded = saved(tokenized(docs, path))
+    coded = saved(tokenized(docs, path, order))
     # one row per entry of the vocabulary, whatever the corpus
     rows = token_counts(coded, kind).collect()
     counts = np.zeros(max((r.token for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r.token] = r.n
     frequencies = scaled(counts)
+    # files come back in another order than they were written in
+    ordered = coded.orderBy(*[f"o{k}" for k in range(len(order))], "place").select("doc_id", "tokens")
     head = [(-1, [], [], [], int(counts.sum()), None, bytearray(frequencies.astype("<u4").tobytes()), [], zlib.crc32(frequencies.astype("<u4").tobytes()), None)]
-    return docs.sparkSession.createDataFrame(head, BLOCK_SCHEMA).unionByName(blocks(coded, frequencies, kind, block_tokens, lanes, checkpoint))
+    return docs.sparkSession.createDataFrame(head, BLOCK_SCHEMA).unionByName(blocks(ordered, frequencies, kind, block_tokens, lanes, checkpoint))
 
 
 def unpack(packed: DataFrame, lanes: int = LANES) -> DataFrame:

@@ -151,3 +151,19 @@ def test_mix_order_and_counts(spark):
     assert {(r.doc_id, r.epoch, round(r.position, 9)) for r in got} == {(r.doc_id, r.epoch, round(r.position, 9)) for r in again}
     assert curriculum.mix(table.limit(0)).count() == 0
     assert curriculum.mix(table.unionByName(table)).count() >= 400
+
+
+def test_blocks_keep_the_training_order(spark):
+    import corpus_pipeline
+
+    rows = [(k, ("w " if k % 2 else "".join(random.Random(k).choices("bcdfghklmnpqrstz", k=60)) + " ") * (k % 9 + 1), "en", "yx"[k % 2], 0) for k in range(400)] + [(900, None, "en", "x", 0)]
+    table = spark.createDataFrame(rows, DOCS)
+    want = [r.doc_id for r in curriculum.mix(table).collect()]
+    packed = corpus_pipeline.pack_tokens(spark, saved(corpus_pipeline.mix_sources(spark, table, "")), "").where("block_id >= 0").collect()
+    assert [d for r in sorted(packed, key=lambda r: r.block_id) for d, start in zip(r.doc_ids, r.doc_starts) if start == 0] == want
+
+
+def test_blocks_keep_the_order_of_the_input(spark):
+    table = spark.range(400, numPartitions=4).selectExpr("id AS doc_id", "repeat(sha2(cast(id AS string), 256), cast(1 + id / 40 AS int)) AS text")
+    packed = rans.pack(table).where("block_id >= 0").collect()
+    assert [d for r in sorted(packed, key=lambda r: r.block_id) for d, start in zip(r.doc_ids, r.doc_starts) if start == 0] == list(range(400))
