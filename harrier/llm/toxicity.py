@@ -27,7 +27,7 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
     "demeaning": ("stupid", "worthless", "pathetic", "disgusting", "useless", "ugly", "dumm", "inútil", "dégoûtant"),
     "dehumanising": ("trash", "scum", "vermin", "filth", "garbage", "abschaum", "basura", "ordure"),
 }
-#: Labelled rows of each class that the chain is fitted on at most: a bounded sample by hash of doc_id.
+#: Labelled rows of each class that the chain is fitted on at most: a bounded sample by hash of doc_id, weighted to the classes' true ratio.
 TRAIN_ROWS_PER_CLASS = 5000
 FEATURES = 256
 FOLDS = 5
@@ -55,10 +55,10 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression by Newton's method; with one class only, its smoothed rate."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
+    """Ridge-penalised logistic regression of weighted rows by Newton's method; with one class only, its smoothed rate."""
     n, d = x.shape
-    rate = (y.sum() + 0.5) / (n + 2)  # under a half without any rows
+    rate = (weight @ y + 0.5) / (weight.sum() + 2)  # under a half without any rows
     w, b = np.zeros(d), float(np.log(rate / (1 - rate)))
     if not 0 < y.sum() < n:
         return w, b
@@ -68,12 +68,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) ->
 
     def loss(v: np.ndarray) -> float:
         m = z @ v
-        return float(np.logaddexp(0, m).sum() - y @ m + (penalty * v * v).sum() / 2)
+        return float(weight @ (np.logaddexp(0, m) - y * m) + (penalty * v * v).sum() / 2)
 
     now = loss(beta)
     for _ in range(steps):
         p = _sigmoid(z @ beta)
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (y - p) - penalty * beta)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (weight * (y - p)) - penalty * beta)
         while (after := loss(beta + step)) > now and np.abs(step).max() > 1e-9:
             step /= 2
         beta = beta + step
@@ -106,9 +106,14 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield lo, hi, tokens.word_hashes(own, starts, ends), first
 
 
+def outcomes(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic): one row per labelled document."""
+    return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """(doc_id, toxic, words): the distinct word hashes of at most ``rows`` labelled documents of each class, chosen by hash."""
-    own = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    own = outcomes(labels)
     rank = F.xxhash64(F.lit("toxicity"), "doc_id")
     picked = own.where("toxic = 1").orderBy(rank, "doc_id").limit(rows).unionByName(own.where("toxic = 0").orderBy(rank, "doc_id").limit(rows))
 
@@ -125,7 +130,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER_CLASS, features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fits the chain on the driver, on ``training_sample``. Words are kept that mark toxic documents most (likelihood ratio)."""
+    """Fits the chain on the driver, on ``training_sample``. Words are kept that mark toxic documents most (likelihood ratio).
+
+    A class that the sample cuts is weighted by the inverse of its sampling rate, so probabilities do not depend on the cut.
+    """
     sample = training_sample(docs, labels, rows_per_class).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     names = [*CATEGORIES, "toxic"]
     y = sample["toxic"].to_numpy().astype(float)
@@ -133,6 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER
     counts = np.array([len(x) for x in per_row], np.int64)
     flat = np.concatenate(per_row) if per_row else np.zeros(0, U64)
     positive, negative = (np.unique(flat[np.repeat(y == k, counts)], return_counts=True) for k in (1, 0))
+    # two rows: all labelled documents of each class
+    total = {r.toxic: r["count"] for r in outcomes(labels).groupBy("toxic").count().collect()}
+    over = [max(total.get(k, 0) / max(rows_per_class, 1), 1.0) for k in (0, 1)]
+    weight = np.where(y == 1, over[1], over[0])
     n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
     other = np.zeros(len(positive[0]))
     if len(negative[0]):
@@ -151,9 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER
     for k, target in enumerate(targets):
         z = np.column_stack([x, honest[:, :k]])
         for f in range(folds):
-            w, c = _logistic(z[fold != f], target[fold != f])
+            w, c = _logistic(z[fold != f], target[fold != f], weight[fold != f])
             honest[fold == f, k] = _sigmoid(z[fold == f] @ w + c)
-        w, c = _logistic(z, target)
+        w, c = _logistic(z, target, weight)
         chain.weights.append(w[: len(vocabulary)])
         chain.chained.append(w[len(vocabulary) :])
         chain.intercepts.append(c)

@@ -167,3 +167,11 @@ def test_blocks_keep_the_order_of_the_input(spark):
     table = spark.range(400, numPartitions=4).selectExpr("id AS doc_id", "repeat(sha2(cast(id AS string), 256), cast(1 + id / 40 AS int)) AS text")
     packed = rans.pack(table).where("block_id >= 0").collect()
     assert [d for r in sorted(packed, key=lambda r: r.block_id) for d, start in zip(r.doc_ids, r.doc_starts) if start == 0] == list(range(400))
+
+
+def test_toxicity_does_not_depend_on_the_cut_of_a_class(spark):
+    # the word is in all toxic documents (10 %) and in 30 % of the clean ones: a document with it is toxic at 0.27
+    rows = [(k, "river house" + (" mark" if k % 10 in (0, 1, 2, 3) and (k % 10 == 0 or k % 30 != 1) else ""), "en", "s", 0) for k in range(600)]
+    table, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, 1, int(k % 10 == 0)) for k in range(600)], LABELS)
+    whole, cut = (toxicity.score(table, toxicity.fit(table, labels, rows_per_class=n)).where("doc_id = 0").first().p_toxic for n in (5000, 60))
+    assert whole < 0.35 and abs(whole - cut) < 0.1
