@@ -29,11 +29,32 @@ CATEGORIES: dict[str, tuple[str, ...]] = {
 }
 #: Labelled rows of each class that the chain is fitted on at most: a bounded sample by hash of doc_id, weighted to the classes' true ratio.
 TRAIN_ROWS_PER_CLASS = 5000
-FEATURES = 256
 FOLDS = 5
 REJECT_AT = 0.5
 
 
+@dataclass
+class Presence:
+    """Which rows hold which words of a vocabulary: each (row, place) once, by row. Only what is there takes memory."""
+
+    row: np.ndarray
+    place: np.ndarray
+    rows: int
+    words: int
+
+    def dot(self, v: np.ndarray) -> np.ndarray:
+        """By row, the sum over its words."""
+        return np.bincount(self.row, v[self.place], self.rows)
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """By word, the sum over its rows."""
+        return np.bincount(self.place, v[self.row], self.words)
+
+    def where(self, keep: np.ndarray) -> Presence:
+        held = keep[self.row]
+        return Presence((np.cumsum(keep) - 1)[self.row[held]], self.place[held], int(keep.sum()), self.words)
+
+
 @dataclass
 class Chain:
     """Word hashes (ascending) and, per category, weights of the words, of the earlier probabilities, and the intercept."""
@@ -44,10 +65,10 @@ class Chain:
     chained: list[np.ndarray]
     intercepts: list[float]
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(self.names)))
+    def probabilities(self, x: Presence) -> np.ndarray:
+        out = np.zeros((x.rows, len(self.names)))
         for k in range(len(self.names)):
-            out[:, k] = _sigmoid(x @ self.weights[k] + out[:, :k] @ self.chained[k] + self.intercepts[k])
+            out[:, k] = _sigmoid(x.dot(self.weights[k]) + out[:, :k] @ self.chained[k] + self.intercepts[k])
         return out
 
 
@@ -55,45 +76,67 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Ridge-penalised logistic regression of weighted rows by Newton's method; with one class only, its smoothed rate."""
-    n, d = x.shape
+def _logistic(x: Presence, more: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0, steps: int = 25) -> tuple[np.ndarray, np.ndarray, float]:
+    """Ridge-penalised logistic regression of weighted rows on words and ``more`` columns: their weights and the intercept.
+
+    Newton's method with steps by preconditioned conjugate gradients, so any number of words will do; with one class only, its
+    smoothed rate.
+    """
+    n, d, k = x.rows, x.words, more.shape[1]
     rate = (weight @ y + 0.5) / (weight.sum() + 2)  # under a half without any rows
-    w, b = np.zeros(d), float(np.log(rate / (1 - rate)))
+    beta = np.r_[np.zeros(d + k), np.log(rate / (1 - rate))]
     if not 0 < y.sum() < n:
-        return w, b
-    z = np.column_stack([x, np.ones(n)])
-    beta = np.r_[w, b]
-    penalty = np.r_[np.full(d, l2), 1e-3]
+        return beta[:d], beta[d:-1], float(beta[-1])
+    penalty = np.r_[np.full(d + k, l2), 1e-3]
+
+    def along(v: np.ndarray) -> np.ndarray:
+        return x.dot(v[:d]) + more @ v[d:-1] + v[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.r_[x.back(r), more.T @ r, r.sum()]
 
     def loss(v: np.ndarray) -> float:
-        m = z @ v
+        m = along(v)
         return float(weight @ (np.logaddexp(0, m) - y * m) + (penalty * v * v).sum() / 2)
 
     now = loss(beta)
     for _ in range(steps):
-        p = _sigmoid(z @ beta)
-        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (weight * (y - p)) - penalty * beta)
+        p = _sigmoid(along(beta))
+        h = weight * p * (1 - p)
+        rest = back(weight * (y - p)) - penalty * beta
+        scale = 1 / (np.r_[x.back(h), (more * more).T @ h, h.sum()] + penalty)
+        step, turned = np.zeros(len(beta)), scale * rest
+        way, size, enough = turned.copy(), rest @ turned, 1e-12 * (rest @ (scale * rest))
+        for _ in range(10 * len(beta)):
+            if size <= enough:
+                break
+            curved = back(h * along(way)) + penalty * way
+            far = size / (way @ curved)
+            step += far * way
+            rest = rest - far * curved
+            turned = scale * rest
+            size, before = rest @ turned, size
+            way = turned + size / before * way
         while (after := loss(beta + step)) > now and np.abs(step).max() > 1e-9:
             step /= 2
         beta = beta + step
         if now - after < 1e-7:
             break
         now = after
-    return beta[:-1], float(beta[-1])
+    return beta[:d], beta[d:-1], float(beta[-1])
 
 
-def _presence(words: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Rows by vocabulary: 1 where a row holds the word."""
-    x = np.zeros((len(first) - 1, len(vocabulary)), np.float32)
-    if len(vocabulary) and len(words):
-        marked = np.zeros(1 << 16, bool)
-        marked[(vocabulary & U64(0xFFFF)).astype(np.int64)] = True
-        at = np.flatnonzero(marked[(words & U64(0xFFFF)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(vocabulary, words[at]), len(vocabulary) - 1)
-        hit = vocabulary[place] == words[at]
-        x[np.searchsorted(first, at[hit], "right") - 1, place[hit]] = 1
-    return x
+def _presence(words: np.ndarray, first: np.ndarray, vocabulary: np.ndarray) -> Presence:
+    rows, size = len(first) - 1, len(vocabulary)
+    if not size or not len(words):
+        return Presence(np.zeros(0, np.int64), np.zeros(0, np.int64), rows, size)
+    marked = np.zeros(1 << 16, bool)
+    marked[(vocabulary & U64(0xFFFF)).astype(np.int64)] = True
+    at = np.flatnonzero(marked[(words & U64(0xFFFF)).astype(np.int64)])
+    place = np.minimum(np.searchsorted(vocabulary, words[at]), size - 1)
+    hit = vocabulary[place] == words[at]
+    held = np.unique((np.searchsorted(first, at[hit], "right") - 1) * size + place[hit])
+    return Presence(held // size, held % size, rows, size)
 
 
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -129,8 +172,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, toxic int, words binary")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER_CLASS, features: int = FEATURES, folds: int = FOLDS) -> Chain:
-    """Fits the chain on the driver, on ``training_sample``. Words are kept that mark toxic documents most (likelihood ratio).
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER_CLASS, folds: int = FOLDS) -> Chain:
+    """Fits the chain on the driver, on ``training_sample``. All words are kept that mark toxic documents (likelihood ratio).
 
     A class that the sample cuts is weighted by the inverse of its sampling rate, so probabilities do not depend on the cut.
     """
@@ -152,22 +195,20 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER
         other = np.where(negative[0][at] == positive[0], negative[1][at], 0)
     a, b = positive[1] / n1, other / n0
     gain = np.where((positive[1] >= 3) & (a > 2 * b), positive[1] * np.log((a + 1e-9) / (b + 0.5 / n0)), 0)
-    best = np.lexsort((positive[0], -gain))[:features]
-    vocabulary = np.sort(positive[0][best[gain[best] > 8]])
-    x = _presence(flat, np.r_[0, np.cumsum(counts)], vocabulary).astype(float)
+    vocabulary = positive[0][gain > 8]  # ascending
+    x = _presence(flat, np.r_[0, np.cumsum(counts)], vocabulary)
     lists = [np.array(sorted(tokens.hash_word(w) for w in words), U64) for words in CATEGORIES.values()]
-    targets = [y * (_presence(flat, np.r_[0, np.cumsum(counts)], own).max(axis=1) if len(y) else y) for own in lists] + [y]
+    targets = [y * (_presence(flat, np.r_[0, np.cumsum(counts)], own).dot(np.ones(len(own))) > 0) for own in lists] + [y]
     fold = np.arange(len(y)) % folds
     honest = np.zeros((len(y), len(names)))
     chain = Chain(names, vocabulary, [], [], [])
     for k, target in enumerate(targets):
-        z = np.column_stack([x, honest[:, :k]])
         for f in range(folds):
-            w, c = _logistic(z[fold != f], target[fold != f], weight[fold != f])
-            honest[fold == f, k] = _sigmoid(z[fold == f] @ w + c)
-        w, c = _logistic(z, target, weight)
-        chain.weights.append(w[: len(vocabulary)])
-        chain.chained.append(w[len(vocabulary) :])
+            w, v, c = _logistic(x.where(fold != f), honest[fold != f, :k], target[fold != f], weight[fold != f])
+            honest[fold == f, k] = _sigmoid(x.where(fold == f).dot(w) + honest[fold == f, :k] @ v + c)
+        w, v, c = _logistic(x, honest[:, :k], target, weight)
+        chain.weights.append(w)
+        chain.chained.append(v)
         chain.intercepts.append(c)
     return chain
 

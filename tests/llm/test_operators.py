@@ -175,3 +175,21 @@ def test_toxicity_does_not_depend_on_the_cut_of_a_class(spark):
     table, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, 1, int(k % 10 == 0)) for k in range(600)], LABELS)
     whole, cut = (toxicity.score(table, toxicity.fit(table, labels, rows_per_class=n)).where("doc_id = 0").first().p_toxic for n in (5000, 60))
     assert whole < 0.35 and abs(whole - cut) < 0.1
+
+
+def test_toxicity_keeps_every_word_that_marks(spark):
+    # 300 words that each mark ten toxic documents, in groups of three; all have the same gain
+    rows = [(k, f"river house m{k // 10}a m{k // 10}b m{k // 10}c", "en", "s", 0) for k in range(1000)] + [(k, "river house", "en", "s", 0) for k in range(1000, 3000)]
+    table, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, 1, int(k < 1000)) for k, *_ in rows], LABELS)
+    chain = toxicity.fit(table, labels)
+    assert len(chain.words) == 300
+    assert toxicity.score(table, chain).where("toxic").count() == 1000
+
+
+def test_sparse_logistic_is_at_the_minimum():
+    rng = np.random.default_rng(7)
+    z, more = rng.random((300, 20)) < 0.2, rng.random((300, 2))
+    y, weight = (rng.random(300) < 0.2 + 0.5 * z[:, 0]).astype(float), rng.choice([1.0, 4.0], 300)
+    w, v, c = toxicity._logistic(toxicity.Presence(*np.nonzero(z), 300, 20), more, y, weight)
+    off = weight * (y - 1 / (1 + np.exp(-(z @ w + more @ v + c))))
+    assert np.abs(np.r_[z.T @ off - w, more.T @ off - v, off.sum() - 1e-3 * c]).max() < 1e-3
