@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import tokens
 from .common import batch_of, binary, by_bucket, components, exchange, numbers, release, saved
@@ -423,21 +424,39 @@ def ngram_join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) ->
     return copies.unionByName(near)
 
 
+def _with_key(docs: DataFrame, name: str) -> DataFrame:
+    """Adds the key of each row's word sequence (0: no words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.concatenate([np.zeros(0, U64)] + [x[-1] for x in hashed(batch)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys.view(np.int64))], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(f"{name} long").fields]))
+
+
 def deduplicate(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with one of each group of near duplicates: the one with the least doc_id in its connected component of ``ngram_join``.
 
-    Documents without words, or with a null doc_id, all stay; of rows that repeat a doc_id with the same words, one stays.
-    Columns are those of the input.
+    Rows of one doc_id with different words are different documents; of those that are near duplicates of each other, one
+    stays. So it is for rows with a null doc_id, which stay only if their component has no doc_id. Of rows that repeat a doc_id
+    (or null) with the same words, one stays. Documents without words all stay. Columns are those of the input.
     """
-    keyed = docs.where("doc_id IS NOT NULL")
-    keys, pairs = key_pairs(keyed, n, threshold)
+    keys, pairs = key_pairs(docs, n, threshold)
     groups = components(pairs.select("a", "b"))
-    grouped = keys.join(groups.withColumnRenamed("node", "key"), "key", "left").select("doc_id", F.coalesce("component", "key").alias("component"))
+    grouped = keys.join(groups.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("component", "key").alias("component"))
     # a document that goes: not the least of its component; so few that the texts need not be moved to find them
-    gone = saved(grouped.join(grouped.groupBy("component").agg(F.min("doc_id").alias("rep")), "component").where("doc_id <> rep").select("doc_id").distinct())
-    repeated = keys.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    own = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    gone = grouped.join(grouped.groupBy("component").agg(F.min(own).alias("rep")), "component").where(own != F.col("rep"))
+    repeated = saved(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 OR doc_id IS NULL").select("doc_id"))
     if repeated.isEmpty():
-        return kept
-    twice = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(twice.dropDuplicates(["doc_id"]))
+        return docs.join(saved(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    gone = saved(gone.select("doc_id", "key").distinct())
+    once = docs.where("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # a doc_id does not tell these rows apart: they go by their words, too
+    more = docs.where("doc_id IS NULL").unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    more = _with_key(more, "h_key")
+    worded = more.where("h_key <> 0").dropDuplicates(["doc_id", "h_key"])
+    left = gone.select(F.col("doc_id").alias("h_id"), F.col("key").alias("h_gone"))
+    worded = worded.join(left, F.col("doc_id").cast("long").eqNullSafe(F.col("h_id")) & (F.col("h_key") == F.col("h_gone")), "left_anti")
+    return once.unionByName(worded.select(*docs.columns)).unionByName(more.where("h_key = 0").select(*docs.columns))

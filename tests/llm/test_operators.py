@@ -193,3 +193,11 @@ def test_sparse_logistic_is_at_the_minimum():
     w, v, c = toxicity._logistic(toxicity.Presence(*np.nonzero(z), 300, 20), more, y, weight)
     off = weight * (y - 1 / (1 + np.exp(-(z @ w + more @ v + c))))
     assert np.abs(np.r_[z.T @ off - w, more.T @ off - v, off.sum() - 1e-3 * c]).max() < 1e-3
+
+
+def test_deduplicate_decides_by_row(spark):
+    a, b, c, d = "a b c d e f g h", "q r s t u v w x", "k l m n o p aa bb", "cc dd ee ff gg hh ii jj"
+    rows = [(1, a), (2, a + " i"), (2, b), (2, ""), (3, c), (3, d), (3, c), (4, b + " y"), (5, "zz yy xx"), (None, d), (None, "one two three four"), (None, "One, two three four"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, (r.text or "").lower().replace(",", "")) for r in ngram_join.deduplicate(table).collect()), key=str)
+    assert got == sorted([(1, a), (2, b), (2, ""), (3, c), (3, d), (5, "zz yy xx"), (None, "one two three four"), (None, "")], key=str)
