@@ -97,13 +97,15 @@ class Automaton:
 @dataclass
 class Shard:
     automaton: Automaton
-    windows: np.ndarray  # hashes of all windows of seed words, ascending
+    windows: np.ndarray  # hashes of all windows of seed words, ascending, as often as they occur
+    places: np.ndarray  # where each of them starts in the concatenated items
+    starts: np.ndarray  # where each item starts
     marks: np.ndarray  # by the windows' low 16 bits
 
 
 def _shards(benchmark: DataFrame, seed: int, most: int) -> list[Shard]:
     """Automata of at most about ``most`` words each; items without words add nothing."""
-    shards: list[tuple[Automaton, list[np.ndarray]]] = []
+    shards: list[tuple[Automaton, list[np.ndarray], list[np.ndarray]]] = []
     held = most + 1
     for row in benchmark.select("text").where("text IS NOT NULL").distinct().orderBy("text").toLocalIterator():
         buf, off = tokens.string_buffers(_lower_rows(pa.array([row.text], pa.large_string()))[0])
@@ -112,32 +114,47 @@ def _shards(benchmark: DataFrame, seed: int, most: int) -> list[Shard]:
             continue
         words = tokens.word_hashes(buf, starts, ends)
         if held + len(words) > most:
-            shards.append((Automaton(), []))
+            shards.append((Automaton(), [], []))
             held = 0
         held += len(words)
-        shards[-1][0].add(words.tolist())
         if len(words) >= seed:
             shards[-1][1].append(tokens.gram_hashes(words, first, seed)[0])
+            shards[-1][2].append(shards[-1][0].starts[-1] + np.arange(len(words) - seed + 1))
+        shards[-1][0].add(words.tolist())
     out = []
-    for automaton, windows in shards:
-        all_windows = np.unique(np.concatenate(windows)) if windows else np.zeros(0, U64)
+    for automaton, windows, places in shards:
+        all_windows, all_places = (np.concatenate(windows), np.concatenate(places)) if windows else (np.zeros(0, U64), np.zeros(0, np.int64))
+        order = np.argsort(all_windows, kind="stable")
+        all_windows, all_places = all_windows[order], all_places[order]
         marks = np.zeros(1 << 16, bool)
         marks[(all_windows & U64(0xFFFF)).astype(np.int64)] = True
-        out.append(Shard(automaton, all_windows, marks))
+        out.append(Shard(automaton, all_windows, all_places, np.array(automaton.starts), marks))
     return out
 
 
-def removals(found: list[list[tuple[int, int, int]]], starts: list[list[int]], max_length: int, item_coverage: float) -> list[tuple[int, int]]:
-    """Ranges of words to remove, merged, given one document's matches by automaton."""
+def covering(at: np.ndarray, hashes: np.ndarray, shard: Shard, seed: int, item_coverage: float) -> np.ndarray:
+    """Of a document's windows (first word, hash) that items hold, those of an item that they cover ``item_coverage`` of.
+
+    A match of ``seed`` words or more with an item is a run of windows, and counts for every item that holds it.
+    """
+    lo, hi = (np.searchsorted(shard.windows, hashes, side) for side in ("left", "right"))
+    counts = hi - lo
+    window = np.repeat(np.arange(len(at)), counts)
+    place = shard.places[np.arange(counts.sum()) + np.repeat(lo - np.cumsum(counts) + counts, counts)]
+    met = np.unique(place)
+    # a window lies in one item, so the words it covers end where the next window starts, or with it
+    words = np.minimum(np.diff(met, append=met[-1:] + seed), seed)
+    items, row = np.unique(np.searchsorted(shard.starts, met, "right") - 1, return_inverse=True)
+    whole = np.bincount(row, words) >= item_coverage * (shard.starts[items + 1] - shard.starts[items])
+    return np.unique(at[window[whole[row[np.searchsorted(met, place)]]]])
+
+
+def removals(found: list[list[tuple[int, int, int]]], windows: list[tuple[np.ndarray, np.ndarray]], shards: list[Shard], seed: int, max_length: int, item_coverage: float) -> list[tuple[int, int]]:
+    """Ranges of words to remove, merged, given one document's matches and windows by automaton."""
     spans = []
-    for matches, at in zip(found, starts):
-        covered: dict[int, set[int]] = {}
-        items = [int(np.searchsorted(at, place, "right")) - 1 for _, _, place in matches]
-        for item, (_, n, place) in zip(items, matches):
-            covered.setdefault(item, set()).update(range(place, place + n))
-        for item, (i, n, _) in zip(items, matches):
-            if n >= max_length or len(covered[item]) >= item_coverage * (at[item + 1] - at[item]):
-                spans.append((i, i + n))
+    for matches, (at, hashes), shard in zip(found, windows, shards):
+        spans += [(i, i + n) for i, n, _ in matches if n >= max_length]
+        spans += [(i, i + seed) for i in covering(at, hashes, shard, seed, item_coverage).tolist()]
     merged: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if merged and a <= merged[-1][1]:
@@ -181,7 +198,7 @@ def decontaminate(
     """The documents without the spans they share with test items.
 
     A maximal match of ``max_length`` words or more is removed; so is a shorter one of ``seed`` words or more if the
-    document's matches cover ``item_coverage`` of the item it is from. A document that loses ``drop_coverage`` of its words
+    document's matches with the item cover ``item_coverage`` of it; a match counts for every item that holds it. A document that loses ``drop_coverage`` of its words
     is dropped. With ``report``, columns are added: n_words, removed_words, longest_match (0: none of ``seed`` words) and
     spans (ranges of words removed); input columns of these names are replaced. ``n_chars``, where there, follows the text.
 
@@ -217,6 +234,7 @@ def decontaminate(
                 n_words[lo:hi] = np.diff(first)
                 windows, begin = tokens.gram_hashes(words, first, seed)
                 hits: dict[int, list[list[tuple[int, int, int]]]] = {}
+                met: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
                 for k, shard in enumerate(x.value for x in shards):
                     maybe = np.flatnonzero(shard.marks[(windows & U64(0xFFFF)).astype(np.int64)])
                     if not len(maybe) or not len(shard.windows):
@@ -228,13 +246,14 @@ def decontaminate(
                         i = maybe[row == r] - begin[r] + first[r]  # window starts, as words of the chunk
                         if first[r + 1] - first[r] < seed:
                             continue
+                        met.setdefault(int(r), [(np.zeros(0, np.int64), np.zeros(0, U64))] * len(shards))[k] = i - first[r], windows[maybe[row == r]]
                         for run_ in np.split(i, np.flatnonzero(np.diff(i) != 1) + 1):
                             a, b = int(run_[0]), int(run_[-1]) + seed
                             got = shard.automaton.matches(words[a:b].tolist(), seed)
                             hits.setdefault(int(r), [[] for _ in shards])[k].extend((int(a - first[r] + x), n, p) for x, n, p in got)
                 for r, found in hits.items():
                     longest[lo + r] = max((n for m in found for _, n, _ in m), default=0)
-                    out = removals(found, [x.value.automaton.starts for x in shards], max_length, item_coverage)
+                    out = removals(found, met[r], [x.value for x in shards], seed, max_length, item_coverage)
                     if not out:
                         continue
                     spans[lo + r], removed[lo + r] = out, sum(b - a for a, b in out)

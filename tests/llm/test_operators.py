@@ -201,3 +201,13 @@ def test_deduplicate_decides_by_row(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, (r.text or "").lower().replace(",", "")) for r in ngram_join.deduplicate(table).collect()), key=str)
     assert got == sorted([(1, a), (2, b), (2, ""), (3, c), (3, d), (5, "zz yy xx"), (None, "one two three four"), (None, "")], key=str)
+
+
+def test_a_match_counts_for_every_item_that_holds_it(spark):
+    shared = " ".join(f"s{k}" for k in range(10))
+    long, short = "a first " + shared + "".join(f" l{k}" for k in range(60)), shared + " b0 b1 b2 b3 b4 b5"
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    filler = " ".join(f"f{k}" for k in range(60))
+    # the second text goes on as in the long item, so its longest match is of that one
+    got = {r.doc_id: r for r in decontam.decontaminate(docs(spark, [f"{filler} {shared} {filler}", f"{filler} {shared} l0 l1 {filler}", f"{filler} l1 l2 l3 l4 l5 l6 l7 l8 l9 {filler}"]), bench).collect()}
+    assert [[tuple(s) for s in got[k].spans] for k in range(3)] == [[(60, 70)], [(60, 70)], []]
