@@ -1,7 +1,7 @@
 """WARC transactions.
 
 A capture is kept as separate records: the response, the request that asked for it, metadata about it. Records name each other
-by WARC-Concurrent-To, in either direction and perhaps through a third. ``assemble`` finds the transaction every record belongs
+by WARC-Concurrent-To, in either direction and perhaps through others. ``assemble`` finds the transaction every record belongs
 to on the identifiers alone and moves each payload once, to its capture's row.
 """
 
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, components, saved
 
 RECORD_SCHEMA = "record_id string, record_type string, concurrent_to array<string>, target_uri string, date string, content_type string, http_head string, payload binary, block_digest string"
 CAPTURE_SCHEMA = (
@@ -22,8 +22,6 @@ CAPTURE_SCHEMA = (
     "response struct<record_id:string,status:int,content_type:string,head:string,payload:binary,digest:string>, "
     "metadata array<struct<record_id:string,content_type:string,fields:map<string,string>>>, n_records int"
 )
-#: Links followed from a record to its capture: metadata of a request of a response is two.
-MAX_LINKS = 2
 
 
 def page_records(pages: DataFrame) -> DataFrame:
@@ -125,25 +123,33 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("warc").mapInArrow(run, RECORD_SCHEMA)
 
 
-def transactions(records: DataFrame, links: int = MAX_LINKS) -> DataFrame:
-    """(record_id, capture_id): the response that a record is concurrent to, through at most ``links`` links in either direction.
+def transactions(records: DataFrame) -> DataFrame:
+    """(record_id, capture_id): the nearest response that a record is linked to by concurrent_to, in either direction and through any number of links.
 
-    Only identifiers move. A record that several responses claim goes to the least of their ids; one that none claims is its
-    own capture.
+    Only identifiers move. Links go through ids whose records are missing, too. A record with several nearest responses goes
+    to the least of their ids. Records that are linked to each other, but to no response, are the capture of the least of
+    their ids. Identifiers are written to the shared folder at every link.
     """
-    ids = records.where("record_id IS NOT NULL").select("record_id", "record_type", "concurrent_to")
+    ids = saved(records.where("record_id IS NOT NULL").select("record_id", "record_type", "concurrent_to"))
     edges = ids.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
-    edges = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    reach = ids.where("record_type IN ('response', 'revisit', 'resource')").select(F.col("record_id").alias("node"), F.col("record_id").alias("capture_id"), F.lit(0).alias("far"))
-    for k in range(links):
-        onward = reach.where(F.col("far") == k).join(edges, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "capture_id", F.lit(k + 1).alias("far"))
-        reach = reach.unionByName(onward)
-    nearest = reach.groupBy("node").agg(F.min(F.struct("far", "capture_id")).alias("best")).select(F.col("node").alias("record_id"), F.col("best.capture_id").alias("capture_id"))
-    return ids.select("record_id").distinct().join(nearest, "record_id", "left").select("record_id", F.coalesce("capture_id", "record_id").alias("capture_id"))
-
-
-def assemble(records: DataFrame, links: int = MAX_LINKS) -> DataFrame:
-    """One nested row per capture: request, response and metadata.
+    edges = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    nearest = ids.where("record_type IN ('response', 'revisit', 'resource')").select(F.col("record_id").alias("a"), F.col("record_id").alias("capture_id")).distinct()
+    reached = frontier = saved(nearest)
+    # breadth first: a record takes the capture of its least neighbour that was reached a link before
+    while not frontier.isEmpty():
+        onward = edges.join(frontier, "a").groupBy(F.col("b").alias("a")).agg(F.min("capture_id").alias("capture_id"))
+        frontier = saved(onward.join(reached.select("a"), "a", "left_anti"))
+        reached = reached.unionByName(frontier)
+    rest = saved(edges.join(reached.select("a"), "a", "left_anti"))
+    if not rest.isEmpty():
+        parts = ids.select(F.col("record_id").alias("node")).distinct().join(components(rest), "node")
+        least = parts.groupBy("component").agg(F.min("node").alias("capture_id"))
+        reached = reached.unionByName(parts.join(least, "component").select(F.col("node").alias("a"), "capture_id"))
+    return ids.select(F.col("record_id").alias("a")).distinct().join(reached, "a", "left").select(F.col("a").alias("record_id"), F.coalesce("capture_id", "a").alias("capture_id"))
+
+
+def assemble(records: DataFrame) -> DataFrame:
+    """One nested row per capture (``transactions``): request, response and metadata.
 
     Of several requests (or responses) of a capture the one with the least record_id counts; metadata are all kept, in order of
     record_id. What is missing is null, or an empty array. Repeated records count once. Records without an id or type, and
@@ -153,7 +159,7 @@ def assemble(records: DataFrame, links: int = MAX_LINKS) -> DataFrame:
     own = records.where("record_id IS NOT NULL AND record_type IN ('request', 'response', 'metadata', 'revisit', 'resource')")
     # a response is its own capture: only the others, that have little payload, look theirs up
     main = F.col("record_type").isin("response", "revisit", "resource")
-    linked = own.where(main).withColumn("capture_id", F.col("record_id")).unionByName(own.where(~main).join(transactions(own, links), "record_id"))
+    linked = own.where(main).withColumn("capture_id", F.col("record_id")).unionByName(own.where(~main).join(transactions(own), "record_id"))
     kind = F.col("record_type")
     request = F.when(kind == "request", F.struct("record_id", F.regexp_extract("http_head", r"^([A-Z]+) ", 1).alias("method"), F.col("http_head").alias("head"), "payload"))
     response = F.when(

@@ -211,3 +211,19 @@ def test_a_match_counts_for_every_item_that_holds_it(spark):
     # the second text goes on as in the long item, so its longest match is of that one
     got = {r.doc_id: r for r in decontam.decontaminate(docs(spark, [f"{filler} {shared} {filler}", f"{filler} {shared} l0 l1 {filler}", f"{filler} l1 l2 l3 l4 l5 l6 l7 l8 l9 {filler}"]), bench).collect()}
     assert [[tuple(s) for s in got[k].spans] for k in range(3)] == [[(60, 70)], [(60, 70)], []]
+
+
+def test_transactions_through_any_links(spark):
+    rows = [
+        ("r1", "response", []), ("q1", "request", ["r1"]), ("m1", "metadata", ["q1"]), ("n1", "metadata", ["m1"]), ("o1", "metadata", ["n1"]),  # four links
+        ("q2", "request", ["m2"]), ("m2", "metadata", ["q2"]),  # no response
+        ("q3", "request", ["lost"]), ("m3", "metadata", ["lost"]),  # the response's record is lost
+        ("r4", "response", []), ("r5", "response", ["r4"]), ("q5", "request", ["r5"]), ("m5", "metadata", ["q5", "r4"]), ("q6", "request", None),
+    ]
+    records = spark.createDataFrame([(i, k, c, "u", "d", "", "", bytearray(b""), "") for i, k, c in rows], warc.RECORD_SCHEMA)
+    assert {r.record_id: r.capture_id for r in warc.transactions(records).collect()} == {
+        "r1": "r1", "q1": "r1", "m1": "r1", "n1": "r1", "o1": "r1", "q2": "m2", "m2": "m2", "q3": "m3", "m3": "m3", "r4": "r4", "r5": "r5", "q5": "r5", "m5": "r4", "q6": "q6",
+    }
+    got = {r.capture_id: r for r in warc.assemble(records).collect()}
+    assert {k: r.n_records for k, r in got.items()} == {"r1": 5, "m2": 2, "m3": 2, "r4": 2, "r5": 2, "q6": 1}
+    assert got["m2"].response is None and got["m2"].request.record_id == "q2" and [m.record_id for m in got["r1"].metadata] == ["m1", "n1", "o1"]
