@@ -1,9 +1,9 @@
 """Benchmark decontamination with a generalised suffix automaton.
 
-The automaton is built over the words of all test items, one string per item. A document's words are streamed through it and
-the longest match that ends at each word is tracked. Only windows of ``seed`` words that occur in some item can start or
-continue a match of that length, so a vectorised look-up of window hashes finds the stretches to stream; no match of ``seed``
-words or more lies outside them.
+The automaton is built over the words of all test items, one string per item, and shipped as flat arrays. A document's words
+are streamed through it and the longest match that ends at each word is tracked. Only windows of ``seed`` words that occur in
+some item can start or continue a match of that length, so a vectorised look-up of window hashes finds the stretches to stream;
+no match of ``seed`` words or more lies outside them. Items of fewer words are looked up as a whole.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from . import tokens
-from .common import without
+from .common import lean, without
 from .tokens import U64
 
 #: Words of the shortest match that counts at all.
@@ -28,29 +28,31 @@ MAX_LENGTH = 13
 ITEM_COVERAGE = 0.5
 #: A document is dropped if so large a share of its words is removed.
 DROP_COVERAGE = 0.8
-#: Words in one automaton; more test words make more automata, which a task takes one at a time.
-AUTOMATON_WORDS = 2_000_000
+#: Items of fewer words change nothing: any text holds them. From here up to ``SEED`` words, an item is removed where it occurs as a whole.
+SHORTEST = 4
+#: Words in one automaton, which the driver builds; more test words make more automata.
+AUTOMATON_WORDS = 500_000
+#: Words in the automata that are sent to the tasks at once, at about 100 bytes a word; more test words take more passes over the documents.
+PASS_WORDS = 3_000_000
 
 
 @dataclass
 class Automaton:
-    """A generalised suffix automaton over word hashes; ``end`` is one place (in the concatenated items) where a state's strings end."""
+    """A generalised suffix automaton over word hashes, as it is built."""
 
     next: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    end: list[int] = field(default_factory=lambda: [-1])
     starts: list[int] = field(default_factory=lambda: [0])
 
-    def _state(self, length: int, moves: dict[int, int], link: int, end: int) -> int:
+    def _state(self, length: int, moves: dict[int, int], link: int) -> int:
         self.next.append(moves)
         self.length.append(length)
         self.link.append(link)
-        self.end.append(end)
         return len(self.link) - 1
 
     def _split(self, p: int, word: int, q: int) -> int:
-        clone = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q], self.end[q])
+        clone = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = clone
             p = self.link[p]
@@ -59,13 +61,13 @@ class Automaton:
 
     def add(self, words: list[int]) -> None:
         """Adds one item; its places follow those of the items before."""
-        last, place = 0, self.starts[-1]
+        last = 0
         for word in words:
             q = self.next[last].get(word)
             if q is not None:
                 last = q if self.length[q] == self.length[last] + 1 else self._split(last, word, q)
             else:
-                new = self._state(self.length[last] + 1, {}, 0, place)
+                new = self._state(self.length[last] + 1, {}, 0)
                 p = last
                 while p >= 0 and word not in self.next[p]:
                     self.next[p][word] = new
@@ -74,62 +76,96 @@ class Automaton:
                     q = self.next[p][word]
                     self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, word, q)
                 last = new
-            place += 1
-        self.starts.append(place)
+        self.starts.append(self.starts[-1] + len(words))
 
-    def matches(self, words: list[int], least: int) -> list[tuple[int, int, int]]:
-        """Maximal matches of at least ``least`` words: (first word, words, place in the items)."""
+    def flat(self) -> FlatAutomaton:
+        counts = np.array([len(x) for x in self.next], np.int64)
+        words = np.fromiter((w for x in self.next for w in sorted(x)), U64, counts.sum())
+        targets = np.fromiter((x[w] for x in self.next for w in sorted(x)), np.int32, counts.sum())
+        return FlatAutomaton(np.r_[0, np.cumsum(counts)].astype(np.int32 if counts.sum() < 1 << 31 else np.int64), words, targets, np.array(self.link, np.int32), np.array(self.length, np.int32))
+
+
+@dataclass
+class FlatAutomaton:
+    """The moves of state s are ``words[first[s]:first[s + 1]]``, ascending, and lead to the states in ``targets``."""
+
+    first: np.ndarray
+    words: np.ndarray
+    targets: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+
+    def move(self, state: int, word: np.uint64) -> int:
+        """The state that a word leads to; -1 if there is no such move."""
+        lo, hi = int(self.first[state]), int(self.first[state + 1])
+        if hi - lo > 8:
+            lo += int(np.searchsorted(self.words[lo:hi], word))
+            return int(self.targets[lo]) if lo < hi and self.words[lo] == word else -1
+        for k in range(lo, hi):
+            if self.words[k] == word:
+                return int(self.targets[k])
+        return -1
+
+    def matches(self, words: np.ndarray, least: int) -> list[tuple[int, int]]:
+        """Maximal matches of at least ``least`` words: (first word, number of words)."""
         found = []
         state = length = 0
-        for i, word in enumerate([*words, None]):
-            before, ended = length, state
-            while state and word not in self.next[state]:
-                state = self.link[state]
-                length = self.length[state]
-            if word in self.next[state]:
-                state = self.next[state][word]
-                length += 1
+        for i in range(len(words) + 1):
+            before = length
+            onward = -1
+            if i < len(words):
+                while (onward := self.move(state, words[i])) < 0 and state:
+                    state = int(self.link[state])
+                    length = int(self.length[state])
+            if onward >= 0:
+                state, length = onward, length + 1
+            elif i == len(words):
+                length = -1
             if before >= least and length != before + 1:
-                found.append((i - before, before, self.end[ended] - before + 1))
+                found.append((i - before, before))
         return found
 
 
 @dataclass
 class Shard:
-    automaton: Automaton
+    automaton: FlatAutomaton
     windows: np.ndarray  # hashes of all windows of seed words, ascending, as often as they occur
     places: np.ndarray  # where each of them starts in the concatenated items
     starts: np.ndarray  # where each item starts
     marks: np.ndarray  # by the windows' low 16 bits
+    short: dict[int, np.ndarray]  # by number of words, the hashes of whole items of fewer words than a window, ascending
+
 
+def _shards(benchmark: DataFrame, seed: int, most: int, shortest: int = SHORTEST) -> Iterator[tuple[int, Shard]]:
+    """Number of words and automata of at most about ``most`` words each; items of fewer words than ``shortest`` add nothing."""
+    automaton, windows, places, short, held = Automaton(), [], [], {}, 0
+
+    def shard() -> Shard:
+        all_windows, all_places = (np.concatenate(windows), np.concatenate(places)) if windows else (np.zeros(0, U64), np.zeros(0, np.int64))
+        order = np.argsort(all_windows, kind="stable")
+        all_windows, all_places = all_windows[order], all_places[order]
+        marks = np.zeros(1 << 16, bool)
+        marks[(all_windows & U64(0xFFFF)).astype(np.int64)] = True
+        return Shard(automaton.flat(), all_windows, all_places, np.array(automaton.starts), marks, {n: np.unique(np.array(x, U64)) for n, x in short.items()})
 
-def _shards(benchmark: DataFrame, seed: int, most: int) -> list[Shard]:
-    """Automata of at most about ``most`` words each; items without words add nothing."""
-    shards: list[tuple[Automaton, list[np.ndarray], list[np.ndarray]]] = []
-    held = most + 1
     for row in benchmark.select("text").where("text IS NOT NULL").distinct().orderBy("text").toLocalIterator():
         buf, off = tokens.string_buffers(_lower_rows(pa.array([row.text], pa.large_string()))[0])
         starts, ends, first = tokens.word_runs(buf, off)
-        if not len(starts):
+        if len(starts) < shortest:
             continue
         words = tokens.word_hashes(buf, starts, ends)
-        if held + len(words) > most:
-            shards.append((Automaton(), [], []))
-            held = 0
+        if held and held + len(words) > most:
+            yield held, shard()
+            automaton, windows, places, short, held = Automaton(), [], [], {}, 0
         held += len(words)
-        if len(words) >= seed:
-            shards[-1][1].append(tokens.gram_hashes(words, first, seed)[0])
-            shards[-1][2].append(shards[-1][0].starts[-1] + np.arange(len(words) - seed + 1))
-        shards[-1][0].add(words.tolist())
-    out = []
-    for automaton, windows, places in shards:
-        all_windows, all_places = (np.concatenate(windows), np.concatenate(places)) if windows else (np.zeros(0, U64), np.zeros(0, np.int64))
-        order = np.argsort(all_windows, kind="stable")
-        all_windows, all_places = all_windows[order], all_places[order]
-        marks = np.zeros(1 << 16, bool)
-        marks[(all_windows & U64(0xFFFF)).astype(np.int64)] = True
-        out.append(Shard(automaton, all_windows, all_places, np.array(automaton.starts), marks))
-    return out
+        if len(words) < seed:
+            short.setdefault(len(words), []).append(tokens.gram_hashes(words, first, len(words))[0][0])
+            continue
+        windows.append(tokens.gram_hashes(words, first, seed)[0])
+        places.append(automaton.starts[-1] + np.arange(len(words) - seed + 1))
+        automaton.add(words.tolist())
+    if held:
+        yield held, shard()
 
 
 def covering(at: np.ndarray, hashes: np.ndarray, shard: Shard, seed: int, item_coverage: float) -> np.ndarray:
@@ -149,19 +185,51 @@ def covering(at: np.ndarray, hashes: np.ndarray, shard: Shard, seed: int, item_c
     return np.unique(at[window[whole[row[np.searchsorted(met, place)]]]])
 
 
-def removals(found: list[list[tuple[int, int, int]]], windows: list[tuple[np.ndarray, np.ndarray]], shards: list[Shard], seed: int, max_length: int, item_coverage: float) -> list[tuple[int, int]]:
-    """Ranges of words to remove, merged, given one document's matches and windows by automaton."""
-    spans = []
-    for matches, (at, hashes), shard in zip(found, windows, shards):
-        spans += [(i, i + n) for i, n, _ in matches if n >= max_length]
-        spans += [(i, i + seed) for i in covering(at, hashes, shard, seed, item_coverage).tolist()]
-    merged: list[tuple[int, int]] = []
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = merged[-1][0], max(b, merged[-1][1])
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
         else:
-            merged.append((a, b))
-    return merged
+            out.append((a, b))
+    return out
+
+
+def spans_of(words: np.ndarray, first: np.ndarray, shards: list[Shard], seed: int, max_length: int, item_coverage: float) -> tuple[dict[int, list[tuple[int, int]]], dict[int, int]]:
+    """By row, ranges of words to remove (not merged), and the longest match; rows' words begin at ``first``."""
+    spans: dict[int, list[tuple[int, int]]] = {}
+    longest: dict[int, int] = {}
+    counts = np.diff(first)
+
+    def held(hashes: np.ndarray, begin: np.ndarray, known: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Rows with windows of ``n`` words that are known: their first words in the row, and hashes."""
+        maybe = np.flatnonzero(known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes)
+        row = np.searchsorted(begin, maybe, "right") - 1
+        for r in np.unique(row):
+            if counts[r] >= n:
+                own = maybe[row == r]
+                yield int(r), own - begin[r], hashes[own]
+
+    windows, begin = tokens.gram_hashes(words, first, seed)
+    for shard in shards:
+        if len(shard.windows):
+            maybe = np.flatnonzero(shard.marks[(windows & U64(0xFFFF)).astype(np.int64)])
+            sub = np.searchsorted(maybe, begin)
+            for r, at, hashes in held(windows[maybe], sub, shard.windows, seed):
+                i = maybe[sub[r] + at] - begin[r]  # first words of windows, in the row
+                for run in np.split(i, np.flatnonzero(np.diff(i) != 1) + 1):
+                    a, b = int(run[0]), int(run[-1]) + seed
+                    for x, n in shard.automaton.matches(words[first[r] + a : first[r] + b], seed):
+                        longest[r] = max(longest.get(r, 0), n)
+                        if n >= max_length:
+                            spans.setdefault(r, []).append((a + x, a + x + n))
+                spans.setdefault(r, []).extend((x, x + seed) for x in covering(i, hashes, shard, seed, item_coverage).tolist())
+        for n, items in shard.short.items():
+            hashes, at = tokens.gram_hashes(words, first, n)
+            for r, i, _ in held(hashes, at, items, n):
+                longest[r] = max(longest.get(r, 0), n)
+                spans.setdefault(r, []).extend((x, x + n) for x in i.tolist())
+    return spans, longest
 
 
 def _lower_rows(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -193,86 +261,92 @@ def _cut(text: str, low: str, spans: list[tuple[int, int]], same: bool) -> str:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, seed: int = SEED, max_length: int = MAX_LENGTH, item_coverage: float = ITEM_COVERAGE, drop_coverage: float = DROP_COVERAGE, automaton_words: int = AUTOMATON_WORDS,
-    report: bool = True,
+    report: bool = True, pass_words: int = PASS_WORDS,
 ) -> DataFrame:
     """The documents without the spans they share with test items.
 
     A maximal match of ``max_length`` words or more is removed; so is a shorter one of ``seed`` words or more if the
-    document's matches with the item cover ``item_coverage`` of it; a match counts for every item that holds it. A document that loses ``drop_coverage`` of its words
-    is dropped. With ``report``, columns are added: n_words, removed_words, longest_match (0: none of ``seed`` words) and
-    spans (ranges of words removed); input columns of these names are replaced. ``n_chars``, where there, follows the text.
+    document's matches with the item cover ``item_coverage`` of it; a match counts for every item that holds it. An item of
+    fewer than ``seed`` words is removed where it occurs as a whole, if it has ``SHORTEST`` words at least. A document that
+    loses ``drop_coverage`` of its words is dropped. With ``report``, columns are added: n_words, removed_words, longest_match
+    (0: none) and spans (ranges of words removed); input columns of these names are replaced. ``n_chars``, where there, follows
+    the text.
 
     Words are compared in lower case without punctuation; a match does not cross two items. Null and empty texts stay as
-    they are with no words. Test items shorter than ``seed`` words, null or repeated items change nothing. Every row is
-    judged on its own; with no items, all documents stay. An empty table gives an empty result.
+    they are with no words. Null, wordless and repeated items change nothing, nor does the items' order. Whole texts are
+    searched, however long. Every row is judged on its own, repeated ones too; with no items, all documents stay. An empty
+    table gives an empty result. The benchmark goes through the driver item by item.
     """
     if not 1 <= seed <= max_length:
         raise ValueError("seed must be at least 1 and at most max_length")
     names = ["n_words", "removed_words", "longest_match", "spans"]
     docs = without(docs, names) if report else docs
     context = docs.sparkSession.sparkContext
-    shards = [context.broadcast(x) for x in _shards(benchmark, seed, automaton_words)]
-    schema = StructType(list(docs.schema.fields))
+    passes: list[list] = [[]]
+    room = pass_words
+    for size, shard in _shards(benchmark, seed, automaton_words):
+        if passes[-1] and size > room:
+            passes.append([])
+            room = pass_words
+        passes[-1].append(context.broadcast(shard))
+        room -= size
+    out = docs
+    for k, shards in enumerate(passes):
+        out = _pass(out, shards, k > 0, k == len(passes) - 1, seed, max_length, item_coverage, drop_coverage, report)
+    return out
+
+
+_SPANS = "array<struct<first:int,end:int>>"
+_HIDDEN = ["h_spans", "h_longest"]
+
+
+def _pass(docs: DataFrame, shards: list, later: bool, last: bool, seed: int, max_length: int, item_coverage: float, drop_coverage: float, report: bool) -> DataFrame:
+    """Finds the spans of some automata and hands them on in hidden columns; the last pass removes those of all."""
     span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
-    if report:
-        added = StructType.fromDDL("n_words int, removed_words int, longest_match int, spans array<struct<first:int,end:int>>")
-        schema = StructType([*schema.fields, *added.fields])
+    fields = [f for f in docs.schema.fields if not later or f.name not in _HIDDEN]
+    added = f"h_spans {_SPANS}, h_longest int" if not last else f"n_words int, removed_words int, longest_match int, spans {_SPANS}" if report else ""
+    schema = StructType([*fields, *(StructType.fromDDL(added).fields if added else [])])
+
+    def as_spans(rows: list[list[tuple[int, int]]]) -> pa.Array:
+        return pa.array([[{"first": a, "end": b} for a, b in s] for s in rows], span)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_shards = [x.value for x in shards]
         for batch in batches:
+            n = batch.num_rows
             column = batch.column("text")
             low, same = _lower_rows(column.cast(pa.large_string()))
             buf, off = tokens.string_buffers(low)
-            n_words, removed, longest = (np.zeros(batch.num_rows, np.int32) for _ in range(3))
-            spans: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
+            n_words, removed = np.zeros(n, np.int32), np.zeros(n, np.int32)
+            longest = np.array(batch.column("h_longest")) if later else np.zeros(n, np.int32)
+            spans = [[(x["first"], x["end"]) for x in s] for s in batch.column("h_spans").to_pylist()] if later else [[] for _ in range(n)]
             texts: dict[int, str] = {}
-            keep = np.ones(batch.num_rows, bool)
+            keep = np.ones(n, bool)
             for lo, hi in tokens.chunks(off):
                 own, at = buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 starts, ends, first = tokens.word_runs(own, at)
-                words = tokens.word_hashes(own, starts, ends)
                 n_words[lo:hi] = np.diff(first)
-                windows, begin = tokens.gram_hashes(words, first, seed)
-                hits: dict[int, list[list[tuple[int, int, int]]]] = {}
-                met: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-                for k, shard in enumerate(x.value for x in shards):
-                    maybe = np.flatnonzero(shard.marks[(windows & U64(0xFFFF)).astype(np.int64)])
-                    if not len(maybe) or not len(shard.windows):
-                        continue
-                    place = np.minimum(np.searchsorted(shard.windows, windows[maybe]), len(shard.windows) - 1)
-                    maybe = maybe[shard.windows[place] == windows[maybe]]
-                    row = np.searchsorted(begin, maybe, "right") - 1
-                    for r in np.unique(row):
-                        i = maybe[row == r] - begin[r] + first[r]  # window starts, as words of the chunk
-                        if first[r + 1] - first[r] < seed:
-                            continue
-                        met.setdefault(int(r), [(np.zeros(0, np.int64), np.zeros(0, U64))] * len(shards))[k] = i - first[r], windows[maybe[row == r]]
-                        for run_ in np.split(i, np.flatnonzero(np.diff(i) != 1) + 1):
-                            a, b = int(run_[0]), int(run_[-1]) + seed
-                            got = shard.automaton.matches(words[a:b].tolist(), seed)
-                            hits.setdefault(int(r), [[] for _ in shards])[k].extend((int(a - first[r] + x), n, p) for x, n, p in got)
-                for r, found in hits.items():
-                    longest[lo + r] = max((n for m in found for _, n, _ in m), default=0)
-                    out = removals(found, met[r], [x.value for x in shards], seed, max_length, item_coverage)
-                    if not out:
-                        continue
-                    spans[lo + r], removed[lo + r] = out, sum(b - a for a, b in out)
-                    if removed[lo + r] >= drop_coverage * n_words[lo + r]:
-                        keep[lo + r] = False
-                    cuts = [(int(starts[first[r] + a] - at[r]), int(ends[first[r] + b - 1] - at[r])) for a, b in out]
-                    texts[lo + r] = _cut(column[lo + r].as_py(), low[lo + r].as_py(), cuts, bool(same[lo + r]))
-            columns = list(batch.columns)
+                found, most = spans_of(tokens.word_hashes(own, starts, ends), first, own_shards, seed, max_length, item_coverage)
+                for r, x in found.items():
+                    spans[lo + r] = merged(spans[lo + r] + x)
+                for r, x in most.items():
+                    longest[lo + r] = max(longest[lo + r], x)
+                for r in range(lo, hi) if last else ():
+                    if spans[r]:
+                        removed[r] = sum(b - a for a, b in spans[r])
+                        keep[r] = removed[r] < drop_coverage * n_words[r]
+                        cuts = [(int(starts[first[r - lo] + a] - at[r - lo]), int(ends[first[r - lo] + b - 1] - at[r - lo])) for a, b in spans[r]]
+                        texts[r] = _cut(column[r].as_py(), low[r].as_py(), cuts, bool(same[r]))
+            columns = {f.name: batch.column(k) for k, f in enumerate(batch.schema) if not later or f.name not in _HIDDEN}
             if texts:
-                where = np.zeros(batch.num_rows, bool)
+                where = np.zeros(n, bool)
                 where[list(texts)] = True
-                k = batch.schema.get_field_index("text")
-                columns[k] = _replaced(columns[k], where, [texts[x] for x in sorted(texts)])
-                k = next((i for i, f in enumerate(batch.schema) if f.name == "n_chars" and pa.types.is_integer(f.type)), -1)
-                if k >= 0:
-                    columns[k] = _replaced(columns[k], where, [len(texts[x]) for x in sorted(texts)])
-            if report:
-                columns += [pa.array(n_words), pa.array(removed), pa.array(longest), pa.array([[{"first": a, "end": b} for a, b in s] for s in spans], span)]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema]).filter(pa.array(keep))
+                columns["text"] = _replaced(columns["text"], where, [texts[x] for x in sorted(texts)])
+                if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
+                    columns["n_chars"] = _replaced(columns["n_chars"], where, [len(texts[x]) for x in sorted(texts)])
+            more = [as_spans(spans), pa.array(longest)] if not last else [pa.array(n_words), pa.array(removed), pa.array(longest), as_spans(spans)] if report else []
+            yield pa.RecordBatch.from_arrays([*columns.values(), *more], names=[f.name for f in schema]).filter(pa.array(keep))
 
     return docs.mapInArrow(run, schema)
 

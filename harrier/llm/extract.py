@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import without
+from .common import lean, without
 
 #: Points go to this many ancestors.
 LEVELS = 4
@@ -30,14 +30,18 @@ LINK_DENSITY = 0.25
 
 OUT_SCHEMA = "title string, main_text string, main_score double, main_tag string, n_paragraphs int"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>?|<(?P<open>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|</(?P<close>[a-zA-Z][^\s/>]*)[^>]*>?|<(?P<open>[a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile(r"[>\"']")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea iframe svg math object".split())
-_DROP = frozenset("nav aside footer form button select option head".split())
+_DROP = frozenset("nav aside footer button select option head".split())
+#: What is no text of the page even where nothing scores.
+_HIDDEN = frozenset(["head"])
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 _PARAGRAPH = frozenset("p td pre blockquote li dd".split())
 #: Open elements that a new one of the key's kind ends.
-_ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_ENDS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_ENDED = frozenset(["p", *(y for x in _ENDS.values() for y in x)])
 _SCOPE = frozenset("table ul ol dl select div section article main body".split())
 _WHITE = re.compile(r"\s+")
 
@@ -51,6 +55,15 @@ class Page:
     paragraphs: int
 
 
+def _tag_end(source: str, at: int) -> int:
+    """Where the tag ends whose name ends at ``at``; -1 if nothing ends it outside of quotes."""
+    while (stop := _STOP.search(source, at)) and stop[0] != ">":
+        at = source.find(stop[0], stop.end()) + 1
+        if not at:
+            return -1
+    return stop.start() if stop else -1
+
+
 def extract(source: str | None) -> Page:
     """The main text of one page; see ``main_text``."""
     if not source:
@@ -58,6 +71,8 @@ def extract(source: str | None) -> Page:
     tag, parent, end = ["#root"], [-1], [0]
     pieces: list[tuple[int, str]] = []  # the node a piece of text is in, the text
     stack = [0]
+    depths: dict[str, list[int]] = {}  # where in the stack elements of a name are
+    scopes = [0]  # where in the stack elements are that the ends below do not reach beyond
     title: list[str] | None = None
     title_text: str | None = None
     at = 0
@@ -70,9 +85,20 @@ def extract(source: str | None) -> Page:
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
-            end[stack.pop()] = len(tag)
+            node = stack.pop()
+            end[node] = len(tag)
+            if tag[node] in depths:
+                depths[tag[node]].pop()
+            while scopes[-1] >= max(len(stack), 1):
+                scopes.pop()
+
+    def end_nearest(names: tuple[str, ...]) -> None:
+        depth = max((depths[x][-1] for x in names if depths.get(x)), default=0)
+        if depth > scopes[-1]:
+            pop_to(depth)
 
     size = len(source)
+    loose = False  # quotes do not pair up: a tag ends at the next ">", whatever quotes are around it
     while at < size:
         lt = source.find("<", at)
         if lt < 0:
@@ -83,50 +109,47 @@ def extract(source: str | None) -> Page:
             text(source[at : lt + 1])
             at = lt + 1
             continue
+        name = match["open"]
+        if name:
+            gt = -1 if loose else _tag_end(source, match.end())
+            if gt < 0:
+                loose, gt = True, source.find(">", match.end())
+            if gt < 0:  # no tag ends any more
+                text(source[at:])
+                break
         if lt > at:
             text(source[at:lt])
-        at = match.end()
-        name = match["open"]
+        at = gt + 1 if name else match.end()
         if name:
-            name = name.lower()
+            name, closed = name.lower(), source[gt - 1] == "/"
             if name == "title" and title_text is None:
                 title = []
                 continue
-            if name in _RAW and not match["rest"].endswith("/"):
+            if name in _RAW and not closed:
                 close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 at = close.end() if close else size
                 continue
-            if name in _BLOCK:
-                for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                    if tag[stack[depth]] == "p":
-                        pop_to(depth)
-                        break
-                    if tag[stack[depth]] in _SCOPE:
-                        break
-            ends = _ENDS.get(name)
-            if ends:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if tag[stack[depth]] in ends:
-                        pop_to(depth)
-                        break
-                    if tag[stack[depth]] in _SCOPE:
-                        break
+            if name in _BLOCK:  # a block ends an open paragraph
+                end_nearest(("p",))
+            if name in _ENDS:
+                end_nearest(_ENDS[name])
             tag.append(name)
             parent.append(stack[-1])
             end.append(len(tag))
             if name == "br":
                 pieces.append((len(tag) - 1, "\n"))
-            if name not in _VOID and not match["rest"].endswith("/"):
+            if name not in _VOID and not closed:
+                depths.setdefault(name, []).append(len(stack))
+                if name in _SCOPE:
+                    scopes.append(len(stack))
                 stack.append(len(tag) - 1)
         elif match["close"]:
             name = match["close"].lower()
             if name == "title" and title is not None:
                 title_text, title = _WHITE.sub(" ", html.unescape("".join(title))).strip(), None
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if tag[stack[depth]] == name:
-                    pop_to(depth)
-                    break
+            if depths.get(name):
+                pop_to(depths[name][-1])
         elif match["cdata"]:
             text(match["cdata"])
     if title is not None and title_text is None:
@@ -138,18 +161,20 @@ def extract(source: str | None) -> Page:
     for k in range(1, n):
         dropped[k] = dropped[parent[k]] or tag[k] in _DROP
         linked[k] = linked[parent[k]] or tag[k] == "a"
-    length, links, commas = [0] * n, [0] * n, [0] * n
+    length, links, commas, stops = [0] * n, [0] * n, [0] * n, [0] * n
     for k, raw in pieces:
         if not dropped[k]:
             own = len(_WHITE.sub(" ", raw).strip())
             length[k] += own
             commas[k] += raw.count(",") + raw.count("、") + raw.count("，")
+            stops[k] += "." in raw
             if linked[k]:
                 links[k] += own
     for k in range(n - 1, 0, -1):
         length[parent[k]] += length[k]
         links[parent[k]] += links[k]
         commas[parent[k]] += commas[k]
+        stops[parent[k]] += stops[k]
     inside = [False] * n  # an open paragraph already holds it
     score = [0.0] * n
     paragraphs = 0
@@ -170,14 +195,20 @@ def extract(source: str | None) -> Page:
     if final[best] <= 0:
         best = 0
         kept = [0]
+        if not length[0]:
+            for k in range(1, n):
+                dropped[k] = dropped[parent[k]] or tag[k] in _HIDDEN
     else:
         kept = [
             k for k in range(best if parent[best] < 0 else parent[best] + 1, n)
             if parent[k] == parent[best] and not dropped[k] and (
                 k == best or final[k] >= max(10.0, SIBLING_SHARE * final[best])
-                or (tag[k] == "p" and ((length[k] > SIBLING_PARAGRAPH and density[k] < LINK_DENSITY) or (0 < length[k] <= SIBLING_PARAGRAPH and links[k] == 0 and "." in "".join(t for j, t in pieces if k <= j < end[k]))))
+                or (tag[k] == "p" and ((length[k] > SIBLING_PARAGRAPH and density[k] < LINK_DENSITY) or (0 < length[k] <= SIBLING_PARAGRAPH and links[k] == 0 and stops[k])))
             )
         ]
+    home = [0] * n  # the block that an element is in
+    for k in range(1, n):
+        home[k] = k if tag[k] in _BLOCK else home[parent[k]]
     lines: list[list[str]] = [[]]
     ranges = iter([(k, end[k] if k else n) for k in kept])
     now = next(ranges)
@@ -189,12 +220,9 @@ def extract(source: str | None) -> Page:
             break
         if k < now[0] or dropped[k]:
             continue
-        own = k
-        while own > 0 and tag[own] not in _BLOCK:
-            own = parent[own]
-        if own != block or raw == "\n" and tag[k] == "br":
+        if home[k] != block or raw == "\n" and tag[k] == "br":
             lines.append([])
-            block = own
+            block = home[k]
         lines[-1].append(raw)
     out = [_WHITE.sub(" ", "".join(x)).strip() for x in lines]
     return Page(title_text, "\n".join(x for x in out if x), round(final[best], 6), tag[best] if best else None, paragraphs)
@@ -203,14 +231,17 @@ def extract(source: str | None) -> Page:
 def main_text(pages: DataFrame) -> DataFrame:
     """Adds title, main_text, main_score, main_tag and n_paragraphs to pages and drops their html.
 
-    A page without a scoring paragraph has score 0, no tag, and all its text. Null and empty html give an empty text and a
+    A page without a scoring paragraph has score 0, no tag, and all its text outside of navigation, asides, footers
+    and buttons; if there is none, all but the head's. Null and empty html give an empty text and a
     null title. Of containers with equal points the first counts. Unclosed, crossed and stray tags are taken as browsers
-    would about take them and never fail. Every row is extracted on its own; input columns of these names are replaced.
+    would about take them, and never fail; time grows with a page's length, not faster. Every row is extracted on its own,
+    repeated ones too; input columns of these names are replaced. An empty table gives an empty result.
     """
     added = StructType.fromDDL(OUT_SCHEMA)
     pages = without(pages, added.names)
     kept = [c for c in pages.columns if c != "html"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [extract(x) for x in batch.column("html").to_pylist()]

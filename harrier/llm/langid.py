@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import tokens
-from .common import batch_of, binary, without
+from .common import batch_of, binary, lean, without
 
 FAMILIES: dict[str, tuple[str, ...]] = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af", "lb", "fy"),
@@ -28,8 +28,10 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "turkic": ("tr", "az", "kk", "uz"),
     "indic": ("hi", "bn", "ur", "mr", "gu", "pa", "ne"),
 }
-#: Labelled documents of each language that the models are fitted on, about and at most: a bounded sample by hash of doc_id.
+#: Labelled documents of each language that the models are fitted on, about: a bounded sample by hash of id and text.
 TRAIN_ROWS_PER_LANGUAGE = 1000
+#: Languages that models are fitted for, the most frequent ones: a bound for a ``lang`` column that holds anything.
+MAX_LANGUAGES = 64
 BUCKET_BITS = 12
 #: Lengths of n-grams, in bytes of the lower-case text.
 ORDERS = (2, 3)
@@ -154,25 +156,28 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 300) -> tup
     return w, float(b - mean @ w)
 
 
-def training_sample(docs: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, lang, features) of about ``rows`` documents of each language, chosen by hash of doc_id."""
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chance = F.pmod(F.xxhash64(F.lit("langid"), F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1 << 30))
-    cases = F.lit(False)
-    for lang, n in counts.items():
-        cases = F.when(F.col("lang") == lang, chance < min(1 << 30, int(rows / n * (1 << 30)))).otherwise(cases)
+def training_sample(docs: DataFrame, rows: int, languages: int = MAX_LANGUAGES) -> DataFrame:
+    """(doc_id, lang, features) of about ``rows`` documents of each of the ``languages`` most frequent languages, chosen by hash of id and text; repeated rows count once."""
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND length(text) > 0").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    # one row per language, ``languages`` at most
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    shares = F.broadcast(counts.select(F.col("lang").alias("h_lang"), (F.least(F.lit(1.0), rows / F.col("n")) * (1 << 30)).cast("long").alias("h_share")))
+    chosen = labelled.withColumn("h_hash", F.xxhash64(F.lit("langid"), "doc_id", "text")).join(shares, F.col("lang") == F.col("h_lang"))
+    chosen = chosen.where(F.pmod("h_hash", F.lit(1 << 30)) < F.col("h_share")).dropDuplicates(["lang", "h_hash"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch_of(doc_id=batch.column("doc_id"), lang=batch.column("lang"), features=binary(f.tobytes() for f in _features(batch.column("text")).astype(np.float16)))
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                yield batch_of(doc_id=part.column("doc_id"), lang=part.column("lang"), features=binary(f.tobytes() for f in _features(part.column("text")).astype(np.float16)))
 
-    return labelled.where(cases).select(F.col("doc_id").cast("long"), F.col("text"), F.col("lang")).mapInArrow(run, "doc_id long, lang string, features binary")
+    return chosen.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, features binary")
 
 
 def fit(docs: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE, families: Mapping[str, tuple[str, ...]] = FAMILIES) -> Hierarchy:
     """Fits all models on the driver. A language of no listed family is a family of its own."""
-    sample = training_sample(docs, rows_per_language).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    sample = training_sample(docs, rows_per_language).toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("features", "ascending")])
     langs = sample["lang"].to_pylist()
     size = 1 << BUCKET_BITS
     x = np.frombuffer(b"".join(v.as_buffer() for v in sample["features"]), np.float16).reshape(-1, size).astype(np.float32)
@@ -210,6 +215,7 @@ def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
     docs = without(docs, names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
@@ -231,6 +237,7 @@ def identify(docs: DataFrame, model: Hierarchy) -> DataFrame:
 def language_id(docs: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE, families: Mapping[str, tuple[str, ...]] = FAMILIES) -> DataFrame:
     """Fits the models on the documents that name their language in ``lang`` and identifies all.
 
-    Rows with a null ``lang`` or no text are not trained on. An empty table gives an empty result.
+    Rows with a null ``lang`` or no text are not trained on. The whole of a long text counts. An empty table gives an empty
+    result. doc_id must be a number, or text that reads as one, or null; it tells nothing about the language.
     """
     return identify(docs, fit(docs, rows_per_language, families))

@@ -1,12 +1,15 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document is the set of its word n-grams. The grams' order is cut into fragments; every fragment holds the grams of one hash
-range of all documents, so it knows their document frequencies exactly. Grams of one document only cannot overlap and stay in
-their fragment. What is left is gathered per document, put in the global order (rarest first) and cut to the prefix that any
-partner must share a gram with. Documents that share prefix grams form blocks; in a block, the overlaps of every pair are
-counted in separate fragments of the gram order and summed per pair.
-
-Documents with the same word sequence are one node throughout, so a thousand copies cost as much as one.
+A document is the set of its word n-grams. Grams are first counted by hash range, so their document frequencies are exact.
+Grams of one document only cannot overlap and stay where they were counted. What is left is gathered per document, put in the
+global order (rarest first, then by hash) and cut to the prefix that any partner must share a gram with. Documents that share
+prefix grams form blocks. The global order is cut into fragments: in a block, the overlaps of every pair are counted in each
+fragment separately and summed per pair.
+
+Documents with the same word sequence are one node throughout, so a thousand copies cost as much as one. Word sequences are
+told apart by a 64-bit hash, and grams by 40 bits and the number of their hash range: of 10 billion different texts, about 3
+pairs would be taken for copies of each other by chance; a gram is taken for a certain other one with a chance of 1 in
+2**40 times the number of ranges.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import tokens
-from .common import batch_of, binary, by_bucket, components, exchange, numbers, release, saved
+from .common import batch_of, binary, by_bucket, components, exchange, lean, numbers, release, saved
 from .tokens import U64
 
 GRAM = 3
@@ -61,6 +64,7 @@ def hashed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
 def document_keys(docs: DataFrame, n: int) -> DataFrame:
     """(doc_id, key, grams): the key of the word sequence and the number of n-grams with repeats; documents without words are left out."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, _, first, keys in hashed(batch):
@@ -106,6 +110,7 @@ def _fragments(docs: DataFrame, n: int, fragments: int) -> DataFrame:
         out["all_keys"][one], out["all_sizes"][one] = keys.tobytes(), sizes.tobytes()
         yield batch_of(bucket=pa.array(out.pop("bucket"), pa.int32()), **{k: binary(v) for k, v in out.items()})
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
         held = 0
@@ -169,6 +174,7 @@ def _rarity(frequency: np.ndarray) -> np.ndarray:
 def _shared_grams(fragments: DataFrame, buckets: int) -> DataFrame:
     """Of each fragment, the grams of two documents at least with their document frequency, packed by bucket of the document's key."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fragment, rows in by_bucket(batches):
             all_keys, all_sizes = numbers(rows["all_keys"], "<u8")[0], numbers(rows["all_sizes"], "<u4")[0]
@@ -227,8 +233,9 @@ def _least_overlap(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _survivors(shared: DataFrame, threshold: float, width: int) -> DataFrame:
-    """Documents that share enough grams to have a partner: (key, size, prefix, have, grams), the grams (``have`` of them) rarest first; the first ``prefix`` of them are the part that a partner must meet."""
+    """Documents that share enough grams to have a partner: (key, size, prefix, have, grams, rarity), the grams (``have`` of them) rarest first; the first ``prefix`` of them are the part that a partner must meet."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
             keys, per_row = numbers(rows["keys"], "<u8")
@@ -248,19 +255,21 @@ def _survivors(shared: DataFrame, threshold: float, width: int) -> DataFrame:
             order = np.argsort(grams)
             order = order[np.argsort(frequency[order], kind="stable")]
             order = order[np.argsort(node[order].astype(np.uint16) if len(nodes) < 65536 else node[order], kind="stable")]
-            grams = _low(grams[order], width).reshape(-1)
-            ends = np.cumsum(have[alive]) * width
-            begins = ends - have[alive] * width
+            grams, frequency = _low(grams[order], width).reshape(-1), frequency[order]
+            ends = np.cumsum(have[alive])
+            begins = ends - have[alive]
             yield batch_of(
-                key=nodes[alive].view(np.int64), size=sizes[alive].astype(np.int32), prefix=(have - least + 1)[alive].astype(np.int32), have=have[alive].astype(np.int32), grams=pa.array([grams[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary())
-            )
+                key=nodes[alive].view(np.int64), size=sizes[alive].astype(np.int32), prefix=(have - least + 1)[alive].astype(np.int32), have=have[alive].astype(np.int32),
+                grams=binary(grams[a * width : b * width].tobytes() for a, b in zip(begins, ends)), rarity=binary(frequency[a:b].tobytes() for a, b in zip(begins, ends)),
+            )
 
-    return shared.mapInArrow(run, "key long, size int, prefix int, have int, grams binary")
+    return shared.mapInArrow(run, "key long, size int, prefix int, have int, grams binary, rarity binary")
 
 
 def _prefix_edges(survivors: DataFrame, partitions: int, width: int) -> DataFrame:
     """Edges (a, b) from each prefix gram's least document to its others: whoever shares a prefix gram is connected."""
 
+    @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, counts = _unpack(batch.column("grams"), width), batch.column("have").to_numpy()
@@ -276,6 +285,7 @@ def _prefix_edges(survivors: DataFrame, partitions: int, width: int) -> DataFram
             spans = list(zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]))
             yield batch_of(bucket=bucket[[a for a, _ in spans]], keys=binary(keys[a:b].tobytes() for a, b in spans), grams=binary(_low(grams[a:b], width).tobytes() for a, b in spans))
 
+    @lean
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
             keys, grams = numbers(rows["keys"], "<i8")[0], _unpack(rows["grams"], width)
@@ -330,20 +340,51 @@ def _count(node: np.ndarray, sizes: np.ndarray, have: np.ndarray, gram: np.ndarr
         lo = hi
 
 
-def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions: int, width: int) -> DataFrame:
+def _order(rows: DataFrame) -> DataFrame:
+    """(component, levels): of each component, how many grams there are of each of the 256 degrees of rarity, as 64-bit numbers."""
+
+    @lean
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            components_, of = np.unique(batch.column("component").to_numpy(), return_inverse=True)
+            rarity, counts = numbers(batch.column("rarity"), np.uint8)
+            cells, n = np.unique(np.repeat(of, counts) * 256 + rarity, return_counts=True)
+            yield batch_of(component=components_[cells // 256], rarity=(cells % 256).astype(np.int32), n=n)
+
+    counted = rows.select("component", "rarity").mapInArrow(run, "component long, rarity int, n long").groupBy("component", "rarity").agg(F.sum("n").alias("n"))
+    by = F.map_from_entries(F.collect_list(F.struct("rarity", "n")))
+    return counted.groupBy("component").agg(by.alias("by")).select("component", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.try_element_at("by", k), F.lit(0))).alias("levels"))
+
+
+def _fragment(grams: np.ndarray, rarity: np.ndarray, levels: np.ndarray, parts: int, span: float) -> np.ndarray:
+    """The fragments of the grams of a block, whose global order is cut into ``parts`` of about the same number of grams: by rarity, and inside one degree by hash."""
+    ends = np.cumsum(levels)
+    rank = (ends - levels)[rarity] + levels[rarity] * (grams / span)
+    return np.minimum(rank * (parts / max(ends[-1], 1)), parts - 1).astype(np.int64)
+
+
+def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions: int, width: int, fragments: int) -> DataFrame:
     """(a, b, jaccard) of the keys of all pairs at the threshold."""
     buckets = max(BLOCK_FRAGMENTS, partitions)
+    span = float(fragments << LOW_BITS)
 
+    @lean
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams, counts = _unpack(batch.column("grams"), width), batch.column("have").to_numpy()
             if not len(grams):
                 continue
+            rarity = numbers(batch.column("rarity"), np.uint8)[0]
             row = np.repeat(np.arange(len(counts)), counts)
             keys, size, block, parts = (batch.column(x).to_numpy() for x in ("key", "size", "component", "parts"))
-            fragment = tokens.mix(grams.copy()) % parts.astype(U64)[row]
+            fragment, at = np.empty(len(grams), np.int64), 0
+            levels = [None if x is None else np.array(x) for x in batch.column("levels").to_pylist()]
+            for k, n in enumerate(counts):
+                fragment[at : at + n] = _fragment(grams[at : at + n], rarity[at : at + n], even if levels[k] is None else levels[k], parts[k], span)
+                at += n
             home = tokens.mix(block.astype(np.int64).view(U64).copy())[row]
-            bucket = ((home + fragment) % U64(buckets)).astype(np.int64)
+            bucket = ((home + fragment.astype(U64)) % U64(buckets)).astype(np.int64)
             order = np.lexsort((fragment, row, bucket))
             bucket, row, grams, fragment = bucket[order], row[order], grams[order], fragment[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -356,6 +397,7 @@ def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions
                     counts=binary([np.diff(np.r_[begin, hi - lo]).astype("<u4").tobytes()]), grams=binary([_low(grams[lo:hi], width).tobytes()]),
                 )
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
             counts = numbers(rows["counts"], "<u4")[0]
@@ -371,10 +413,15 @@ def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions
                 yield batch_of(a=nodes[a], b=nodes[b], sizes=sizes[a] + sizes[b], overlap=overlap)
 
     home = blocks.withColumnRenamed("node", "key")
-    large = saved(survivors.select("key", "have").join(home, "key").groupBy("component").agg((F.sum("have") / BLOCK_GRAMS).alias("parts")).where(F.col("parts") > BLOCK_FRAGMENTS).select("component", F.ceil("parts").cast("int").alias("parts")))
-    home = saved(home.join(large, "component", "left").select("key", "component", F.coalesce("parts", F.lit(BLOCK_FRAGMENTS)).alias("parts")))
+    # blocks of over BLOCK_FRAGMENTS * BLOCK_GRAMS grams are cut by their own order, the others by that of them all
+    large = survivors.select("key", "have").join(home, "key").groupBy("component").agg((F.sum("have") / BLOCK_GRAMS).alias("parts")).where(F.col("parts") > BLOCK_FRAGMENTS)
+    large = saved(large.select("component", F.ceil("parts").cast("int").alias("parts")))
+    levels = saved(_order(survivors.join(home, "key").join(large.select("component"), "component", "left_semi")))
+    even = _order(survivors.select(F.lit(0).cast("long").alias("component"), "rarity")).first()  # one row of 256 numbers
+    even = np.array(even.levels if even else [0] * 256)
+    home = saved(home.join(large, "component", "left").join(levels, "component", "left").select("key", "component", F.coalesce("parts", F.lit(BLOCK_FRAGMENTS)).alias("parts"), "levels"))
     release(survivors.sparkSession)
-    placed = survivors.join(home, "key").select("key", "size", "have", "component", "parts", "grams")
+    placed = survivors.join(home, "key").select("key", "size", "have", "component", "parts", "levels", "grams", "rarity")
     partial = exchange(placed.mapInArrow(split, "bucket int, keys binary, sizes binary, have binary, blocks binary, counts binary, grams binary"), buckets).mapInArrow(count, "a long, b long, sizes long, overlap long")
     total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"), F.first("sizes").alias("sizes"))
     return total.select("a", "b", (F.col("overlap") / (F.col("sizes") - F.col("overlap"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
@@ -399,7 +446,12 @@ def key_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> t
     survivors = gather()
     release(spark)
     blocks = components(_prefix_edges(survivors, partitions, width))
-    return keys.select("doc_id", "key"), _pairs(survivors, blocks, threshold, partitions, width)
+    return keys.select("doc_id", "key"), saved(_pairs(survivors, blocks, threshold, partitions, width, fragments))
+
+
+def _check(n: int, threshold: float) -> None:
+    if not 0 < threshold <= 1 or n < 1:
+        raise ValueError("threshold must be in (0, 1] and n at least 1")
 
 
 def ngram_join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
@@ -414,8 +466,7 @@ def ngram_join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) ->
     compared like those of different documents and a pair of a doc_id with itself is left out. Other columns are ignored.
     An empty table gives an empty result. Ties in the gram order are broken by hash and never change the result.
     """
-    if not 0 < threshold <= 1 or n < 1:
-        raise ValueError("threshold must be in (0, 1] and n at least 1")
+    _check(n, threshold)
     keys, pairs = key_pairs(docs.where("doc_id IS NOT NULL"), n, threshold)
     least = saved(keys.groupBy("key").agg(F.min("doc_id").alias("rep")))
     copies = keys.distinct().join(least, "key").where("doc_id > rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
@@ -424,9 +475,37 @@ def ngram_join(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) ->
     return copies.unionByName(near)
 
 
+def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """Near-duplicate classes: one row (doc_id, class_id, copies, links) per document.
+
+    class_id is the least doc_id of those that are connected by links, that is by the pairs of ``ngram_join``: documents with
+    the same words, or with different words at jaccard >= threshold. copies is the number of documents with the same words,
+    itself included; links is the number of different texts that its text is near. So the rows are as many as the documents,
+    and no link between two texts is left out.
+
+    Documents without words (null or empty texts) are alone, as one copy without links. Null doc_ids are left out. A doc_id
+    with several texts has a row for each of them that differs in its words. Texts of fewer than ``n`` words, ties and empty
+    tables are as in ``ngram_join``; other columns are ignored. doc_id must be a number, or text that reads as one.
+    """
+    _check(n, threshold)
+    docs = docs.where("doc_id IS NOT NULL")
+    keys, pairs = key_pairs(docs, n, threshold)
+    documents_ = saved(keys.distinct())
+    texts = documents_.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
+    near = saved(texts.join(components(pairs.select("a", "b")).withColumnRenamed("node", "key"), "key").join(links, "key"))
+    least = near.groupBy("component").agg(F.min("rep").alias("class_id"))
+    near = near.join(least, "component").select("key", "class_id", "links")
+    judged = texts.join(near, "key", "left").select("key", F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    worded = documents_.join(judged, "key").select("doc_id", "class_id", "copies", "links")
+    bare = _with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "h_key").where("h_key = 0").select("doc_id").distinct()
+    return worded.unionByName(bare.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("links")))
+
+
 def _with_key(docs: DataFrame, name: str) -> DataFrame:
     """Adds the key of each row's word sequence (0: no words)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.concatenate([np.zeros(0, U64)] + [x[-1] for x in hashed(batch)])
@@ -440,7 +519,8 @@ def deduplicate(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) ->
 
     Rows of one doc_id with different words are different documents; of those that are near duplicates of each other, one
     stays. So it is for rows with a null doc_id, which stay only if their component has no doc_id. Of rows that repeat a doc_id
-    (or null) with the same words, one stays. Documents without words all stay. Columns are those of the input.
+    (or null) with the same words, one stays. Documents without words all stay. Columns are those of the input. An empty table
+    gives an empty result. doc_id must be a number, or text that reads as one, or null.
     """
     keys, pairs = key_pairs(docs, n, threshold)
     groups = components(pairs.select("a", "b"))

@@ -18,7 +18,7 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(documents(spark, sf_dir))
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
 
 
 def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,16 +61,20 @@ def queries() -> dict[str, Query]:
 _WORDS = r"regexp_extract_all(lower(text), '[0-9a-z\x{C0}-\x{1FFF}\x{2080}-\x{2FFF}\x{3040}-\x{10FFFF}]+')"
 
 NGRAM_JOIN = rf"""
-WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL),
 ids AS (SELECT DISTINCT doc_id, w FROM words WHERE len(w) > 0),
-reps AS (SELECT w, min(doc_id) AS rep FROM ids GROUP BY w),
+reps AS (SELECT w, min(doc_id) AS rep, count(*) AS copies FROM ids GROUP BY w),
 grams AS (SELECT DISTINCT rep, CASE WHEN len(w) < {ngram_join.GRAM} THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + {ngram_join.GRAM - 1}], ' ') END AS g
           FROM (SELECT rep, w, unnest(range(1, greatest(len(w) - {ngram_join.GRAM - 2}, 2))) AS i FROM reps)),
 sizes AS (SELECT rep, count(*) AS n FROM grams GROUP BY rep),
-pairs AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep)
-SELECT rep AS doc_a, doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM ids JOIN reps USING (w) WHERE doc_id > rep
+common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep GROUP BY a.rep, b.rep),
+near AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE c::DOUBLE / (x.n + y.n - c) >= {ngram_join.THRESHOLD}),
+edges AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT a, a AS b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+classes AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a), links AS (SELECT a AS rep, count(*) AS links FROM edges GROUP BY a)
+SELECT doc_id, coalesce(class_id, rep) AS class_id, copies, coalesce(links, 0) AS links FROM ids JOIN reps USING (w) LEFT JOIN classes USING (rep) LEFT JOIN links USING (rep)
 UNION ALL
-SELECT a, b, c::DOUBLE / (x.n + y.n - c) FROM pairs JOIN sizes x ON x.rep = a JOIN sizes y ON y.rep = b WHERE c::DOUBLE / (x.n + y.n - c) >= {ngram_join.THRESHOLD}
+SELECT DISTINCT doc_id, doc_id, 1, 0 FROM words WHERE coalesce(len(w), 0) = 0
 """
 
 MIX = rf"""

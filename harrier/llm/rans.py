@@ -9,7 +9,6 @@ stream and the tokens. All lanes of many blocks advance together in numpy.
 from __future__ import annotations
 
 import base64
-import os
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import tokens
-from .common import batch_of, binary, saved
+from .common import batch_of, binary, lean, saved
 from .tokens import U64
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -56,11 +55,10 @@ class Tokenizer:
     _SPACE[[9, 10, 11, 12, 13, 32]] = True
     _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1] * 9, U64)
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: bytes) -> None:
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.size = max(ranks.values()) + 1
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.bytes = {v: k for k, v in ranks.items()}
@@ -179,14 +177,21 @@ class Tokenizer:
         return self.flat[at], np.diff(np.concatenate([[0], total])[row_first])
 
 
-_tokenizers: dict[str, Tokenizer] = {}
+_tokenizers: dict[int, Tokenizer] = {}
 
 
-def tokenizer(path: str) -> Tokenizer:
+def tokenizer(vocabulary: bytes) -> Tokenizer:
     """One per worker process and vocabulary."""
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokenizer(path)
-    return _tokenizers[path]
+    key = zlib.crc32(vocabulary)
+    if key not in _tokenizers:
+        _tokenizers[key] = Tokenizer(vocabulary)
+    return _tokenizers[key]
+
+
+def read_vocabulary(path: str) -> bytes:
+    """The vocabulary's file, which only the driver needs to have; executors get its bytes (under a megabyte or two, whatever the corpus)."""
+    with open(path, "rb") as file:
+        return file.read()
 
 
 # --- frequency table
@@ -278,11 +283,14 @@ def decode(states: bytes, words: bytes, table: Table, tokens_: int, symbols: np.
 # --- operator
 
 
-def tokenized(docs: DataFrame, path: str = VOCABULARY, order: Sequence[F.Column] = ()) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: bytes, order: Sequence[F.Column] = ()) -> DataFrame:
     """(doc_id, tokens, o0, o1, ..., place): token ids as packed little-endian integers of 16 bits, or 32 if the vocabulary needs them; the values of ``order``; place ascends with the order of the input."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
+        own = tokenizer(shared.value)
         kind = np.uint16 if own.size <= 65536 else np.uint32
         context = TaskContext.get()
         place = (context.partitionId() if context else 0) << 40
@@ -299,9 +307,8 @@ def tokenized(docs: DataFrame, path: str = VOCABULARY, order: Sequence[F.Column]
     return own.mapInArrow(run, StructType([*StructType.fromDDL("doc_id long, tokens binary").fields, *own.schema.fields[2:], *StructType.fromDDL("place long").fields]))
 
 
-def _kind(path: str) -> str:
-    with open(path, "rb") as file:
-        return "<u2" if max(int(line.split()[1]) for line in file) < 65536 else "<u4"
+def _kind(vocabulary: bytes) -> str:
+    return "<u2" if max(int(line.split()[1]) for line in vocabulary.splitlines()) < 65536 else "<u4"
 
 
 def token_counts(coded: DataFrame, kind: str) -> DataFrame:
@@ -326,6 +333,7 @@ def token_counts(coded: DataFrame, kind: str) -> DataFrame:
 def blocks(coded: DataFrame, frequencies: np.ndarray, kind: str, block_tokens: int = BLOCK_TOKENS, lanes: int = LANES, checkpoint: int = CHECKPOINT_TOKENS) -> DataFrame:
     shared = coded.sparkSession.sparkContext.broadcast(frequencies)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(shared.value)
         context = TaskContext.get()
@@ -391,14 +399,13 @@ def pack(docs: DataFrame, path: str = VOCABULARY, block_tokens: int = BLOCK_TOKE
 
     Null and empty texts have no tokens and stand in a block with 0 of them; a null doc_id stays null; repeated rows are
     packed as often as they come; a document longer than a block goes on in the next. An empty table gives the table's row
-    alone, with no symbols. Other columns are ignored.
+    alone, with no symbols. Other columns are ignored. doc_id must be a number, or text that reads as one, or null.
     """
     if block_tokens % lanes or checkpoint % lanes:
         raise ValueError("a block and the distance of checkpoints must be multiples of the lanes")
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    kind = _kind(path)
-    coded = saved(tokenized(docs, path, order))
+    vocabulary = read_vocabulary(path)
+    kind = _kind(vocabulary)
+    coded = saved(tokenized(docs, vocabulary, order))
     # one row per entry of the vocabulary, whatever the corpus
     rows = token_counts(coded, kind).collect()
     counts = np.zeros(max((r.token for r in rows), default=-1) + 1, np.int64)

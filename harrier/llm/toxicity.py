@@ -1,14 +1,15 @@
 """Toxicity by a classifier chain.
 
 The categories are predicted one after the other; each linear (logistic) model sees the words of a document and the
-probabilities that the earlier models gave it. In training those are out-of-fold predictions, so a model learns from
-probabilities as honest as the ones it will get. The last category is the label column ``toxic`` itself. Earlier categories
-have no label of their own: a document has them if it is labelled toxic and holds a word of the category's list.
+probabilities that the earlier models gave it. In training those are out-of-fold predictions (vocabulary included), so a model
+learns from probabilities as honest as the ones it will get; copies of a text are in one fold. The last category is the label
+column ``toxic`` itself. Earlier categories are label columns of the table if their names are given; otherwise they have weak
+labels: a document has them if it is labelled toxic and holds a word of the category's list.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import tokens
-from .common import batch_of, binary, without
+from .common import batch_of, binary, lean, without
 from .tokens import U64
 
 #: Word lists that give the weak labels of the earlier categories, in chain order.
@@ -149,63 +150,85 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield lo, hi, tokens.word_hashes(own, starts, ends), first
 
 
-def outcomes(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic): one row per labelled document."""
-    return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+def outcomes(labels: DataFrame, categories: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, toxic, and the label columns ``categories``): one row per labelled document; a category's null is no."""
+    more = [F.coalesce((F.max(F.col(f"`{c}`").cast("int")) > 0).cast("int"), F.lit(0)).alias(f"y{k}") for k, c in enumerate(categories)]
+    return labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"), *more)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(doc_id, toxic, words): the distinct word hashes of at most ``rows`` labelled documents of each class, chosen by hash."""
-    own = outcomes(labels)
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int, categories: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, toxic, y0, y1, ..., words): the distinct word hashes of at most ``rows`` labelled documents of each class, chosen by hash."""
+    own = outcomes(labels, categories)
     rank = F.xxhash64(F.lit("toxicity"), "doc_id")
     picked = own.where("toxic = 1").orderBy(rank, "doc_id").limit(rows).unionByName(own.where("toxic = 0").orderBy(rank, "doc_id").limit(rows))
 
+    names = ["doc_id", "toxic", *(f"y{k}" for k in range(len(categories)))]
+
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, words, first in _words(batch.column("text")):
                 yield batch_of(
-                    doc_id=batch.column("doc_id").slice(lo, hi - lo), toxic=batch.column("toxic").slice(lo, hi - lo),
+                    **{c: batch.column(c).slice(lo, hi - lo) for c in names},
                     words=binary(np.unique(words[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])),
                 )
 
     # the sample has 2 * rows ids at most, whatever the corpus
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").mapInArrow(run, "doc_id long, toxic int, words binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select(*names, "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} int" for c in names[1:]) + ", words binary")
+
 
+def marking_words(flat: np.ndarray, counts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All words (ascending) that mark toxic rows by their likelihood ratio."""
+    positive, negative = (np.unique(flat[np.repeat(y == k, counts)], return_counts=True) for k in (1, 0))
+    n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
+    other = np.zeros(len(positive[0]))
+    if len(negative[0]):
+        at = np.minimum(np.searchsorted(negative[0], positive[0]), len(negative[0]) - 1)
+        other = np.where(negative[0][at] == positive[0], negative[1][at], 0)
+    a, b = positive[1] / n1, other / n0
+    gain = np.where((positive[1] >= 3) & (a > 2 * b), positive[1] * np.log((a + 1e-9) / (b + 0.5 / n0)), 0)
+    return positive[0][gain > 8]
 
-def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER_CLASS, folds: int = FOLDS) -> Chain:
-    """Fits the chain on the driver, on ``training_sample``. All words are kept that mark toxic documents (likelihood ratio).
 
-    A class that the sample cuts is weighted by the inverse of its sampling rate, so probabilities do not depend on the cut.
+def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER_CLASS, folds: int = FOLDS, categories: Sequence[str] = ()) -> Chain:
+    """Fits the chain on the driver, on ``training_sample``. ``categories`` are label columns that come before ``toxic`` in the chain; without any, the weak ones of ``CATEGORIES`` do.
+
+    Words count as features if they mark toxic documents: at least 3 of them, twice as often as clean ones, and a gain of over
+    8 nats; all that do are kept. A class that the sample cuts is weighted by the inverse of its sampling rate, so
+    probabilities do not depend on the cut. The probabilities that later models learn from were predicted for documents that
+    neither the vocabulary nor the earlier models have seen.
     """
-    sample = training_sample(docs, labels, rows_per_class).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    names = [*CATEGORIES, "toxic"]
+    sample = training_sample(docs, labels, rows_per_class, categories).toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    names = [*(categories or CATEGORIES), "toxic"]
     y = sample["toxic"].to_numpy().astype(float)
     per_row = [np.frombuffer(x.as_buffer(), U64) for x in sample["words"]]
     counts = np.array([len(x) for x in per_row], np.int64)
     flat = np.concatenate(per_row) if per_row else np.zeros(0, U64)
-    positive, negative = (np.unique(flat[np.repeat(y == k, counts)], return_counts=True) for k in (1, 0))
+    first = np.r_[0, np.cumsum(counts)]
     # two rows: all labelled documents of each class
     total = {r.toxic: r["count"] for r in outcomes(labels).groupBy("toxic").count().collect()}
     over = [max(total.get(k, 0) / max(rows_per_class, 1), 1.0) for k in (0, 1)]
     weight = np.where(y == 1, over[1], over[0])
-    n1, n0 = max(y.sum(), 1), max(len(y) - y.sum(), 1)
-    other = np.zeros(len(positive[0]))
-    if len(negative[0]):
-        at = np.minimum(np.searchsorted(negative[0], positive[0]), len(negative[0]) - 1)
-        other = np.where(negative[0][at] == positive[0], negative[1][at], 0)
-    a, b = positive[1] / n1, other / n0
-    gain = np.where((positive[1] >= 3) & (a > 2 * b), positive[1] * np.log((a + 1e-9) / (b + 0.5 / n0)), 0)
-    vocabulary = positive[0][gain > 8]  # ascending
-    x = _presence(flat, np.r_[0, np.cumsum(counts)], vocabulary)
-    lists = [np.array(sorted(tokens.hash_word(w) for w in words), U64) for words in CATEGORIES.values()]
-    targets = [y * (_presence(flat, np.r_[0, np.cumsum(counts)], own).dot(np.ones(len(own))) > 0) for own in lists] + [y]
-    fold = np.arange(len(y)) % folds
+    if categories:
+        targets = [sample[f"y{k}"].to_numpy().astype(float) for k in range(len(categories))] + [y]
+    else:
+        lists = [np.array(sorted(tokens.hash_word(w) for w in words), U64) for words in CATEGORIES.values()]
+        targets = [y * (_presence(flat, first, own).dot(np.ones(len(own))) > 0) for own in lists] + [y]
+    # by words, so that copies are together; dealt in the order of their hashes, so that folds are alike in size
+    kind = np.array([int(np.bitwise_xor.reduce(tokens.mix(x.copy()))) if len(x) else 0 for x in per_row], U64)
+    fold = np.unique(kind, return_inverse=True)[1] % folds
+    held = []
+    for f in range(folds):
+        train = fold != f
+        held.append((train, _presence(flat, first, marking_words(flat[np.repeat(train, counts)], counts[train], y[train]))))
+    vocabulary = marking_words(flat, counts, y)
+    x = _presence(flat, first, vocabulary)
     honest = np.zeros((len(y), len(names)))
     chain = Chain(names, vocabulary, [], [], [])
     for k, target in enumerate(targets):
-        for f in range(folds):
-            w, v, c = _logistic(x.where(fold != f), honest[fold != f, :k], target[fold != f], weight[fold != f])
-            honest[fold == f, k] = _sigmoid(x.where(fold == f).dot(w) + honest[fold == f, :k] @ v + c)
+        for train, own in held:
+            w, v, c = _logistic(own.where(train), honest[train, :k], target[train], weight[train])
+            honest[~train, k] = _sigmoid(own.where(~train).dot(w) + honest[~train, :k] @ v + c)
         w, v, c = _logistic(x, honest[:, :k], target, weight)
         chain.weights.append(w)
         chain.chained.append(v)
@@ -223,6 +246,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     docs = without(docs, [*added, "toxic"])
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
@@ -236,20 +260,22 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     return docs.mapInArrow(run, schema.add("toxic", "boolean"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER_CLASS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, rows_per_class: int = TRAIN_ROWS_PER_CLASS, categories: Sequence[str] = ()) -> DataFrame:
     """Fits the chain on the labelled documents and scores all.
 
     Repeated label rows of a document count once, as toxic if one of them is; label rows with nulls, or of no document, are
-    passed over. Without toxic labels (or without any) nothing is toxic. An empty table gives an empty result.
+    passed over. Without toxic labels (or without any) nothing is toxic. The whole of a long text counts. An empty table gives
+    an empty result. doc_id must be a number, or text that reads as one, or null.
     """
-    return score(docs, fit(docs, labels, rows_per_class))
+    return score(docs, fit(docs, labels, rows_per_class, categories=categories))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are not toxic, with the input's columns."""
+    """The documents that are not toxic, with the input's columns; see ``toxicity``. Documents without words, and all of them without labels, stay."""
     chain = fit(docs, labels)
     model = docs.sparkSession.sparkContext.broadcast(chain)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = [model.value.probabilities(_presence(w, first, model.value.words))[:, -1] for _, _, w, first in _words(batch.column("text"))]

@@ -7,19 +7,20 @@ to on the identifiers alone and moves each payload once, to its capture's row.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, components, saved
+from .common import batch_of, components, lean, saved
 
-RECORD_SCHEMA = "record_id string, record_type string, concurrent_to array<string>, target_uri string, date string, content_type string, http_head string, payload binary, block_digest string"
+RECORD_SCHEMA = "record_id string, record_type string, concurrent_to array<string>, target_uri string, date string, content_type string, http_head string, payload binary, block_digest string, truncated boolean"
 CAPTURE_SCHEMA = (
     "capture_id string, target_uri string, date string, "
     "request struct<record_id:string,method:string,head:string,payload:binary>, "
-    "response struct<record_id:string,status:int,content_type:string,head:string,payload:binary,digest:string>, "
+    "response struct<record_id:string,status:int,content_type:string,head:string,payload:binary,digest:string,truncated:boolean>, "
     "metadata array<struct<record_id:string,content_type:string,fields:map<string,string>>>, n_records int"
 )
 
@@ -61,20 +62,35 @@ def page_records(pages: DataFrame) -> DataFrame:
     return pages.select(F.encode(warc, "utf-8").alias("warc"))
 
 
+#: Bytes of a gzip member that are opened at a time.
+GZIP_STEP = 1 << 16
+
+
+def _opened(data: bytes) -> list[bytes]:
+    """The contents of gzip members, in stretches that are whole: a member that breaks off ends one, and opening goes on at the next member."""
+    stretches: list[list[bytes]] = [[]]
+    at = 0
+    while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+        member, place = zlib.decompressobj(31), at
+        try:
+            while place < len(data) and not member.eof:
+                stretches[-1].append(member.decompress(data[place : place + GZIP_STEP]))
+                place = min(place + GZIP_STEP, len(data))
+        except zlib.error:
+            stretches.append([])
+            at += 3
+            continue
+        at = place - len(member.unused_data)
+    return [b"".join(x) for x in stretches]
+
+
 def _split(data: bytes) -> Iterator[dict]:
     """The records of WARC bytes; gzip members are opened. What follows a record that cannot be read is passed over up to the next."""
-    if data[:2] == b"\x1f\x8b":
-        import zlib
-
-        opened = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            try:
-                opened.append(member.decompress(data))
-            except zlib.error:
-                break
-            data = member.unused_data
-        data = b"".join(opened)
+    for stretch in _opened(data) if data[:2] == b"\x1f\x8b" else [data]:
+        yield from _records(stretch)
+
+
+def _records(data: bytes) -> Iterator[dict]:
     at = 0
     while (at := data.find(b"WARC/", at)) >= 0:
         if at and data[at - 1 : at] != b"\n":
@@ -105,16 +121,21 @@ def _split(data: bytes) -> Iterator[dict]:
                 payload = b""
         yield {
             "record_id": head.get("warc-record-id"), "record_type": head.get("warc-type"), "concurrent_to": [v for n, v in fields if n == "warc-concurrent-to"], "target_uri": head.get("warc-target-uri"),
-            "date": head.get("warc-date"), "content_type": head.get("content-type"), "http_head": http, "payload": payload, "block_digest": head.get("warc-block-digest"),
+            "date": head.get("warc-date"), "content_type": head.get("content-type"), "http_head": http, "payload": payload, "block_digest": head.get("warc-block-digest"), "truncated": len(block) < int(length) or "warc-truncated" in head,
         }
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """All records in the binary column ``warc``; null, empty and unreadable bytes have none. Other columns are ignored."""
+    """All records in the binary column ``warc``: null, empty and unreadable bytes have none. Other columns are ignored.
+
+    A cell is a whole file or a part that starts with a record, up to Spark's 2 GB of a cell. ``truncated`` tells a record that
+    ends before its length, or says itself that it was cut; of a gzip member that breaks off, what could be opened is kept.
+    """
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"concurrent_to": pa.list_(pa.string()), "payload": pa.binary()}
+        kinds = {"concurrent_to": pa.list_(pa.string()), "payload": pa.binary(), "truncated": pa.bool_()}
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 rows = [r for raw in batch.column("warc").slice(lo, 500).to_pylist() if raw for r in _split(raw)]
@@ -128,9 +149,9 @@ def transactions(records: DataFrame) -> DataFrame:
 
     Only identifiers move. Links go through ids whose records are missing, too. A record with several nearest responses goes
     to the least of their ids. Records that are linked to each other, but to no response, are the capture of the least of
-    their ids. Identifiers are written to the shared folder at every link.
+    their ids. Identifiers are written to the shared folder at every link. ``records`` are read a few times: give a table.
     """
-    ids = saved(records.where("record_id IS NOT NULL").select("record_id", "record_type", "concurrent_to"))
+    ids = records.where("record_id IS NOT NULL").select("record_id", "record_type", "concurrent_to")
     edges = ids.select(F.col("record_id").alias("a"), F.explode("concurrent_to").alias("b"))
     edges = saved(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     nearest = ids.where("record_type IN ('response', 'revisit', 'resource')").select(F.col("record_id").alias("a"), F.col("record_id").alias("capture_id")).distinct()
@@ -154,16 +175,17 @@ def assemble(records: DataFrame) -> DataFrame:
     Of several requests (or responses) of a capture the one with the least record_id counts; metadata are all kept, in order of
     record_id. What is missing is null, or an empty array. Repeated records count once. Records without an id or type, and
     types that are no part of a capture (warcinfo), are left out. The capture's uri and date are the response's, or else those
-    of its least record. An empty table gives an empty result; other columns are ignored.
+    of its least record. Of a metadata field that occurs more than once the first value counts. An empty table gives an empty
+    result; other columns are ignored. Records are parsed once and written to the shared folder, payloads too.
     """
-    own = records.where("record_id IS NOT NULL AND record_type IN ('request', 'response', 'metadata', 'revisit', 'resource')")
+    own = saved(records.where("record_id IS NOT NULL AND record_type IN ('request', 'response', 'metadata', 'revisit', 'resource')"))
     # a response is its own capture: only the others, that have little payload, look theirs up
     main = F.col("record_type").isin("response", "revisit", "resource")
     linked = own.where(main).withColumn("capture_id", F.col("record_id")).unionByName(own.where(~main).join(transactions(own), "record_id"))
     kind = F.col("record_type")
     request = F.when(kind == "request", F.struct("record_id", F.regexp_extract("http_head", r"^([A-Z]+) ", 1).alias("method"), F.col("http_head").alias("head"), "payload"))
     response = F.when(
-        kind.isin("response", "revisit", "resource"), F.struct("record_id", F.expr("try_cast(nullif(regexp_extract(http_head, '^HTTP/[0-9.]+ ([0-9]{3})', 1), '') AS int)").alias("status"), "content_type", F.col("http_head").alias("head"), "payload", F.coalesce("block_digest", F.sha1("payload")).alias("digest"))
+        kind.isin("response", "revisit", "resource"), F.struct("record_id", F.expr("try_cast(nullif(regexp_extract(http_head, '^HTTP/[0-9.]+ ([0-9]{3})', 1), '') AS int)").alias("status"), "content_type", F.col("http_head").alias("head"), "payload", F.coalesce("block_digest", F.sha1("payload")).alias("digest"), "truncated")
     )
     fields = F.map_from_entries(
         F.transform(

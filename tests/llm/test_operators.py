@@ -64,7 +64,7 @@ def test_automaton_finds_the_longest_matches():
         auto.add(x)
     words = [rng.randint(0, 3) for _ in range(300)]
     longest = max((j - i for x in items for i in range(30) for j in range(i + 1, 31) if any(words[k : k + j - i] == x[i:j] for k in range(300))), default=0)
-    assert max(n for _, n, _ in auto.matches(words, 3)) == longest
+    assert max(n for _, n in auto.flat().matches(np.array(words, np.uint64), 3)) == longest
 
 
 def test_warc_transactions(spark):
@@ -88,10 +88,10 @@ def test_thumbnails_against_block_means():
     rng = np.random.default_rng(3)
     pixels = np.kron(rng.integers(0, 256, (5, 7)), np.ones((8, 8)))
     for restart in (0, 4):
-        status, width, height, parts, tw, th, thumb, name = media.thumbnails([media.encode_grey(pixels, restart)])[0]
+        status, width, height, parts, tw, th, thumb, name = media.thumbnails([media.encode_grey([pixels], restart)[0]])[0]
         assert (status, width, height, parts, tw, th) == ("ok", 56, 40, 1, 7, 5) and len(name) == 16
         assert np.abs(np.frombuffer(thumb, np.uint8).reshape(5, 7).astype(float) - pixels[::8, ::8]).max() <= 2
-    assert [r[0] for r in media.thumbnails([None, b"", b"GIF8", media.encode_grey(pixels)[:100]])] == ["null", "empty", "not a JPEG", media.thumbnails([media.encode_grey(pixels)[:100]])[0][0]]
+    assert [r[0] for r in media.thumbnails([None, b"", b"GIF8", media.encode_grey([pixels])[0][:100]])] == ["null", "empty", "not a JPEG", media.thumbnails([media.encode_grey([pixels])[0][:100]])[0][0]]
 
 
 def test_reputation(spark):
@@ -117,7 +117,7 @@ def test_token_blocks_round_trip(spark, block):
     parts: dict = {}
     for r in sorted(rans.unpack(packed).collect(), key=lambda r: (r.doc_id, r.start)):
         parts.setdefault(r.doc_id, []).extend(r.tokens)
-    coder = rans.tokenizer(rans.VOCABULARY).coder
+    coder = rans.tokenizer(rans.read_vocabulary(rans.VOCABULARY)).coder
     assert parts == {k: coder.encode_ordinary(t or "") for k, t in enumerate(texts)}
 
 
@@ -220,7 +220,7 @@ def test_transactions_through_any_links(spark):
         ("q3", "request", ["lost"]), ("m3", "metadata", ["lost"]),  # the response's record is lost
         ("r4", "response", []), ("r5", "response", ["r4"]), ("q5", "request", ["r5"]), ("m5", "metadata", ["q5", "r4"]), ("q6", "request", None),
     ]
-    records = spark.createDataFrame([(i, k, c, "u", "d", "", "", bytearray(b""), "") for i, k, c in rows], warc.RECORD_SCHEMA)
+    records = spark.createDataFrame([(i, k, c, "u", "d", "", "", bytearray(b""), "", False) for i, k, c in rows], warc.RECORD_SCHEMA)
     assert {r.record_id: r.capture_id for r in warc.transactions(records).collect()} == {
         "r1": "r1", "q1": "r1", "m1": "r1", "n1": "r1", "o1": "r1", "q2": "m2", "m2": "m2", "q3": "m3", "m3": "m3", "r4": "r4", "r5": "r5", "q5": "r5", "m5": "r4", "q6": "q6",
     }
