@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from functools import cache
 from pathlib import Path
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .text import host_of, norm_host, trim
+from .text import constants, host_of, norm_host, trim
 
 _NETS4 = (
     "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "192.88.99.0/24",
@@ -81,11 +82,11 @@ def oid_like(ip: Column) -> Column:
 def benign_ipv4(ip: Column) -> Column:
     """Placeholder, reserved, all-equal or OID-like address. False for what is no IPv4 address; null for null."""
     v, n = trim(ip), ipv4_number(ip)
-    inside = F.lit(False)
-    for net in map(ipaddress.ip_network, _NETS4):
-        inside = inside | n.between(int(net[0]), int(net[-1]))
+    nets = [ipaddress.ip_network(x) for x in _NETS4]
+    ends = [constants(str(int(net[k])) for net in nets).cast("array<bigint>") for k in (0, -1)]
+    inside = F.exists(F.arrays_zip(ends[0].alias("lo"), ends[1].alias("hi")), lambda net: n.between(net["lo"], net["hi"]))
     same = F.rlike(v, F.lit(r"^(\d+)\.\1\.\1\.\1$"))
-    return v.isin(*known("addresses")) | F.coalesce(inside | same | F.startswith(v, F.lit("2.5.")), F.lit(False))
+    return F.array_contains(constants(known("addresses")), v) | F.coalesce(inside | same | F.startswith(v, F.lit("2.5.")), F.lit(False))
 
 
 def benign_ip(ip: Column) -> Column:
@@ -101,19 +102,18 @@ def version_like(ip: Column) -> Column:
 
 def _ends_with_any(host: Column, names: tuple[str, ...]) -> Column:
     """Whether the host is one of the names or below one: its suffixes are looked up, whatever the number of names."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    return F.arrays_overlap(suffixes, F.array(*map(F.lit, names)))
+    # each is a label before the suffix found last; the host is in the expression once, so that plans stay small
+    suffixes = F.aggregate(F.reverse(F.split(host, r"\.")), F.expr("cast(array() as array<string>)"), lambda acc, x: F.array_append(acc, F.concat_ws(".", x, F.try_element_at(acc, F.lit(-1)))))
+    return F.arrays_overlap(suffixes, constants(names))
+
+
+_BENIGN_HOST = rf"^(({'|'.join(_DOCS)})\..+\..*)?$|\.({'|'.join(re.escape(x) for x in (*_RESERVED_ENDS, *_BENIGN_ENDS))})\z"
 
 
 def benign_domain(host: Column) -> Column:
     """Example, documentation and well-known service hosts; an empty host too. Null for null."""
     h = norm_host(host)
-    labels = F.split(h, r"\.")
-    ends = F.lit(False)
-    for x in (*_RESERVED_ENDS, *_BENIGN_ENDS):
-        ends = ends | F.endswith(h, F.lit("." + x))
-    return (h == "") | ((F.size(labels) >= 3) & labels[0].isin(*_DOCS)) | _ends_with_any(h, _hosts()) | ends
+    return F.rlike(h, F.lit(_BENIGN_HOST)) | _ends_with_any(h, _hosts())
 
 
 def benign_url(url: Column) -> Column:
@@ -123,14 +123,14 @@ def benign_url(url: Column) -> Column:
 def benign_doc_url(url: Column) -> Column:
     """A benign host that cannot serve a stranger's payload."""
     h = host_of(url)
-    return (h != "") & ~h.isin(*known("payload")) & benign_domain(h)
+    return (h != "") & ~F.array_contains(constants(known("payload")), h) & benign_domain(h)
 
 
 def code_token(host: Column) -> Column:
     """Whether a domain is more likely an attribute access in code."""
     labels = F.split(norm_host(host), r"\.")
     name = F.try_element_at(labels, F.lit(-2))
-    return F.coalesce(F.element_at(labels, -1).isin(*_CODE_ENDS) & (name != "") & ((F.octet_length(name) <= 3) | name.isin(*known("identifiers"))), F.lit(False))
+    return F.coalesce(F.element_at(labels, -1).isin(*_CODE_ENDS) & (name != "") & ((F.octet_length(name) <= 3) | F.array_contains(constants(known("identifiers")), name)), F.lit(False))
 
 
 def benign(kind: Column, value: Column) -> Column:

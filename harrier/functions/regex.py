@@ -94,23 +94,19 @@ def _needs(parsed: _parser.SubPattern) -> list[str] | None:
     return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
 
 
-def required_literals(pattern: str) -> list[str] | None:
-    """Of every match, one of these is a part. None: nothing is known (or case does not count)."""
-    if re.match(r"\(\?[a-z]*i", pattern):
-        return None
-    return _needs(_parser.parse(pattern.replace(r"\z", r"\Z")))
+def required_literals(pattern: str) -> tuple[list[str] | None, bool]:
+    """Of every match, one of these is a part (None: nothing is known), and whether their case does not count."""
+    return _needs(_parser.parse(pattern.replace(r"\z", r"\Z"))), bool(re.match(r"\(\?[a-z]*i", pattern))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Whether ``text`` holds a match of the RE2 pattern. The regular expression runs only on texts with a literal that it needs."""
-    hit = F.rlike(text, F.lit(to_java(pattern)))
-    needed = required_literals(pattern)
-    if not needed or len(needed) > 12 or min(map(len, needed)) < 2:
-        return hit
-    some = F.lit(False)
-    for literal in dict.fromkeys(needed):
-        some = some | F.contains(text, F.lit(literal))
-    return F.when(some, hit).otherwise(F.when(text.isNull(), F.lit(None)).otherwise(F.lit(False)))
+    """Whether ``text`` holds a match of the RE2 pattern."""
+    return F.rlike(text, F.lit(to_java(pattern)))
+
+
+def holds(text: Column, java: Column) -> Column:
+    """Whether ``text`` holds a match of a Java pattern from a column; a pattern is compiled once for as long as it stays the same."""
+    return F.regexp_instr(text, java) > 0
 
 
 def example(pattern: str) -> str:

@@ -1,6 +1,7 @@
 """Detectors over a package's metadata, name, history and texts, each a column: an array of findings.
 
-Packages have the columns of ``SCHEMA``. ``detect`` concatenates all detectors that a package's capabilities allow.
+Packages have the columns of ``SCHEMA``. ``detect`` concatenates what the rules, the shell analysers and all detectors find that
+a package's capabilities allow, in one pass over the packages.
 """
 
 from __future__ import annotations
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.catalogue import cwe
-from ..functions.regex import to_java
+from ..functions.regex import holds, to_java
+from . import shell
+from .rules import findings, hits, of_rule, rule_candidates
 
 SCHEMA = (
     "name string, ecosystem string, capabilities map<string,boolean>, meta struct<name:string,url:string,num_votes:int,popularity:double,out_of_date:bigint,maintainer:string,submitter:string,first_submitted:bigint,license:array<string>,source:array<string>>, "
@@ -32,10 +35,10 @@ URL_HOST = "(?i)\\b(?:https?|ftp|git)://([^/\\s\"'`):]+)"
 HOOK_KEYS = "preinstall install postinstall preprepare prepare postprepare prepublishOnly".split()
 
 
-def _f(id_: str, category: str, kind: str, points: int, description: Column | str, line: Column | str = "", number: str | None = None) -> Column:
+def _f(id_: str, category: str, kind: str, points: int, description: Column | str, line: Column | str = "", number: Column | str | None = None) -> Column:
     number = cwe(id_) if number is None else number
     return F.struct(
-        F.lit(id_).alias("id"), F.lit(category).alias("category"), F.lit(kind).alias("class"), F.lit(number).alias("cwe"), F.lit(points).alias("points"),
+        F.lit(id_).alias("id"), F.lit(category).alias("category"), F.lit(kind).alias("class"), (number if isinstance(number, Column) else F.lit(number)).alias("cwe"), F.lit(points).alias("points"),
         (F.lit(description) if isinstance(description, str) else description).alias("description"), (F.lit(line) if isinstance(line, str) else F.coalesce(line, F.lit(""))).alias("matched_line"),
     )
 
@@ -114,7 +117,7 @@ def stars() -> Column:
 
 
 def comments() -> Column:
-    words = F.array(*map(F.lit, WORRIES))
+    words = text.constants(WORRIES)
     first = F.try_element_at(F.filter("comments", lambda c: F.exists(words, lambda w: F.contains(F.lower(c), w))), F.lit(1))
     word = F.try_element_at(F.filter(words, lambda w: F.contains(F.lower(first), w)), F.lit(1))
     cut = F.when(F.octet_length(first) > 120, F.concat(F.decode(F.substring(F.encode(first, "utf-8"), 1, 120), "utf-8"), F.lit("..."))).otherwise(first)
@@ -168,7 +171,7 @@ def checksums() -> Column:
     recipe = text.is_recipe(content) & (content != "")
     vcs = _has(F.col("name"), r"-(bzr|git|hg|svn)\z")
     found = _all(content, r"(?m)^source(_[a-zA-Z0-9_]+)?\s*=\s*\(", 1)
-    kinds = F.array(*map(F.lit, ("md5sums", "sha256sums", "sha512sums", "b2sums")))
+    kinds = text.constants(("md5sums", "sha256sums", "sha512sums", "b2sums"))
     pairs = F.flatten(F.transform(found, lambda s: F.transform(kinds, lambda k: F.struct(s.alias("s"), k.alias("k"), array_entries(content, F.concat(F.lit("source"), s)).alias("n"), array_entries(content, F.concat(k, s)).alias("m")))))
     wrong = F.try_element_at(F.filter(pairs, lambda p: (p.n > 0) & (p.m > 0) & (p.n != p.m)), F.lit(1))
     c = lambda *a: _f(*a, number="")
@@ -185,7 +188,7 @@ def names() -> Column:
     name, eco = _s("name"), _s("ecosystem")
     open_ = eco.isin("", "aur") & (_n("meta.num_votes") < 10)
     brand = F.regexp_extract(name, rf"^({'|'.join(sorted(BRANDS, key=len, reverse=True))})-({'|'.join(sorted(TAILS, key=len, reverse=True))})(-bin|-git)?$", 1)
-    popular = F.array(*map(F.lit, POPULAR))
+    popular = text.constants(POPULAR)
     near = F.try_element_at(F.filter(popular, lambda p: F.levenshtein(name, p) == 1), F.lit(1))
     inside = F.try_element_at(F.filter(popular, lambda p: (F.octet_length(name) > F.octet_length(p)) & (F.startswith(name, p) | F.endswith(name, p))), F.lit(1))
     return _list(
@@ -277,6 +280,24 @@ def _source_domains(content: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(bodies, lambda b: F.transform(_all(b, "https?://([^/\\s'\"]+)", 1), F.lower))), lambda d: ~F.contains(d, F.lit("$"))))
 
 
+#: Points from which a rule that a new revision brings counts by itself.
+NEW_RULE_POINTS = 60
+
+
+def new_suspicious(new_found: Column, old_found: Column) -> Column:
+    """The first strong rule for recipes that the new revision meets and the old one did not, given the candidates of both."""
+    strong = lambda r: r.section == "recipe" and r.points >= NEW_RULE_POINTS
+    new, old = _s("pkgbuild_content"), _s("prior_pkgbuild_content")
+    k = F.try_element_at(F.array_except(hits(new, new_found, strong), hits(old, old_found, strong)), F.lit(1))
+    fresh = F.array_compact(F.array(F.when((new != "") & (old != ""), k)))
+
+    def finding(k: Column) -> Column:
+        line = text.trim(F.try_element_at(F.filter(text.lines(new), lambda x: holds(x, of_rule(k, lambda r: to_java(r.pattern)))), F.lit(1)))
+        return _f("T-DIFF-NEW-SUSPICIOUS", "temporal", "evidence", 40, F.concat(F.lit("new in this revision: "), of_rule(k, lambda r: r.id)), line, of_rule(k, lambda r: cwe(r.id)))
+
+    return F.transform(fresh, finding).cast(FINDING)
+
+
 def revision() -> Column:
     """What the latest revision of a recipe changed; new rule hits are ``new_suspicious``."""
     new, old = _s("pkgbuild_content"), _s("prior_pkgbuild_content")
@@ -297,9 +318,7 @@ def behaviours() -> Column:
     manifest, hooks = _s("pkgbuild_content"), _s("install_script_content")
     both = F.concat_ws("\n", F.nullif(manifest, F.lit("")), F.nullif(hooks, F.lit("")))
     eco = F.lower(_s("ecosystem"))
-    hook = F.lit(False)
-    for key in HOOK_KEYS:
-        hook = hook | F.contains(manifest, F.lit(f'"{key}"')) | F.contains(manifest, F.lit(f"'{key}'"))
+    hook = F.rlike(manifest, F.lit(rf"""(?:"({'|'.join(HOOK_KEYS)})"|'({'|'.join(HOOK_KEYS)})')"""))
     js, py = eco.isin("npm", "node", "") & hook, eco.isin("pypi", "python", "")
     e = lambda name, why, kind="evidence": _f(name, "behavioral", kind, 0, why)
     return _list(
@@ -331,25 +350,79 @@ def enabled(key: str) -> Column:
     return F.coalesce(F.try_element_at("capabilities", F.lit(key)), F.lit(True))
 
 
+#: Capabilities of the detectors in ``detect``, of what runs beside it, and of the scan for indicators.
+CAPABILITIES = (
+    "manifest-patterns source-url-patterns gtfobins shell-obfuscation install-script onion-c2 homograph checksum name-typosquat bin-source orphan-takeover git-history manifest-diff "
+    "metadata-reputation maintainer-batch github-stars registry-comments bad-actor-behaviors ownership-hijack badhash ioc-extract goodkeys ioc-scan"
+).split()
+
+
 def detectors(now: int) -> dict[str, Column]:
-    """The detectors by the capability that switches them, in order."""
+    """The detectors beside the rule and shell scans, by the capability that switches them, in order."""
     return {
-        "checksum": checksums(), "homograph": homograph(), "onion": onion(), "name-typosquat": names(), "bin-source": binary_sources(), "orphan-takeover": takeover(now), "git-history": history(now), "manifest-diff": revision(),
-        "metadata-reputation": metadata(), "maintainer-batch": maintainer(now), "github-stars": stars(), "registry-comments": comments(), "bad-actor-behaviors": behaviours(),
+        "onion-c2": onion(), "homograph": homograph(), "checksum": checksums(), "name-typosquat": names(), "bin-source": binary_sources(), "orphan-takeover": takeover(now), "git-history": history(now),
+        "manifest-diff": F.concat(new_suspicious(F.col("d_recipe"), F.col("d_prior")), revision()), "metadata-reputation": metadata(), "maintainer-batch": maintainer(now), "github-stars": stars(), "registry-comments": comments(),
+        "bad-actor-behaviors": behaviours(),
     }
 
 
+def with_findings(packages: DataFrame, now: int, out: str = "findings") -> DataFrame:
+    """Adds the array of all findings of a package, in order. ``now`` is the time in seconds to judge by.
+
+    A detector runs unless its capability is switched off; ``install-script`` switches all that looks at install scripts. Null
+    texts and metadata find nothing. Nothing is shuffled.
+    """
+    recipe, hooks, eco = _s("pkgbuild_content"), _s("install_script_content"), _s("ecosystem")
+    runs, always = F.coalesce(F.col("pkgbuild_executes"), F.lit(False)), F.lit(True)
+    own = packages.select("*", rule_candidates(recipe).alias("d_recipe"), rule_candidates(hooks).alias("d_hooks"), rule_candidates(_s("prior_pkgbuild_content")).alias("d_prior"))
+    own = own.withColumn("d_text", F.when(enabled("shell-obfuscation"), recipe)).withColumn("d_hook_text", F.when(enabled("shell-obfuscation") & enabled("install-script"), hooks))
+    own = shell.analyse(own, "d_text", "d_shell")
+    own = shell.analyse(own, "d_hook_text", "d_hook_shell", "IS-", " (in install script)")
+    scripts_ = enabled("install-script") & (hooks != "")
+    in_recipe = findings(recipe, F.col("d_recipe"), ("recipe", "source", "binaries"), runs, eco, gates={"recipe": enabled("manifest-patterns"), "source": enabled("source-url-patterns"), "binaries": enabled("gtfobins")})
+    in_hooks = findings(hooks, F.col("d_hooks"), ("hook", "binaries"), always, eco, {"binaries": "IS-"}, {"binaries": enabled("gtfobins")})
+    parts = [(recipe != "", in_recipe), (always, F.col("d_shell")), (scripts_, in_hooks), (always, F.col("d_hook_shell")), *((enabled(capability), column) for capability, column in detectors(now).items())]
+    none = F.array().cast(FINDING)
+    return own.withColumn(out, F.concat(*[F.when(when, part.cast(FINDING)).otherwise(none) for when, part in parts])).drop("d_recipe", "d_hooks", "d_prior", "d_text", "d_hook_text", "d_shell", "d_hook_shell")
+
+
 def detect(packages: DataFrame, keys: list[str], now: int) -> DataFrame:
-    """Findings of all detectors but the rule and shell scans, one row each, ``seq`` in order. ``now`` is the time in seconds to judge by."""
-    out = None
-    for k, (capability, column) in enumerate(detectors(now).items()):
-        own = packages.where(enabled(capability)).select(*keys, F.posexplode(column).alias("at", "f")).select(*keys, (F.col("at") + 10_000 + 100 * k).alias("seq"), "f.*")
-        out = own if out is None else out.unionByName(own)
-    return out
+    """All findings of ``with_findings``, one row each: the keys, seq in order, and the finding's fields."""
+    return with_findings(packages, now, "d_all").select(*keys, F.posexplode("d_all").alias("seq", "f")).select(*keys, "seq", "f.*")
+
+
+def judged(packages: DataFrame, keys: list[str], now: int) -> DataFrame:
+    """(keys, malicious, path, reasons) of all packages by their own findings, without a shuffle: their first evidence decides."""
+    proof = F.try_element_at(F.filter("d_all", lambda f: f["class"] == "evidence"), F.lit(1))
+    own = with_findings(packages, now, "d_all").withColumn("d_proof", proof)
+    return own.select(*keys, F.col("d_proof").isNotNull().alias("malicious"), F.when(F.col("d_proof").isNotNull(), "evidence").otherwise("").alias("path"), F.array_compact(F.array(described(F.col("d_proof.id"), F.col("d_proof.description")))).alias("reasons"))
+
+
+def described(name: Column, why: Column) -> Column:
+    return F.when(F.coalesce(why, F.lit("")) != "", F.concat_ws(": ", name, why)).otherwise(name)
+
+
+def ownership_triggers(packages: DataFrame, keys: list[str], revisions: DataFrame | None = None, seen: DataFrame | None = None, bad: DataFrame | None = None) -> DataFrame:
+    """Triggers of a change of owner, one row each like findings of ``detect``.
+
+    ``revisions(keys, prior_maintainer)`` has the maintainer before; ``seen(identifier)`` and ``bad(identifier)`` are the owners
+    that were met before and the known bad actors, compared without case and outer white space. What is not given is not
+    judged. The tables are joined by owner, and by keys, with whatever join their size asks for.
+    """
+    own = packages.withColumn("o_owner", F.nullif(F.lower(text.trim(_s("meta.maintainer"))), F.lit("")))
+    own = own.join(revisions.select(*keys, "prior_maintainer"), keys, "left") if revisions is not None else own.withColumn("prior_maintainer", F.lit(None).cast("string"))
+    for name, table, without in (("o_seen", seen, True), ("o_bad", bad, False)):
+        if table is None:
+            own = own.withColumn(name, F.lit(without))
+        else:
+            known = table.select(F.lower(text.trim(F.col("identifier"))).alias("o_owner")).distinct().withColumn(name, F.lit(True))
+            own = own.join(known, "o_owner", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    found = own.where(F.col("meta").isNotNull()).select(*keys, F.posexplode(ownership(F.col("prior_maintainer"), F.col("o_seen"), F.col("o_bad"))).alias("at", "f"))
+    return found.select(*keys, (F.col("at") + 1_000_000).alias("seq"), "f.*")
 
 
 IDENTITY = {"MT-OWNERSHIP-TRANSFER": "owner-change", "MT-ORPHAN-ADOPTION": "owner-change", "MT-CHANGED-EMAIL": "email", "MT-NEW-MAINTAINER": "new-maintainer", "MT-NEW-CONTRIBUTOR": "new-contributor", "MT-NEW-REPORTER": "new-reporter"}
-PAYLOAD = "SA-HIGH-ENTROPY-HEREDOC"
+PAYLOAD = shell.PAYLOAD
 
 
 def verdicts(findings: DataFrame, keys: list[str]) -> DataFrame:
@@ -358,7 +431,7 @@ def verdicts(findings: DataFrame, keys: list[str]) -> DataFrame:
     The first evidence decides. Without any, a payload trigger together with a change of identity (or a known bad owner)
     does. Reasons are in order: payload, owner, then the last of each identity family by family name.
     """
-    said = F.when(F.coalesce(F.col("description"), F.lit("")) != "", F.concat_ws(": ", "id", "description")).otherwise(F.col("id"))
+    said = described(F.col("id"), F.col("description"))
     trigger = F.col("class") == "trigger"
     family = F.coalesce(*[F.when(F.col("id") == k, F.lit(v)) for k, v in IDENTITY.items()])
     f = findings.select(*keys, "seq", said.alias("said"), (F.col("class") == "evidence").alias("proof"), (trigger & (F.col("id") == PAYLOAD)).alias("payload"), (trigger & (F.col("id") == "MT-OWNER-KNOWN-BAD")).alias("owner"), F.when(trigger, family).alias("family"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import allow, text
@@ -51,27 +51,38 @@ def candidates(content: Column, diff: Column | None = None) -> Column:
     def items(kind: str, values: Column, ecosystem: Column | str = "") -> Column:
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), text.trim(F.regexp_replace(v, "^[\"'<>]+|[\"'<>]+\\z", "")).alias("value"), (F.lit(ecosystem) if isinstance(ecosystem, str) else ecosystem(v)).alias("ecosystem")))
 
-    lower_marks = lambda u: F.exists(F.array(*map(F.lit, EXFIL)), lambda m: F.contains(F.lower(u), m))
+    lower_marks = lambda u: F.exists(text.constants(EXFIL), lambda m: F.contains(F.lower(u), m))
     squeezed = F.transform(_all(content, INSTALL), lambda x: text.trim(F.regexp_replace(x, r"[\s\x0B\x85\p{Z}]+", " ")))
-    parts = [items("exfil-endpoint", F.filter(_all(content, URL), lower_marks)), items("ipv4", F.filter(_all(content, IPV4), lambda ip: ~ip.isin("127.0.0.1", "0.0.0.0") & ~allow.version_like(ip)))]
-    parts += [items("wallet", _all(content, pattern), name) for name, pattern in WALLETS]
-    parts += [items("install-command", squeezed, lambda v: F.when(F.startswith(F.lower(v), F.lit("pip")), "pypi").otherwise("npm")), items("email", _all(content, EMAIL))]
+    quads = F.array_distinct(_all(content, IPV4))
+    none = F.array().cast("array<struct<type:string,value:string,ecosystem:string>>")
+    # an expression runs only on texts with a literal that it needs
+    holds = lambda x: F.contains(content, F.lit(x))
+    parts = [(holds("://"), items("exfil-endpoint", F.filter(_all(content, URL), lower_marks))), (F.rlike(content, F.lit(r"\d\.\d")), items("ipv4", F.filter(quads, lambda ip: ~ip.isin("127.0.0.1", "0.0.0.0") & ~allow.version_like(ip))))]
+    needs = {"monero": F.rlike(content, F.lit("4[0-9AB][1-9A-HJ-NP-Za-km-z]{20}")), "ethereum": holds("0x"), "bitcoin": F.rlike(content, F.lit("(?:bc1|[13])[a-zA-Z0-9]{25}"))}
+    parts += [(needs[name], items("wallet", F.array_distinct(_all(content, pattern)), name)) for name, pattern in WALLETS]
+    installs = F.rlike(content, F.lit("bun|npm|pip|pnpm|yarn"))
+    parts += [(installs, items("install-command", squeezed, lambda v: F.when(F.startswith(F.lower(v), F.lit("pip")), "pypi").otherwise("npm"))), (holds("@"), items("email", F.array_distinct(_all(content, EMAIL))))]
     if diff is not None:
-        parts.append(items("file-hash", _diff_hashes(diff), "sha256"))
-    return F.concat(*parts)
+        parts.append((F.lit(True), items("file-hash", _diff_hashes(diff), "sha256")))
+    return F.concat(*[F.when(when, part).otherwise(none) for when, part in parts])
 
 
 def extract(df: DataFrame, keys: list[str], content: Column, diff: Column | None = None, cap: int = CAP) -> DataFrame:
     """(keys, seq, type, value, ecosystem): the first ``cap`` indicators of each row, by order of extraction.
 
-    Benign values are left out and a value counts once per type, whatever its case. Rows need unique keys.
+    Benign values are left out and a value counts once per type, whatever its case. All is done inside the row: nothing is
+    shuffled, and rows may repeat.
     """
-    found = df.select(*keys, F.posexplode(candidates(content, diff)).alias("at", "item")).select(*keys, "at", "item.*").where("value <> ''")
-    found = found.where(~F.coalesce(allow.benign(F.col("type"), F.col("value")), F.lit(False)))
-    first = Window.partitionBy(*keys, "type", F.lower("value")).orderBy("at")
-    found = found.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    seq = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
-    return found.withColumn("seq", seq).where(F.col("seq") <= cap).select(*keys, "seq", "type", "value", "ecosystem")
+    own = df.withColumn("x_items", candidates(content, diff))
+    own = own.withColumn("x_names", F.transform("x_items", lambda i: F.concat(i["type"], F.lit("|"), F.lower(i["value"]))))
+    once = F.transform(F.array_distinct("x_names"), lambda n: F.element_at("x_items", F.array_position("x_names", n).cast("int")))
+    kept = F.slice(F.filter(once, lambda i: (i["value"] != "") & ~F.coalesce(_benign(i["type"], i["value"]), F.lit(False))), 1, cap)
+    return own.where(F.size("x_items") > 0).select(*keys, F.posexplode(kept).alias("at", "i")).select(*keys, (F.col("at") + 1).alias("seq"), "i.type", "i.value", "i.ecosystem")
+
+
+def _benign(kind: Column, value: Column) -> Column:
+    """``allow.benign`` of the kinds that are extracted here, as an expression."""
+    return F.when(kind == "ipv4", allow.benign_ipv4(value)).when(kind == "email", allow.benign_domain(text.host_of(value))).otherwise(False)
 
 
 def _once(values: Column) -> Column:

@@ -1 +1 @@
-
+"""Whole jobs: packages from tables to verdicts."""

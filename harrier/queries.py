@@ -8,11 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import allow, text
+from .functions import address, allow, text
 from .functions.catalogue import EVIDENCE_POINTS, Rule, rules
 from .functions.regex import example, to_java
-from .operators import detectors, iocs
+from .operators import blocklists, curation, detectors, indicators, iocs, keys, matcher, qualify, shell
 from .operators.rules import scan
+from .plans import packages as jobs
+from .plans import samples
+from .sources import config
 
 SECTIONS = ("recipe", "hook", "source", "binaries")
 
@@ -51,7 +54,7 @@ def comment_lines_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def entropy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.round(text.byte_entropy(F.col("text")), 6).alias("bits"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.round(text.entropy(F.col("text")), 6).alias("bits"))
 
 
 def ipv4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,38 +80,266 @@ def rewritten_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.where("before IS NOT NULL AND text IS NOT NULL").select("conv_id", "turn", detectors.changed_percent(F.col("text"), F.col("before")).cast("long").alias("percent"))
 
 
+def _package(df: DataFrame, **columns: F.Column) -> DataFrame:
+    """Adds the columns of ``detectors.SCHEMA`` to a table: those given, and nulls."""
+    from pyspark.sql.types import StructType
+
+    return df.select("*", *[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(detectors.SCHEMA).fields if f.name not in df.columns])
+
+
+def _meta(**fields: F.Column) -> F.Column:
+    from pyspark.sql.types import StructType
+
+    return F.struct(*[fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(detectors.SCHEMA)["meta"].dataType.fields])
+
+
 def typosquat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names made of the parts' keys around popular packages' names, judged as package names."""
-    popular = F.array(*map(F.lit, detectors.POPULAR))
-    base = F.element_at(popular, (F.col("p_partkey") % len(detectors.POPULAR) + 1).cast("int"))
-    kind = F.col("p_partkey") % 4
-    named = _table(spark, sf_dir, "part").select("p_partkey", F.when(kind == 0, base).when(kind == 1, F.concat(base, F.lit("x"))).when(kind == 2, F.concat(base, F.lit("-"), F.col("p_partkey").cast("string"))).otherwise("own").alias("name"))
-    near = F.exists(popular, lambda p: F.levenshtein("name", p) == 1)
-    inside = F.exists(popular, lambda p: (F.octet_length("name") > F.octet_length(p)) & (F.startswith("name", p) | F.endswith("name", p)))
-    return named.select("p_partkey", "name", near.alias("one_edit"), inside.alias("embeds"))
+    base = F.element_at(text.constants(detectors.POPULAR), (F.col("p_partkey") % len(detectors.POPULAR) + 1).cast("int"))
+    kind = F.col("p_partkey") % 5
+    name = F.when(kind == 0, base).when(kind == 1, F.concat(base, F.lit("x"))).when(kind == 2, F.concat(base, F.lit("-"), F.col("p_partkey").cast("string"))).when(kind == 3, F.concat(base, F.lit("-free"))).otherwise("own")
+    named = _package(_table(spark, sf_dir, "part").select("p_partkey"), name=name)
+    return named.select("p_partkey", "name", F.explode(detectors.names()).alias("f")).select("p_partkey", "name", "f.id", "f.class")
 
 
 def maintainer_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with three purchases in the 48 hours before the last event, counted as a maintainer's new packages are."""
-    events = _table(spark, sf_dir, "events")
-    now = events.agg(F.max("ts").alias("now"))
-    recent = events.crossJoin(F.broadcast(now)).where(F.col("ts") >= F.col("now") - F.expr("INTERVAL 48 HOURS"))  # one row
-    return recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("recent")).where("recent >= 3")
+    """Users as maintainers and their purchases as packages: those with three in the 48 hours before the last event."""
+    events = _table(spark, sf_dir, "events").select("user_id", F.unix_timestamp("ts").alias("at"))
+    now = events.agg(F.max("at")).first()[0] or 0
+    # as many packages per maintainer as it has: here a user's events, pre-aggregated to an array of bounded size by the window that counts
+    recent = events.where(F.col("at") >= now - 2 * detectors.DAY).groupBy("user_id").agg(F.collect_list(F.struct(F.lit("p").alias("name"), F.col("at").alias("first_submitted"))).alias("maintainer_packages"))
+    own = _package(recent, meta=_meta(first_submitted=F.lit(0)))
+    return own.select("user_id", F.explode(detectors.maintainer(now)).alias("f")).where("f.id = 'B-MAINTAINER-BATCH'").select("user_id", F.regexp_extract("f.description", r"(\d+)$", 1).cast("long").alias("recent"))
 
 
 def finding_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(spark.createDataFrame(_fixtures(), "fixture int, content string"), ["fixture"], "content", SECTIONS, hook=True)
-    return found.rollup("category", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
+    """Findings in documents, pages and conversations, by table and class."""
+    found = None
+    for name, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text")):
+        own = scan(_table(spark, sf_dir, name), [key], column, SECTIONS).select(F.lit(name).alias("table"), "class", "points")
+        found = own if found is None else found.unionByName(own)
+    return found.rollup("table", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
+
+
+def rule_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"), ["doc_id"], "text", ("binaries",)).select("doc_id", "id", "class", "matched_line")
+
+
+RULE_CASES = [
+    # text, ecosystem, (id, class)
+    ("arch=('any')\ncurl http://10.0.0.8/x", "", None), ("arch=('any')\nsource=('http://45.67.89.10/x')", "", ("P-RAW-IP-URL", "evidence")),
+    ("<?php function system ($x) {", "", None), ("<?php system($cmd);", "", ("PHP-SHELL-EXEC-VAR", "evidence")), ("assert($a !== null)", "", None), ("assert($code);", "", ("PHP-ASSERT-VAR", "evidence")),
+    ('let r = ureq::get("u").get("x");', "npm", None), ('ureq::get("http://h.io")', "cargo", ("P-CARGO-BUILD-DOWNLOAD", "evidence")), ("# doas ls", "", None), ("doas ls", "", ("G-DOAS", "evidence")),
+]
+
+
+def rule_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that are suppressed on some lines, or bound to an ecosystem."""
+    named = sorted({x[2][0] for x in RULE_CASES if x[2]})
+    rows = spark.createDataFrame([(k, t, e) for k, (t, e, _) in enumerate(RULE_CASES)], "k int, t string, e string")
+    return scan(rows, ["k"], "t", SECTIONS, ecosystem="e").where(F.col("id").isin(*named)).select("k", "id", "class")
+
+
+def detect_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings of a package per part, counted by the sample that it is made of."""
+    return jobs.findings(spark, sf_dir).groupBy("sample", "id", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def verdicts_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.verdicts(spark, sf_dir).where("malicious").groupBy("sample", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
+def qualify_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intent and tactic of every rule's findings, and of a few that have no entry of their own."""
+    names = [*dict.fromkeys(r.id for r in rules()), "IS-G-ALT-PIPE-SHELL", "SA-HIGH-ENTROPY-HEREDOC", "X-UNKNOWN"]
+    return qualify.qualify(spark.createDataFrame([(x,) for x in names], "id string")).select("id", "intent", "tactic")
+
+
+def shell_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(samples.SCRIPTS)], "script int, content string")
+    return shell.analyse(rows, "content", "found").select("script", F.explode("found").alias("f")).select("script", "f.id", "f.class")
+
+
+def shell_assignments_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables that the lines of pages would set if they were scripts."""
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.map_entries(shell.environment(shell.assignments(text.lines(F.col("html")))))).alias("v")).select("page_id", F.col("v.key").alias("name"), F.col("v.value").alias("value"))
+
+
+def shell_blobs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All shell findings in documents and pages, read as scripts."""
+    docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("table"), F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    pages = _table(spark, sf_dir, "pages").select(F.lit("pages").alias("table"), F.col("page_id").alias("key"), F.col("html").alias("content"))
+    return shell.analyse(docs.unionByName(pages), "content", "found").select("table", "key", F.explode("found.id").alias("id"))
+
+
+def _bad(spark: SparkSession) -> DataFrame:
+    rows = [(0, k, t, v, f"bad {k}", "", "", "", [], None, "") for k, (t, v) in enumerate(samples.BAD)]
+    return indicators.indicator_set(spark.createDataFrame(rows, "feed_seq int, object_seq int, type string, value string, name string, description string, severity string, ecosystem string, labels array<string>, refs array<struct<source_name:string,external_id:string,url:string>>, valid_from string"))
+
+
+def match_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(samples.LINES)], "k int, content string")
+    return matcher.match_text(rows, ["k"], "content", _bad(spark)).select("k", "type", "value")
+
+
+def _seen_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators from the addresses in documents and pages: those with an even last number."""
+    quads = lambda name, column: _table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(column, F.lit(to_java(iocs.IPV4)), F.lit(0))).alias("value"))
+    found = quads("documents", "text").unionByName(quads("pages", "html")).distinct().where(F.substring_index("value", ".", -1).cast("int") % 2 == 0)
+    none = F.lit("")
+    own = found.select(F.lit(0).alias("feed_seq"), F.lit(0).alias("object_seq"), F.lit("ipv4").alias("type"), "value", none.alias("name"), none.alias("description"), none.alias("severity"), none.alias("ecosystem"), F.array(F.lit("x")).alias("labels"), F.lit(None).cast("array<struct<source_name:string,external_id:string,url:string>>").alias("refs"), none.alias("valid_from"))
+    return indicators.indicator_set(own)
+
+
+def match_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matcher.match_text(_table(spark, sf_dir, "documents"), ["doc_id"], "text", _seen_addresses(spark, sf_dir))
+    return found.select("doc_id", "type", "value", "class", "line_number", "col_start", "matched_line", F.array_join("context_before", "\n").alias("before"), F.array_join("context_after", "\n").alias("after"))
+
+
+def match_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matcher.match_text(_table(spark, sf_dir, "pages"), ["page_id"], "html", _seen_addresses(spark, sf_dir))
+    return found.select("page_id", "type", "value", "line_number")
+
+
+def file_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p, _ in samples.PATHS], "path string").select("path", matcher.file_tier(F.col("path")).alias("tier"), matcher.is_document(F.col("path")).alias("document"), matcher.is_noisy(F.col("path")).alias("noisy"))
+
+
+def minified_lines_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = _table(spark, sf_dir, "pages").select("page_id", F.explode(matcher.lines_of(F.col("html"))).alias("line"))
+    return each.where(matcher.is_minified(F.col("line"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+BUNDLE = """{"type": "bundle", "objects": [
+ {"type": "identity", "name": "x"},
+ {"type": "indicator", "pattern": "[domain-name:value = 'evil.io']", "name": "first", "labels": ["Severity:high", "ecosystem:npm"]},
+ {"type": "indicator", "pattern": "[domain-name:value = 'EVIL.io.']", "name": "second"},
+ {"type": "indicator", "pattern": "[domain-name:value = 'github.com']", "name": "benign"},
+ {"type": "indicator", "pattern": "[domain-name:value = 'e.top']", "name": "code"},
+ {"type": "indicator", "pattern": "[ipv4-addr:value = '45.67.89.10']", "name": "four"},
+ {"type": "indicator", "pattern": "[ipv4-addr:value = '4.10.0.1']", "name": "version"},
+ {"type": "indicator", "pattern": "[ipv6-addr:value = '2A03:B0C0:0:0::1']", "name": "six"},
+ {"type": "indicator", "pattern": "[url:value = 'https://evil.io/Gate.php'] OR [url:value = 'https://b.io']", "name": "url"},
+ {"type": "indicator", "pattern": "[url:value = 'https://docs.python.org/x']", "name": "document"},
+ {"type": "indicator", "pattern": "[file:hashes.'SHA-256' = 'ABCDEF0123456789ABCDEF0123456789']", "name": "hash"},
+ {"type": "indicator", "pattern": "[x:y = 'z']", "name": "other"}]}"""
+
+
+def stix_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = spark.createDataFrame([(0, BUNDLE), (1, "no json")], "feed_seq int, content string")
+    return indicators.indicator_set(indicators.parse_bundles(bundles)).select("kind", "key", "name", "severity", "ecosystem")
+
+
+def stix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bundles = spark.createDataFrame([(0, BUNDLE)], "feed_seq int, content string")
+    return indicators.parse_hashes(bundles).select(iocs.normal_hash(F.col("hash")).alias("hash"))
+
+
+FEEDS = [
+    ("a", "iplist", "# head\n45.67.89.10\tx 45.67.89.11\n45.67.89.0/24\n45.67.89.12/32;y\n10.0.0.1\n"), ("b", "netset", "45.67.89.13\n; x\n2a03:b0c0::1/128\n2a03:b0c0::/32\n"), ("c", "hosts", "0.0.0.0 Evil.io. github.com\n127.0.0.1 localhost\nbad.evil.io\n45.67.89.14\n"),
+    ("d", "rss", "<item><title><![CDATA[evil.io is bad]]></title><d>at 45.67.89.15 &amp; x.evil.net</d></item>"), ("e", "emails", "Mail <Bad@Evil.io>, x@example.com; y@evil.net"), ("f", "mixed", "see evil.org at 45.67.89.16 and [2a03:b0c0::2]"),
+    ("g", "misp", '{"Event": {"Attribute": [{"type": "ip-dst|port", "value": "45.67.89.17|80"}, {"type": "domain|ip", "value": "evil.com|45.67.89.18"}, {"type": "domain", "value": "off.evil.com", "to_ids": false}, {"type": "domain", "value": "good.evil.com", "Tag": [{"name": "Reputation:Benign"}]}, {"type": "email-src", "value": "z@evil.com"}, {"type": "ip-src", "value": "45.67.89.19", "comment": "x Reputation: benign"}]}}'),
+    ("h", "misp", "no json"), ("i", "mixed", None),
+]
+
+
+def blocklist_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocklists.parse(spark.createDataFrame(FEEDS, "feed string, format string, body string"))
+
+
+def blocklist_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feeds = spark.createDataFrame(FEEDS, "feed string, format string, body string")
+    return blocklists.counts(blocklists.parse(feeds), feeds)
+
+
+def blocklist_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts of pages that a list of the odd pages' hosts would block; the list holds none that are benign."""
+    hosts = _table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(text.host_of(F.col("url")), r"example\.(com|net|org)$", "evil.$1").alias("host"))
+    listed = blocklists.of_tokens(hosts.where("page_id % 2 = 1").select(F.col("host").alias("value")))
+    return blocklists.members(hosts, "host", listed, "domain")
+
+
+def canonical_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x, _ in ADDRESSES], "value string").select("value", address.canonical_ip(F.col("value")).alias("ip"))
+
+
+ADDRESSES = [("45.67.89.10", "45.67.89.10"), (" 45.67.89.10 ", "45.67.89.10"), ("045.67.89.10", None), ("1.2.3", None), ("::FFFF:1.2.3.4", "1.2.3.4"), ("2A03:b0c0:0:0:0:0:0:1", "2a03:b0c0::1"), ("::", "::"), ("fe80::1%eth0", None), ("x", None), ("", None)]
+
+
+def capability_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capabilities that are on for a package of each ecosystem: by default, and where the package itself says something else."""
+    named = [(e, None) for e in sorted(config.DEFAULTS)] + [("npm", {"onion-c2": False})]
+    rows = _package(spark.createDataFrame([(k, e, c) for k, (e, c) in enumerate(named)], "k int, ecosystem string, capabilities map<string,boolean>"))
+    own = config.apply(rows, {e: config.default(e) for e in config.DEFAULTS})
+    return own.select("k", F.explode(F.filter(F.array(*map(F.lit, detectors.CAPABILITIES)), lambda c: F.coalesce(F.try_element_at("capabilities", c), F.lit(False)))).alias("capability"))
+
+
+def ownership_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as packages whose maintainers are suppliers: another than before, or than the submitter; seen before if they have money, known as bad if they owe much."""
+    owner = lambda k: F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % k + 1).cast("string"), 9, "0"))
+    parts = _table(spark, sf_dir, "part").select("p_partkey")
+    own = _package(parts, meta=_meta(maintainer=F.upper(owner(7)), submitter=owner(5)))
+    suppliers = _table(spark, sf_dir, "supplier")
+    actors = lambda where: suppliers.where(where).select(F.concat(F.lit(" "), "s_name").alias("identifier"))
+    found = detectors.ownership_triggers(own, ["p_partkey"], parts.select("p_partkey", owner(3).alias("prior_maintainer")), actors("s_acctbal > 5000"), actors("s_acctbal < 1000"))
+    return found.groupBy("id", "class", "matched_line").agg(F.count(F.lit(1)).alias("n"))
+
+
+def curated_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as packages (ecosystem from the type, version from the size) without those that suppliers' names clear."""
+    own = _table(spark, sf_dir, "part").select("p_partkey", F.substring_index("p_type", " ", 1).alias("ecosystem"), F.concat(F.lit("Pkg"), (F.col("p_partkey") % 50).cast("string")).alias("name"), F.col("p_size").cast("string").alias("version"))
+    cleared = _table(spark, sf_dir, "supplier").select(F.lit("standard").alias("ecosystem"), F.concat(F.lit("pkg"), (F.col("s_suppkey") % 20).cast("string")).alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "").otherwise((F.col("s_suppkey") % 50).cast("string")).alias("version"))
+    return curation.drop_cleared(own, cleared)
+
+
+def curated_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" "), F.upper("c_name")).alias("actor"))
+    actors = _table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_name").alias("actor"), (F.col("c_acctbal") < -500).alias("allowed"))
+    return curation.judge_actors(own, actors).select("c_custkey", "actor_downgraded", "actor_allowed")
+
+
+KEY_CASES = [
+    ("5DE3 E050 9C47 EA3C F04A 42D3 4AEE 18F8 3AFD EB23", "GitHub web-flow"), ("0x4aee18f83afdeb23", "GitHub web-flow"), ("3AFDEB23", "GitHub web-flow"), ("11111111111111111111111111111111" + "3AFDEB23", "GitHub web-flow"), ("DEADBEEF", None),
+    ("<NoReply@GitHub.com>", "GitHub web-flow"), ("me@evil.io", None), ("SHA256:abc", "own"), ("ssh-ed25519 AAAA" + "B" * 60 + " me", "own"), ("ssh-ed25519 AAAA me", None),
+]
+
+
+def known_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame([("own", "ssh", "SHA256:abc", None, "ssh-ed25519 AAAA" + "B" * 60, None)], keys.SCHEMA)
+    rows = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(KEY_CASES)], "k int, token string")
+    return keys.known_good(rows, ["k"], "token", keys.known(spark).unionByName(own)).select("k", "owner")
+
+
+def known_bad_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash-like words of documents that a list of hashes (those that begin with an even digit) names."""
+    words = F.filter(F.array_distinct(F.split("text", r"[ \n\t]")), lambda w: iocs.normal_hash(w).isNotNull())
+    docs = _table(spark, sf_dir, "documents").select("doc_id", words.alias("hashes"))
+    bad = iocs.hash_list(docs.select(F.explode("hashes").alias("value")).where(F.lower("value").rlike("^[02468ace]")))
+    return iocs.known_bad(docs, ["doc_id"], F.col("hashes"), bad).select("doc_id", "id", F.lower("matched_line").alias("hash"))
+
+
+HASHES = [
+    ("sha256sums=('" + "ab" * 32 + "' 'SKIP'\n\"" + "AB" * 32 + "\" '" + "cd" * 16 + "')\n", "+++ b\n+blob=" + "ef" * 32 + "\n+sha256sums=('" + "12" * 32 + "')\n+'" + "34" * 32 + "'\n-" + "56" * 32, ["ab" * 32, "cd" * 16], ["ab" * 32, "cd" * 16, "ef" * 32]),
+    ("no sums", None, [], []),
+]
+
+
+def package_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(k, r, d) for k, (r, d, _, _) in enumerate(HASHES)], "k int, recipe string, diff string")
+    both = F.array(F.struct(F.lit("declared").alias("kind"), iocs.declared_hashes(F.col("recipe")).alias("h")), F.struct(F.lit("candidate").alias("kind"), iocs.candidate_hashes(F.col("recipe"), F.col("diff")).alias("h")))
+    return rows.select("k", F.explode(both).alias("b")).select("k", "b.kind", F.posexplode("b.h").alias("place", "hash"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_scan_documents(spark, sf_dir)
+    return detect_packages(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        rule_scan_documents, rule_scan_pages, rule_scan_conversations, rule_scan_fixtures, comment_lines_pages, entropy_documents, ipv4_documents, benign_hosts_pages, iocs_documents, long_hashes_documents,
-        rewritten_turns, typosquat_parts, maintainer_batches, finding_rollup,
+        rule_scan_documents, rule_scan_pages, rule_scan_conversations, rule_scan_fixtures, rule_lines_documents, rule_cases, comment_lines_pages, entropy_documents, ipv4_documents, benign_hosts_pages, iocs_documents, long_hashes_documents,
+        rewritten_turns, typosquat_parts, maintainer_batches, finding_rollup, detect_packages, verdicts_packages, qualify_findings, shell_scripts, shell_assignments_pages, shell_blobs_documents, match_lines, match_text_documents,
+        match_text_pages, file_tiers, minified_lines_pages, stix_indicators, stix_hashes, blocklist_parse, blocklist_counts, blocklist_pages, canonical_addresses, capability_gates, ownership_parts, curated_parts, curated_actors, known_keys,
+        known_bad_hashes, package_hashes,
     )
     return {f.__name__: f for f in own}
 
@@ -151,6 +382,18 @@ def _scan_sql(table: str, column: str, hook: bool = False) -> str:
     return f"SELECT id, category, class, cwe, points, sum(n)::BIGINT AS n FROM ({each}) GROUP BY ALL"
 
 
+def _text(value: str | None) -> str:
+    """A text as a literal; line feeds apart, which literals need not hold."""
+    return "NULL" if value is None else " || chr(10) || ".join(_q(x) for x in value.split("\n"))
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    def one(x: object) -> str:
+        return _text(x) if x is None or isinstance(x, str) else str(x).upper() if isinstance(x, bool) else str(x)
+
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) AS t({columns}))"
+
+
 def _fixture_sql() -> str:
     rows = ", ".join(f"({k}, {' || chr(10) || '.join(_q(x) for x in content.split(chr(10)))})" for k, content in _fixtures())
     return f"WITH fixtures AS MATERIALIZED (SELECT * FROM (VALUES {rows}) AS t(fixture, content)) "
@@ -169,7 +412,7 @@ def oracle_sql() -> dict[str, str]:
         "rule_scan_pages": _scan_sql("pages", "html"),
         "rule_scan_conversations": _scan_sql("conversations", "text"),
         "rule_scan_fixtures": fixtures + _scan_sql("fixtures", "content", hook=True),
-        "finding_rollup": f"{fixtures}SELECT category, class, sum(n)::BIGINT AS n, sum(n * points)::BIGINT AS points FROM ({_scan_sql('fixtures', 'content', hook=True)}) GROUP BY ROLLUP (category, class)",
+        "finding_rollup": "SELECT t AS \"table\", class, sum(n)::BIGINT AS n, sum(n * points)::BIGINT AS points FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS t, * FROM ({_scan_sql(t, c)})" for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))) + ") GROUP BY ROLLUP (t, class)",
         "comment_lines_pages": f"SELECT page_id, len(list_filter(string_split(html, chr(10)), lambda x: {_comment('x')})) AS comments FROM pages",
         "entropy_documents": "WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS x FROM documents), e AS (SELECT doc_id, entropy(x) AS bits FROM b GROUP BY doc_id) SELECT doc_id, round(CASE WHEN text = '' THEN 0 ELSE bits END, 6) AS bits FROM documents LEFT JOIN e USING (doc_id)",
         "ipv4_documents": f"WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, {_q(iocs.IPV4)}))) AS ip FROM documents), o AS (SELECT doc_id, ip, [{octets}] AS o, regexp_matches(ip, {_q(allow.QUAD)}) AS good FROM f) "
@@ -179,7 +422,96 @@ def oracle_sql() -> dict[str, str]:
         "long_hashes_documents": "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(text, '[ \\n\\t]'))) AS word FROM documents), h AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(word)), '^sha256:', ''), '^sha512:', ''), '^[''\"]+|[''\"]+$', '', 'g') AS hash FROM w) SELECT DISTINCT doc_id, hash FROM h WHERE regexp_matches(hash, '^[0-9a-f]{32,}$')",
         "rewritten_turns": f"WITH t AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), s AS (SELECT conv_id, turn, {lines('text')} AS a, {lines('before')} AS b FROM t WHERE before IS NOT NULL AND text IS NOT NULL) "
         "SELECT conv_id, turn, CASE WHEN len(b) > 0 THEN trunc((greatest(len(a), len(b)) - len(list_intersect(a, b)))::DOUBLE / greatest(len(a), len(b)) * 100)::BIGINT END AS percent FROM s",
-        "typosquat_parts": f"WITH p AS (SELECT p_partkey, [{popular}][p_partkey % {len(detectors.POPULAR)} + 1] AS base FROM part), n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN base WHEN 1 THEN base || 'x' WHEN 2 THEN base || '-' || p_partkey::VARCHAR ELSE 'own' END AS name FROM p) "
-        f"SELECT p_partkey, name, len(list_filter([{popular}], lambda x: levenshtein(name, x) = 1)) > 0 AS one_edit, len(list_filter([{popular}], lambda x: strlen(name) > strlen(x) AND (starts_with(name, x) OR ends_with(name, x)))) > 0 AS embeds FROM n",
-        "maintainer_batches": "SELECT user_id, count(*) AS recent FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 48 HOUR GROUP BY user_id HAVING count(*) >= 3",
+        "typosquat_parts": f"WITH p AS (SELECT p_partkey, [{popular}][p_partkey % {len(detectors.POPULAR)} + 1] AS base FROM part), n AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN base WHEN 1 THEN base || 'x' WHEN 2 THEN base || '-' || p_partkey::VARCHAR WHEN 3 THEN base || '-free' ELSE 'own' END AS name FROM p), "
+        f"j AS (SELECT *, regexp_matches(name, '^({'|'.join(detectors.BRANDS)})-({'|'.join(detectors.TAILS)})(-bin|-git)?$') AS brand, len(list_filter([{popular}], lambda x: levenshtein(name, x) = 1)) > 0 AS near, len(list_filter([{popular}], lambda x: strlen(name) > strlen(x) AND (starts_with(name, x) OR ends_with(name, x)))) > 0 AS inside FROM n) "
+        "SELECT p_partkey, name, 'B-NAME-IMPERSONATE' AS id, 'evidence' AS class FROM j WHERE brand UNION ALL SELECT p_partkey, name, 'B-TYPOSQUAT', 'evidence' FROM j WHERE NOT brand AND near UNION ALL SELECT p_partkey, name, 'B-TYPOSQUAT', 'context' FROM j WHERE NOT brand AND inside",
+        "maintainer_batches": "WITH e AS (SELECT user_id, floor(epoch(ts)) AS sec FROM events) SELECT user_id, count(*) AS recent FROM e WHERE sec >= (SELECT max(sec) FROM e) - 172800 GROUP BY user_id HAVING count(*) >= 3",
+        **_more_sql(octets, hosts, ends, docs),
+    }
+
+
+def _more_sql(octets: str, hosts: str, ends: str, docs: str) -> dict[str, str]:
+    n = len(samples.PACKAGES)
+    doas = next(r for r in rules() if r.id == "G-DOAS")
+    line_rules = [r for r in rules() if r.section == "binaries" and not (r.hook_only and r.points < EVIDENCE_POINTS)]
+
+    def first_line(r: Rule) -> str:
+        kind = "evidence" if r.evidence and not r.hook_only else "context"
+        found = f"list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_q(r.pattern)}))"
+        return f"SELECT doc_id, {_q(r.id)} AS id, '{kind}' AS class, CASE WHEN len({found}) = 0 THEN '' ELSE {_trimmed(f'list_filter({found}, lambda x: NOT {_comment(chr(120))})[1]')} END AS matched_line FROM documents WHERE regexp_matches(text, {_q(r.pattern)})"
+
+    assert doas in line_rules
+    ends_pattern = "\\.(" + "|".join(re.escape(x) for x in (*allow._RESERVED_ENDS, *allow._BENIGN_ENDS)) + ")$"
+    benign = lambda host: f"({host} = '' OR (len(string_split({host}, '.')) >= 3 AND string_split({host}, '.')[1] IN ({docs})) OR len(list_intersect(list_transform(range(1, len(string_split({host}, '.')) + 1), lambda k: array_to_string(string_split({host}, '.')[k:], '.')), [{hosts}])) > 0 OR regexp_matches({host}, {_q(ends_pattern)}))"
+    number = " + ".join(f"TRY_CAST(string_split({{0}}, '.')[{k}] AS BIGINT) * {256 ** (4 - k)}" for k in range(1, 5))
+    import ipaddress
+
+    nets = " OR ".join(f"({number.format('{0}')} BETWEEN {int(net[0])} AND {int(net[-1])})" for net in map(ipaddress.ip_network, allow._NETS4))
+    listed = ", ".join(map(_q, allow.known("addresses")))
+    benign_ip = lambda ip: f"({ip} IN ({listed}) OR (regexp_matches({ip}, {_q(allow.QUAD)}) AND ({nets.replace('{0}', ip)})) OR (string_split({ip}, '.')[1] = string_split({ip}, '.')[2] AND string_split({ip}, '.')[2] = string_split({ip}, '.')[3] AND string_split({ip}, '.')[3] = string_split({ip}, '.')[4]) OR starts_with({ip}, '2.5.'))"
+    version = lambda ip: f"(regexp_matches({ip}, {_q(allow.QUAD)}) AND (starts_with({ip}, '2.5.29.') OR starts_with({ip}, '2.5.4.') OR regexp_matches({ip}, '^[0-9]+\\.0\\.0\\.0$') OR list_max(list_transform(string_split({ip}, '.'), lambda o: TRY_CAST(o AS INTEGER))) <= 31))"
+    strip = lambda x: _trimmed(f"regexp_replace({x}, '^[''\"<>]+|[''\"<>]+$', '', 'g')")
+    marks = " OR ".join(f"contains(lower(v), {_q(m)})" for m in iocs.EXFIL)
+    every = lambda p: f"regexp_extract_all(text, {_q(p)})"
+    kinds = [("exfil-endpoint", "''", f"SELECT doc_id, v FROM (SELECT doc_id, unnest({every(iocs.URL)}) AS v FROM documents) WHERE {marks}"), ("ipv4", "''", f"SELECT doc_id, v FROM (SELECT doc_id, unnest({every(iocs.IPV4)}) AS v FROM documents) WHERE v NOT IN ('127.0.0.1', '0.0.0.0') AND NOT {version('v')}")]
+    kinds += [("wallet", _q(name), f"SELECT doc_id, unnest({every(p)}) AS v FROM documents") for name, p in iocs.WALLETS]
+    kinds += [("install-command", "CASE WHEN starts_with(lower(v), 'pip') THEN 'pypi' ELSE 'npm' END", f"SELECT doc_id, {_trimmed('regexp_replace(w, ' + _q('[[:space:]]+') + ', ' + _q(' ') + ', ' + _q('g') + ')')} AS v FROM (SELECT doc_id, unnest({every(iocs.INSTALL)}) AS w FROM documents)"), ("email", "''", f"SELECT doc_id, unnest({every(iocs.EMAIL)}) AS v FROM documents")]
+    all_items = " UNION ALL ".join(f"SELECT doc_id, {k} AS part, row_number() OVER (PARTITION BY doc_id) AS ord, {_q(kind)} AS type, {strip('v')} AS value, {eco} AS ecosystem FROM ({q})" for k, (kind, eco, q) in enumerate(kinds))
+    mail_host = "regexp_replace(lower(value), '^.*@', '')"
+    quads = f"SELECT DISTINCT v FROM (SELECT unnest(regexp_extract_all(text, {_q(iocs.IPV4)})) AS v FROM documents UNION ALL SELECT unnest(regexp_extract_all(html, {_q(iocs.IPV4)})) FROM pages) WHERE TRY_CAST(string_split(v, '.')[4] AS INTEGER) % 2 = 0 AND regexp_matches(v, {_q(allow.QUAD)}) AND NOT {benign_ip('v')} AND NOT {version('v')}"
+    guard = lambda e: rf"(?:^|[^A-Za-z0-9_.+\-])({e})(?:$|[^A-Za-z0-9_.+\-])"
+
+    def matched(table: str, key: str, column: str, out: str) -> str:
+        return (
+            f"WITH bad AS ({quads}), l AS (SELECT {key}, string_split({column}, chr(10)) AS ls FROM {table}), e AS (SELECT {key}, ls, unnest(range(1, len(ls) + 1)) AS n FROM l), "
+            f"t AS (SELECT {key}, ls, n, ls[n] AS line, unnest(list_distinct(regexp_extract_all(ls[n], {_q(guard(allow.QUAD[1:-1].replace('(?:', '(?:')))}, 1))) AS value FROM e), h AS (SELECT t.*, strlen(regexp_extract(line, '^(.*?)' || '(?:^|[^A-Za-z0-9_.+\\-])' || replace(value, '.', '\\.') || '(?:$|[^A-Za-z0-9_.+\\-])', 1)) AS p FROM t JOIN bad ON value = v) "
+            f"SELECT {out} FROM h WHERE NOT regexp_matches(line, '[A-Za-z]/' || replace(value, '.', '\\.')) AND NOT regexp_matches(line, '([><~^]|[=!]=|(^|[^A-Za-z0-9_])[vV])[ \t]*' || replace(value, '.', '\\.'))"
+        )
+
+    sizes = "strlen(x)"
+    minified = f"{sizes} >= {matcher.MINIFIED_BYTES} AND ({sizes} - strlen(translate(x, ' ' || chr(9), ''))) * {matcher.MINIFIED_BLANKS} < {sizes}"
+    registry = qualify.registry()
+    entry_rows = [(k, v[0], v[1]) for k, v in registry.items()]
+    named = [*dict.fromkeys(r.id for r in rules()), "IS-G-ALT-PIPE-SHELL", "SA-HIGH-ENTROPY-HEREDOC", "X-UNKNOWN"]
+    owner = lambda k: f"'Supplier#' || lpad((p_partkey % {k} + 1)::VARCHAR, 9, '0')"
+    assign = shell.ASSIGNMENT
+    standard = ", ".join(map(_q, shell.STANDARD))
+    return {
+        "rule_lines_documents": "SELECT * FROM (" + " UNION ALL ".join(first_line(r) for r in line_rules) + ") WHERE matched_line IS NOT NULL",
+        "rule_cases": "SELECT k::INTEGER AS k, id, class FROM " + _values("k, id, class", [(k, *x[2]) for k, x in enumerate(RULE_CASES) if x[2]]),
+        "iocs_documents": f"WITH i AS ({all_items}), g AS (SELECT * FROM i WHERE value <> '' AND NOT (type = 'ipv4' AND {benign_ip('value')}) AND NOT (type = 'email' AND {benign(mail_host)})), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, type, lower(value) ORDER BY part, ord) AS nth FROM g), "
+        f"s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY part, ord) AS seq FROM f WHERE nth = 1) SELECT doc_id, seq::INTEGER AS seq, type, value, ecosystem FROM s WHERE seq <= {iocs.CAP}",
+        "detect_packages": f"WITH e AS {_values('sample, id, class', [(k, *x) for k, s in enumerate(samples.PACKAGES) for x in s.found])}, p AS (SELECT p_partkey % {n} AS sample, count(*) AS parts FROM part GROUP BY 1), f AS (SELECT sample, id, class, count(*) AS m FROM e GROUP BY ALL) SELECT sample::INTEGER AS sample, id, class, m * parts AS n FROM f JOIN p USING (sample)",
+        "verdicts_packages": f"WITH e AS {_values('sample, path', [(k, s.verdict) for k, s in enumerate(samples.PACKAGES) if s.verdict])}, p AS (SELECT p_partkey % {n} AS sample, count(*) AS n FROM part GROUP BY 1) SELECT sample::INTEGER AS sample, path, n FROM e JOIN p USING (sample)",
+        "qualify_findings": f"WITH n AS {_values('id', [(x,) for x in named])}, q AS {_values('signal, intent, tactic', entry_rows)}, b AS (SELECT id, regexp_replace(id, '^IS-', '') AS base FROM n), c AS (SELECT id, intent, tactic, row_number() OVER (PARTITION BY id ORDER BY (signal = base) DESC, length(signal) DESC, signal) AS nth FROM b JOIN q ON contains(base, signal)) "
+        f"SELECT id, coalesce(intent, {_q(qualify.DEFAULT[0])}) AS intent, coalesce(tactic, {_q(qualify.DEFAULT[1])}) AS tactic FROM n LEFT JOIN (SELECT * FROM c WHERE nth = 1) USING (id)",
+        "shell_scripts": "SELECT script::INTEGER AS script, id, class FROM " + _values("script, id, class", [(k, *x) for k, (_, found) in enumerate(samples.SCRIPTS) for x in found]),
+        "shell_assignments_pages": f"WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS x, unnest(range(len(string_split(html, chr(10))))) AS i FROM pages), a AS (SELECT page_id, i, unnest(regexp_extract_all(x, {_q(assign)}, 1)) AS name, unnest(regexp_extract_all(x, {_q(assign)}, 2)) AS a, unnest(regexp_extract_all(x, {_q(assign)}, 3)) AS b, unnest(regexp_extract_all(x, {_q(assign)}, 4)) AS c, unnest(range(len(regexp_extract_all(x, {_q(assign)}, 1)))) AS j FROM l), "
+        f"o AS (SELECT *, row_number() OVER (PARTITION BY page_id, name ORDER BY i DESC, j DESC) AS nth FROM a WHERE name NOT IN ({standard})) SELECT page_id, name, CASE WHEN a <> '' THEN a WHEN b <> '' THEN b ELSE c END AS value FROM o WHERE nth = 1",
+        "match_lines": "SELECT k::INTEGER AS k, type, value FROM " + _values("k, type, value", [(k, *x) for k, (_, found) in enumerate(samples.LINES) for x in found]),
+        "match_text_documents": matched("documents", "doc_id", "text", f"doc_id, 'ipv4' AS type, value, CASE WHEN {_comment('line')} OR ({minified.replace('x', 'line') if False else 'FALSE'}) THEN 'context' ELSE 'evidence' END AS class, n::INTEGER AS line_number, (p + CASE WHEN starts_with(substr(line, length(regexp_extract(line, '^(.*?)' || '(?:^|[^A-Za-z0-9_.+\\-])' || replace(value, '.', '\\.') || '(?:$|[^A-Za-z0-9_.+\\-])', 1)) + 1), value) THEN 0 ELSE strlen(substr(line, length(regexp_extract(line, '^(.*?)' || '(?:^|[^A-Za-z0-9_.+\\-])' || replace(value, '.', '\\.') || '(?:$|[^A-Za-z0-9_.+\\-])', 1)) + 1, 1)) END)::INTEGER AS col_start, line AS matched_line, array_to_string(ls[greatest(n - 3, 1):n - 1], chr(10)) AS before, array_to_string(ls[n + 1:n + 3], chr(10)) AS after"),
+        "match_text_pages": matched("pages", "page_id", "html", "page_id, 'ipv4' AS type, value, n::INTEGER AS line_number"),
+        "file_tiers": "SELECT path, tier, regexp_matches(lower(path), '\\.(md|markdown|mdx|mkd|mdown)$') AS document, regexp_matches(lower(path), '\\.(svg|map|min\\.(js|mjs|cjs|css))$') AS noisy FROM " + _values("path, tier", samples.PATHS),
+        "minified_lines_pages": f"SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS x FROM pages) WHERE {minified} GROUP BY page_id",
+        "stix_indicators": "SELECT * FROM " + _values("kind, key, name, severity, ecosystem", [("domain", "evil.io", "first", "high", "npm"), ("ip", "45.67.89.10", "four", "", ""), ("ip", "2a03:b0c0::1", "six", "", ""), ("url", "https://evil.io/gate.php", "url", "", "")]),
+        "stix_hashes": "SELECT 'abcdef0123456789abcdef0123456789' AS hash",
+        "blocklist_parse": "SELECT * FROM " + _values("feed, kind, value", _PARSED),
+        "blocklist_counts": "SELECT * FROM " + _values("feed, ok, ipv4, ipv6, domains, emails", [(f, body is not None, *(sum(1 for x in _PARSED if x[:2] == (f, k)) for k in blocklists.KINDS)) for f, _, body in FEEDS]).replace("TRUE, 0, 0, 0, 0", "TRUE, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT"),
+        "blocklist_pages": "WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^.*?://', ''), '^.*@', ''), '[/?#:].*$', ''), 'example\\.(com|net|org)$', 'evil.\\1') AS host FROM pages) SELECT page_id, host FROM h WHERE host IN (SELECT host FROM h WHERE page_id % 2 = 1)",
+        "canonical_addresses": "SELECT value, ip FROM " + _values("value, ip", ADDRESSES),
+        "capability_gates": "SELECT k::INTEGER AS k, capability FROM " + _values("k, capability", [(k, c) for k, e in enumerate([*sorted(config.DEFAULTS), "npm"]) for c in sorted(config.DEFAULTS[e]) if not (k == len(config.DEFAULTS) and c == "onion-c2")]),
+        "ownership_parts": f"WITH p AS (SELECT p_partkey, upper({owner(7)}) AS own, {owner(5)} AS sub, {owner(3)} AS prior FROM part), j AS (SELECT p.*, EXISTS (SELECT 1 FROM supplier WHERE lower(s_name) = lower(own) AND s_acctbal > 5000) AS seen, EXISTS (SELECT 1 FROM supplier WHERE lower(s_name) = lower(own) AND s_acctbal < 1000) AS bad FROM p), "
+        "t AS (SELECT 'MT-OWNERSHIP-TRANSFER' AS id, own FROM j WHERE lower(prior) <> lower(own) UNION ALL SELECT 'MT-ORPHAN-ADOPTION', own FROM j WHERE lower(sub) <> lower(own) UNION ALL SELECT 'MT-NEW-MAINTAINER', own FROM j WHERE NOT seen UNION ALL SELECT 'MT-OWNER-KNOWN-BAD', own FROM j WHERE bad) SELECT id, 'trigger' AS class, own AS matched_line, count(*) AS n FROM t GROUP BY ALL",
+        "curated_parts": "WITH p AS (SELECT p_partkey, string_split(p_type, ' ')[1] AS ecosystem, 'Pkg' || (p_partkey % 50)::VARCHAR AS name, p_size::VARCHAR AS version FROM part), c AS (SELECT 'pkg' || (s_suppkey % 20)::VARCHAR AS name, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE (s_suppkey % 50)::VARCHAR END AS version FROM supplier) "
+        "SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE lower(p.ecosystem) = 'standard' AND c.name = lower(p.name) AND c.version IN ('', p.version))",
+        "curated_actors": "SELECT c_custkey, c_acctbal < 0 AS actor_downgraded, c_acctbal < -500 AS actor_allowed FROM customer",
+        "known_keys": "SELECT k::INTEGER AS k, owner FROM " + _values("k, owner", [(k, o) for k, (_, o) in enumerate(KEY_CASES) if o]),
+        "known_bad_hashes": "WITH w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(text, '[ \\n\\t]'))) AS word FROM documents), h AS (SELECT doc_id, lower(word) AS hash FROM w WHERE regexp_matches(lower(word), '^[0-9a-f]{32,}$') OR regexp_matches(lower(trim(word)), '^(sha256:|sha512:)?[''\"]*[0-9a-f]{32,}[''\"]*$')) SELECT doc_id, 'B-KNOWN-BAD-HASH' AS id, hash FROM h WHERE regexp_matches(hash, '^[02468ace]')",
+        "package_hashes": "SELECT k::INTEGER AS k, kind, place::INTEGER AS place, hash FROM " + _values("k, kind, place, hash", [(k, kind, i, h) for k, (_, _, a, b) in enumerate(HASHES) for kind, found in (("declared", a), ("candidate", b)) for i, h in enumerate(found)]),
     }
+
+
+_PARSED = [
+    ("a", "ipv4", "45.67.89.10"), ("a", "ipv4", "45.67.89.12"), ("b", "ipv4", "45.67.89.13"), ("b", "ipv6", "2a03:b0c0::1"), ("c", "domain", "evil.io"), ("c", "domain", "bad.evil.io"), ("d", "domain", "evil.io"), ("d", "domain", "x.evil.net"), ("d", "ipv4", "45.67.89.15"),
+    ("e", "email", "bad@evil.io"), ("e", "email", "y@evil.net"), ("f", "domain", "evil.org"), ("f", "ipv4", "45.67.89.16"), ("f", "ipv6", "2a03:b0c0::2"), ("g", "ipv4", "45.67.89.17"), ("g", "domain", "evil.com"), ("g", "ipv4", "45.67.89.18"), ("g", "email", "z@evil.com"),
+]

@@ -1 +1 @@
-
+"""Where indicators, lists, settings and files come from."""

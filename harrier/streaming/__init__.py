@@ -1 +1 @@
-
+"""The scans over streams."""

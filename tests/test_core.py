@@ -1,5 +1,4 @@
 import math
-import re
 from collections import Counter
 
 import pytest
@@ -9,7 +8,7 @@ from harrier.functions import allow, text
 from harrier.functions.catalogue import cwe, rules
 from harrier.functions.regex import example, required_literals, to_java
 from harrier.operators import detectors, iocs
-from harrier.operators.rules import scan, scan_package
+from harrier.operators.rules import scan
 
 
 def test_catalogue_has_every_rule():
@@ -20,8 +19,8 @@ def test_catalogue_has_every_rule():
 
 def test_needed_literals_are_in_examples():
     for r in rules():
-        needed = required_literals(r.pattern)
-        assert not needed or any(x in example(r.pattern) for x in needed), r.id
+        needed, fold = required_literals(r.pattern)
+        assert not needed or any(x.casefold() in example(r.pattern).casefold() if fold else x in example(r.pattern) for x in needed), r.id
 
 
 @pytest.mark.parametrize(("pattern", "value", "hit"), [(r"a\b", "aé", True), (r"a.b", "a\rb", True), (r"a\s", "a\x0b", False), (r"(?i)straſe", "STRAſE", True), (r"x[\S]", "x\x0b", True)])
@@ -54,7 +53,8 @@ def test_entropy(spark):
         return -sum(n / len(raw) * math.log2(n / len(raw)) for n in Counter(raw).values()) if raw else 0.0
 
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(text.byte_entropy(F.col("v"))).collect()]
-    assert all(abs(a - brute(b)) < 1e-9 for a, b in zip(got, values))
+    fast = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(text.entropy(F.col("v"))).collect()]
+    assert all(abs(a - brute(b)) < 1e-9 for a, b in zip(got, values)) and all(abs(a - b) < 1e-9 for a, b in zip(got, fast))
 
 
 def test_iocs_order_repeats_and_cap(spark):
@@ -74,7 +74,6 @@ def test_detect_and_verdict(spark):
     assert {"B-NAME-IMPERSONATE", "M-VOTES-ZERO", "M-GITHUB-STARS-ZERO", "M-COMMENTS-SECURITY", "P-NO-CHECKSUMS"} <= ids
     verdict = detectors.verdicts(found, ["name"]).first()
     assert verdict.malicious and verdict.path == "evidence"
-    assert scan_package(packages, ["name"]).where("class = 'evidence'").count() == 0
     off = spark.createDataFrame([(row[0], row[1], {"name-typosquat": False}, *row[3:])], detectors.SCHEMA)
     assert "B-NAME-IMPERSONATE" not in {r.id for r in detectors.detect(off, ["name"], 1_700_000_000).collect()}
 
@@ -87,4 +86,3 @@ def test_payload_needs_identity(spark):
 
 def test_homograph_and_skip(spark):
     assert spark.createDataFrame([("pаypal", "paypal")], "a string, b string").select(detectors.scripts(F.col("a")), detectors.scripts(F.col("b"))).first()[:] == (2, 1)
-    assert re.search("x", "x")
