@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 _WORD = "[0-9A-Za-z_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+#: A boundary where a word character follows, or where one is before.
+_BEFORE, _AFTER = f"(?<!{_WORD})", f"(?!{_WORD})"
 _SPACE = r"\t\n\f\r "
 
 
@@ -31,7 +33,7 @@ def to_java(pattern: str) -> str:
             elif two == r"\S":
                 out.append(r"\S\x0B" if inside else f"[^{_SPACE}]")
             elif two == r"\b" and not inside:
-                out.append(_BOUNDARY)
+                out.append(_BEFORE if _starts_word(pattern, at) else _AFTER if _ends_word(pattern, at - 2) else _BOUNDARY)
             else:
                 out.append(two)
             continue
@@ -59,26 +61,90 @@ def to_java(pattern: str) -> str:
     return "(?d)" + text
 
 
+def _is_word(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c == "_")
+
+
+def _starts_word(pattern: str, at: int) -> bool:
+    """Whether what follows begins with a word character, in all of its alternatives."""
+    rest = pattern[at:]
+    if group := re.match(r"\((?:\?:)?([^()\[\]\\]*)\)(?![?*{])", rest):
+        return all(x and _is_word(x[0]) and x[1:2] not in ("?", "*", "{") for x in group[1].split("|"))
+    return bool(rest) and _is_word(rest[0]) and rest[1:2] not in ("?", "*", "{") and "|" not in rest
+
+
+def _ends_word(pattern: str, at: int) -> bool:
+    """Whether what is before ends in a plain word character."""
+    return at > 0 and _is_word(pattern[at - 1]) and pattern[at - 2 : at - 1] != "\\" and "|" not in pattern
+
+
 def _multiline(pattern: str) -> bool:
     flags = re.match(r"\(\?([a-z]+)\)", pattern)
     return bool(flags and "m" in flags[1])
 
 
+#: Texts that a run of a pattern may be spelled in before it counts as open.
+_SPELLINGS = 48
+
+
+def _spellings(op: object, arg: object) -> set[str] | None:
+    """All texts that a piece of a pattern matches, if they are few; None if not."""
+    if op is C.LITERAL:
+        return {chr(arg)}
+    if op is C.AT:
+        return {""}
+    if op is C.IN:
+        out: set[str] = set()
+        for o, x in arg:
+            if o is C.LITERAL:
+                out.add(chr(x))
+            elif o is C.RANGE and x[1] - x[0] < 6:
+                out |= {chr(c) for c in range(x[0], x[1] + 1)}
+            elif o is C.CATEGORY and x is C.CATEGORY_SPACE:
+                out |= set("\t\n\f\r ")
+            else:
+                return None
+        return out if len(out) <= 8 else None
+    if op is C.SUBPATTERN:
+        return _all_spellings(arg[3])
+    if op is C.BRANCH:
+        parts = [_all_spellings(x) for x in arg[1]]
+        return set().union(*parts) if all(x is not None for x in parts) else None
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT) and tuple(arg[:2]) in ((0, 1), (1, 1)):
+        own = _all_spellings(arg[2])
+        return None if own is None else own | ({""} if arg[0] == 0 else set())
+    return None
+
+
+def _all_spellings(parsed: _parser.SubPattern) -> set[str] | None:
+    out = {""}
+    for op, arg in parsed:
+        own = _spellings(op, arg)
+        if own is None or len(out) * len(own) > _SPELLINGS:
+            return None
+        out = {a + b for a in out for b in own}
+    return out
+
+
 def _needs(parsed: _parser.SubPattern) -> list[str] | None:
     """Literals of which every match holds one, the longest to be had; None if there are none."""
     found: list[list[str]] = []
-    run = ""
+    run = {""}
 
     def close() -> None:
         nonlocal run
-        if run:
-            found.append([run])
-        run = ""
+        if "" not in run:
+            found.append(sorted(run))
+        run = {""}
 
     for op, arg in parsed:
-        if op is C.LITERAL:
-            run += chr(arg)
+        own = _spellings(op, arg)
+        if own is not None and len(run) * len(own) <= _SPELLINGS:
+            run = {a + b for a in run for b in own}
             continue
+        repeated = op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0
+        if repeated and (first := _all_spellings(arg[2])) is not None and len(run) * len(first) <= _SPELLINGS:
+            run = {a + b for a in run for b in first}  # what is repeated comes once at least
         close()
         if op is C.BRANCH:
             parts = [_needs(x) for x in arg[1]]
@@ -87,9 +153,8 @@ def _needs(parsed: _parser.SubPattern) -> list[str] | None:
         elif op is C.SUBPATTERN:
             if got := _needs(arg[3]):
                 found.append(got)
-        elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0] > 0:
-            if got := _needs(arg[2]):
-                found.append(got)
+        elif repeated and (got := _needs(arg[2])):
+            found.append(got)
     close()
     return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
 

@@ -24,20 +24,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of texts over all cores: one that is a file or two is dealt out; one that has splits enough is left where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _counted(found: DataFrame) -> DataFrame:
     return found.groupBy("id", "category", "class", "cwe", "points").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rule_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(scan(_table(spark, sf_dir, "documents"), ["doc_id"], "text", SECTIONS))
+    return _counted(scan(_spread(_table(spark, sf_dir, "documents")), ["doc_id"], "text", SECTIONS))
 
 
 def rule_scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(scan(_table(spark, sf_dir, "pages"), ["page_id"], "html", SECTIONS))
+    return _counted(scan(_spread(_table(spark, sf_dir, "pages")), ["page_id"], "html", SECTIONS))
 
 
 def rule_scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(scan(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", SECTIONS))
+    return _counted(scan(_spread(_table(spark, sf_dir, "conversations")), ["conv_id", "turn"], "text", SECTIONS))
 
 
 def _fixtures() -> list[tuple[int, str]]:
@@ -50,28 +56,28 @@ def rule_scan_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comment_lines_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", F.size(F.filter(text.lines(F.col("html")), text.is_comment)).cast("long").alias("comments"))
+    return _spread(_table(spark, sf_dir, "pages")).select("page_id", F.size(F.filter(text.lines(F.col("html")), text.is_comment)).cast("long").alias("comments"))
 
 
 def entropy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.round(text.entropy(F.col("text")), 6).alias("bits"))
+    return _spread(_table(spark, sf_dir, "documents")).select("doc_id", F.round(text.entropy(F.col("text")), 6).alias("bits"))
 
 
 def ipv4_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(to_java(iocs.IPV4)), F.lit(0)))).alias("ip"))
+    found = _spread(_table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(to_java(iocs.IPV4)), F.lit(0)))).alias("ip"))
     return found.select("doc_id", "ip", allow.ipv4_number(F.col("ip")).alias("number"), allow.version_like(F.col("ip")).alias("version_like"))
 
 
 def benign_hosts_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", text.host_of(F.col("url")).alias("host"), allow.benign_url(F.col("url")).alias("benign"))
+    return _spread(_table(spark, sf_dir, "pages")).select("page_id", text.host_of(F.col("url")).alias("host"), allow.benign_url(F.col("url")).alias("benign"))
 
 
 def iocs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iocs.extract(_table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"))
+    return iocs.extract(_spread(_table(spark, sf_dir, "documents")), ["doc_id"], F.col("text"))
 
 
 def long_hashes_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n\t]"))).alias("word"))
+    words = _spread(_table(spark, sf_dir, "documents")).select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n\t]"))).alias("word"))
     return words.select("doc_id", iocs.normal_hash(F.col("word")).alias("hash")).where("hash IS NOT NULL").distinct()
 
 
@@ -116,13 +122,13 @@ def finding_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings in documents, pages and conversations, by table and class."""
     found = None
     for name, key, column in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text")):
-        own = scan(_table(spark, sf_dir, name), [key], column, SECTIONS).select(F.lit(name).alias("table"), "class", "points")
+        own = scan(_spread(_table(spark, sf_dir, name)), [key], column, SECTIONS).select(F.lit(name).alias("table"), "class", "points")
         found = own if found is None else found.unionByName(own)
     return found.rollup("table", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
 
 
 def rule_lines_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(_table(spark, sf_dir, "documents"), ["doc_id"], "text", ("binaries",)).select("doc_id", "id", "class", "matched_line")
+    return scan(_spread(_table(spark, sf_dir, "documents")), ["doc_id"], "text", ("binaries",)).select("doc_id", "id", "class", "matched_line")
 
 
 RULE_CASES = [
@@ -162,13 +168,13 @@ def shell_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shell_assignments_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variables that the lines of pages would set if they were scripts."""
-    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.map_entries(shell.environment(shell.assignments(text.lines(F.col("html")))))).alias("v")).select("page_id", F.col("v.key").alias("name"), F.col("v.value").alias("value"))
+    return _spread(_table(spark, sf_dir, "pages")).select("page_id", F.explode(F.map_entries(shell.environment(shell.assignments(text.lines(F.col("html")))))).alias("v")).select("page_id", F.col("v.key").alias("name"), F.col("v.value").alias("value"))
 
 
 def shell_blobs_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All shell findings in documents and pages, read as scripts."""
-    docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("table"), F.col("doc_id").alias("key"), F.col("text").alias("content"))
-    pages = _table(spark, sf_dir, "pages").select(F.lit("pages").alias("table"), F.col("page_id").alias("key"), F.col("html").alias("content"))
+    docs = _spread(_table(spark, sf_dir, "documents")).select(F.lit("documents").alias("table"), F.col("doc_id").alias("key"), F.col("text").alias("content"))
+    pages = _spread(_table(spark, sf_dir, "pages")).select(F.lit("pages").alias("table"), F.col("page_id").alias("key"), F.col("html").alias("content"))
     return shell.analyse(docs.unionByName(pages), "content", "found").select("table", "key", F.explode("found.id").alias("id"))
 
 
@@ -192,12 +198,12 @@ def _seen_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matcher.match_text(_table(spark, sf_dir, "documents"), ["doc_id"], "text", _seen_addresses(spark, sf_dir))
+    found = matcher.match_text(_spread(_table(spark, sf_dir, "documents")), ["doc_id"], "text", _seen_addresses(spark, sf_dir))
     return found.select("doc_id", "type", "value", "class", "line_number", "col_start", "matched_line", F.array_join("context_before", "\n").alias("before"), F.array_join("context_after", "\n").alias("after"))
 
 
 def match_text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = matcher.match_text(_table(spark, sf_dir, "pages"), ["page_id"], "html", _seen_addresses(spark, sf_dir))
+    found = matcher.match_text(_spread(_table(spark, sf_dir, "pages")), ["page_id"], "html", _seen_addresses(spark, sf_dir))
     return found.select("page_id", "type", "value", "line_number")
 
 
@@ -206,7 +212,7 @@ def file_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minified_lines_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _table(spark, sf_dir, "pages").select("page_id", F.explode(matcher.lines_of(F.col("html"))).alias("line"))
+    each = _spread(_table(spark, sf_dir, "pages")).select("page_id", F.explode(matcher.lines_of(F.col("html"))).alias("line"))
     return each.where(matcher.is_minified(F.col("line"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -313,7 +319,7 @@ def known_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def known_bad_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hash-like words of documents that a list of hashes (those that begin with an even digit) names."""
     words = F.filter(F.array_distinct(F.split("text", r"[ \n\t]")), lambda w: iocs.normal_hash(w).isNotNull())
-    docs = _table(spark, sf_dir, "documents").select("doc_id", words.alias("hashes"))
+    docs = _spread(_table(spark, sf_dir, "documents")).select("doc_id", words.alias("hashes"))
     bad = iocs.hash_list(docs.select(F.explode("hashes").alias("value")).where(F.lower("value").rlike("^[02468ace]")))
     return iocs.known_bad(docs, ["doc_id"], F.col("hashes"), bad).select("doc_id", "id", F.lower("matched_line").alias("hash"))
 
