@@ -94,11 +94,13 @@ SELECT doc_id, text, lang, source, n_chars, epoch::INTEGER AS epoch, n_tokens, r
 
 
 _RHO = "CASE WHEN sum((n - 1) * {m} * (1 - {m})) > 0 THEN least(greatest((sum(n * (k / n - {m}) * (k / n - {m})) - sum({m} * (1 - {m}))) / sum((n - 1) * {m} * (1 - {m})), %s), %s) ELSE %s END" % hostrep.RHO
+#: The incomplete beta function as a power series, with all the terms that count where x is at most the mean.
+_SERIES = "exp({a} * ln({x}) + {b} * ln(1 - {x}) - ln({a}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b})) * list_sum(list_transform(range(0, 3000), lambda i: exp(lgamma({a} + {b} + i) - lgamma({a} + {b}) - lgamma({a} + 1 + i) + lgamma({a} + 1) + i * ln({x}))))"
 _TWO = "array_to_string(list_slice(string_split(host, '.'), -2, -1), '.')"
 _IN = ", ".join(f"'{x}'" for x in hostrep.TWO_LABEL_SUFFIXES)
 
 HOST_REPUTATION = rf"""
-WITH p AS (SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '{hostrep.HOST}', 1)), '\.+$', ''), '') AS host FROM pages),
+WITH RECURSIVE p AS (SELECT page_id, url, nullif(regexp_replace(lower(regexp_extract(url, '{hostrep.HOST}', 1)), '\.+$', ''), '') AS host FROM pages),
 q AS (SELECT *, CASE WHEN regexp_matches(host, '^\[|^[0-9.]+$') THEN host WHEN {_TWO} IN ({_IN}) THEN {_TWO} ELSE list_extract(string_split(host, '.'), -1) END AS suffix,
       CASE WHEN regexp_matches(host, '^\[|^[0-9.]+$') THEN host WHEN {_TWO} IN ({_IN}) THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE {_TWO} END AS domain FROM p),
 placed AS (SELECT *, coalesce(suffix, '') AS hs, coalesce(domain, '') AS hd, coalesce(host, '') AS hh FROM q),
@@ -111,8 +113,12 @@ s0 AS (SELECT s.*, m0 FROM s, o), s1 AS (SELECT hs, (k + r * m0) / (n + r) AS m1
 d0 AS (SELECT d.*, m1 FROM d JOIN s1 USING (hs)), d1 AS (SELECT hs, hd, (k + r * m1) / (n + r) AS m2 FROM d0, (SELECT 1 / ({_RHO.format(m="m1")}) - 1 AS r FROM d0)),
 h0 AS (SELECT h.*, m2 FROM h JOIN d1 USING (hs, hd)), strength AS (SELECT 1 / ({_RHO.format(m="m2")}) - 1 AS r FROM h0),
 j AS (SELECT placed.*, coalesce(h.n, 0) AS n, coalesce(h.k, 0) AS k, coalesce(m2, m1, m0) AS m, r FROM placed LEFT JOIN h USING (hs, hd, hh) LEFT JOIN d1 USING (hs, hd) LEFT JOIN s1 USING (hs), o, strength),
-ab AS (SELECT *, (k + r * m) / (n + r) AS mean, n + r AS t FROM j),
-res AS (SELECT *, round(greatest(mean - {hostrep.Z} * sqrt(mean * (1 - mean) / (t + 1)), 0), {hostrep.DIGITS}) AS bound FROM ab)
+ab AS (SELECT *, (k + r * m) / (n + r) AS mean, greatest(k + r * m, {hostrep.LEAST}) AS pa, greatest(n - k + r * (1 - m), {hostrep.LEAST}) AS pb FROM j),
+pairs AS MATERIALIZED (SELECT DISTINCT pa, pb FROM ab),
+search AS (SELECT pa, pb, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM pairs
+  UNION ALL SELECT pa, pb, CASE WHEN cdf < {hostrep.TAIL} THEN mid ELSE lo END, CASE WHEN cdf < {hostrep.TAIL} THEN hi ELSE mid END, step + 1
+  FROM (SELECT *, CASE WHEN mid <= pa / (pa + pb) THEN {_SERIES.format(x="mid", a="pa", b="pb")} ELSE 1 - {_SERIES.format(x="(1 - mid)", a="pb", b="pa")} END AS cdf FROM (SELECT *, (lo + hi) / 2 AS mid FROM search WHERE step < {hostrep.STEPS}))),
+res AS (SELECT ab.*, round((lo + hi) / 2, {hostrep.DIGITS}) AS bound FROM ab JOIN search USING (pa, pb) WHERE step = {hostrep.STEPS})
 SELECT page_id, url, host, domain, suffix, n::BIGINT AS host_labelled, k::BIGINT AS host_good, round(mean, {hostrep.DIGITS}) AS reputation, bound AS reputation_bound, bound >= {hostrep.KEEP_AT} AS keep FROM res
 """
 
