@@ -43,7 +43,8 @@ def extension(path: Column) -> Column:
 def listed(spark: SparkSession, root: str, options: Options = Options()) -> DataFrame:
     """(path, length, content): the files under a folder that the options let through, paths relative to it.
 
-    Sizes and folders are judged before contents are read. The folder itself is never skipped, whatever its name.
+    Sizes and folders are judged before contents are read. The folder itself is never skipped, whatever its name. Spark lists no
+    empty files; they could have no evidence.
     """
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(base).where(F.col("length") <= (options.max_bytes if options.max_bytes > 0 else MAX_BYTES))
@@ -64,7 +65,7 @@ def listed(spark: SparkSession, root: str, options: Options = Options()) -> Data
 
 
 def judged(files: DataFrame, binaries: bool = False) -> DataFrame:
-    """Adds is_binary and scanned: documents are not scanned, and binaries only if asked for; empty files count as scanned."""
+    """Adds is_binary and scanned: documents are not scanned, and binaries only if asked for."""
     kind = F.coalesce(matcher.is_binary(F.col("content")) & (F.length("content") > 0), F.lit(False))
     return files.withColumn("is_binary", kind).withColumn("scanned", (F.length("content") == 0) | (~matcher.is_document(F.col("path")) & (~F.col("is_binary") | F.lit(binaries))))
 
