@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators import matcher
 
 MAX_BYTES = 10 << 20
-SKIPPED = (".git", ".hg", ".svn", "node_modules", "vendor", ".vulnetix")
+SKIPPED = (".git", ".hg", ".svn", "node_modules", "vendor")
 EVIDENCE = "path string, is_binary boolean, type string, value string, class string, line_number int, col_start int, col_end int, byte_offset bigint, matched_line string, context_before array<string>, context_after array<string>, name string, labels array<string>"
 
 
