@@ -126,11 +126,11 @@ def mix(
     plans = F.broadcast(spark.createDataFrame(rows, "h_p string, h_supply long, h_epochs long, h_budget double, h_parts array<struct<t0:double,t1:double,a:double,b:double,done:double>>"))
 
     def positioned(df: DataFrame, tokens_before: str) -> DataFrame:
-        """Adds h_position to rows with source and epoch; those beyond the demand of their source are left out."""
+        """Adds h_position to rows with source and epoch; null for those beyond the demand of their source."""
         df = df.withColumn("h_x", (F.col("h_epoch") * F.col("h_supply") + F.col(tokens_before)) / F.col("h_budget"))
         # the stretch in which the demand reaches x, then the root of done + a u + (b - a) u^2 / (2 (t1 - t0)) = x
         reached = F.filter("h_parts", lambda p: (p.done <= F.col("h_x")) & (p.done + (p.a + p.b) / 2 * (p.t1 - p.t0) > F.col("h_x")))
-        df = df.withColumn("h_part", F.try_element_at(reached, F.lit(-1))).where("h_part IS NOT NULL")
+        df = df.withColumn("h_part", F.try_element_at(reached, F.lit(-1)))
         p, rest = F.col("h_part"), F.col("h_x") - F.col("h_part.done")
         slope = (p.b - p.a) / (p.t1 - p.t0)
         root = 2 * rest / (p.a + F.sqrt(F.greatest(p.a * p.a + 2 * slope * rest, F.lit(0.0))))
@@ -147,20 +147,21 @@ def mix(
     running = running.join(starts.select(F.col("h_source").alias("h_s"), F.col("h_bucket").alias("h_b"), "h_start"), F.col("h_source").eqNullSafe(F.col("h_s")) & (F.col("h_bucket") == F.col("h_b")))
     running = running.join(plans, F.col("h_source").eqNullSafe(F.col("h_p"))).withColumn("h_before", F.col("h_start") + F.col("h_in"))
     running = running.withColumn("h_epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.col("h_epochs") - 1, F.lit(0)).cast("int"))))
-    running = positioned(running, "h_before").withColumn("h_to", F.least(F.floor(F.col("h_position") * partitions), F.lit(partitions - 1)).cast("int"))
-    # where each source, epoch and bucket enters each partition: the first hash and the tokens before it
+    running = positioned(running, "h_before").withColumn("h_to", F.when(F.col("h_position").isNotNull(), F.least(F.floor(F.col("h_position") * partitions), F.lit(partitions - 1))).cast("int"))
+    # where each source, epoch and bucket enters each partition, and (null) where demand ends: the first hash and the tokens
+    # before it; without that end, the rest of a bucket would be moved to the last partition only to be left out there
     cuts = running.groupBy("h_source", "h_bucket", "h_epoch", "h_to").agg(F.min(F.struct("h_hash", "h_before")).alias("h_cut"))
-    cuts = saved(cuts.groupBy(F.col("h_source").alias("h_s"), F.col("h_bucket").alias("h_b"), "h_epoch").agg(F.array_sort(F.collect_list(F.struct(F.col("h_cut.h_hash").alias("hash"), F.col("h_cut.h_before").alias("before"), F.col("h_to").alias("to")))).alias("h_cuts")))
+    cuts = saved(cuts.groupBy(F.col("h_source").alias("h_s"), F.col("h_bucket").alias("h_b"), "h_epoch").agg(F.array_sort(F.collect_list(F.struct(F.col("h_cut.h_hash").alias("hash"), F.col("h_cut.h_before").alias("before"), F.col("h_to").alias("to")))).alias("h_cuts")).where("h_cuts[0].to IS NOT NULL"))
 
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], *[F.col(f"`{c}`").alias(f"h_{c}") for c in ("doc_id", "text") if c not in columns], F.col("source").cast("string").alias("h_source"), token_count().alias("h_n"), _hash(seed).alias("h_hash"))
     doc_id, text = (f"c{columns.index(c)}" if c in columns else f"h_{c}" for c in ("doc_id", "text"))
-    placed = own.join(cuts, F.col("h_source").eqNullSafe(F.col("h_s")) & (bucket == F.col("h_b"))).withColumn("h_cut", F.element_at(F.filter("h_cuts", lambda c: c.hash <= F.col("h_hash")), -1)).where("h_cut IS NOT NULL")
+    placed = own.join(cuts, F.col("h_source").eqNullSafe(F.col("h_s")) & (bucket == F.col("h_b"))).withColumn("h_cut", F.element_at(F.filter("h_cuts", lambda c: c.hash <= F.col("h_hash")), -1)).where("h_cut.to IS NOT NULL")
     kept = [f"c{k}" for k in range(len(columns))] + [f"h_{c}" for c in ("doc_id", "text") if c not in columns]
     placed = placed.select(*kept, "h_source", "h_n", F.unhex("h_hash").alias("h_hash"), "h_epoch", bucket.alias("h_bucket"), F.col("h_cut.to").alias("h_to"), F.col("h_cut.before").alias("h_before"))
     moved = placed.repartitionById(partitions, F.col("h_to"))
     # all rows of a hash go where its first token is, so the sum is whole
     since = Window.partitionBy("h_to", "h_source", "h_epoch", "h_bucket").orderBy("h_hash", doc_id, text).rowsBetween(Window.unboundedPreceding, -1)
     moved = moved.withColumn("h_tokens", F.col("h_before") + F.coalesce(F.sum("h_n").over(since), F.lit(0))).join(plans, F.col("h_source").eqNullSafe(F.col("h_p")))
-    ordered = positioned(moved, "h_tokens").sortWithinPartitions("h_position", "h_hash", "h_epoch")
+    ordered = positioned(moved, "h_tokens").where("h_position IS NOT NULL").sortWithinPartitions("h_position", "h_hash", "h_epoch")
     out = [F.col(f"c{k}").alias(c) for k, c in enumerate(columns)]
     return ordered.select(*out, *([F.col("h_epoch").alias("epoch"), F.col("h_n").alias("n_tokens"), F.col("h_position").alias("position")] if report else []))
