@@ -3,8 +3,10 @@
 A document is the set of its word n-grams. Grams are first counted by hash range, so their document frequencies are exact.
 Grams of one document only cannot overlap and stay where they were counted. What is left is gathered per document, put in the
 global order (rarest first, then by hash) and cut to the prefix that any partner must share a gram with. Documents that share
-prefix grams form blocks. The global order is cut into fragments: in a block, the overlaps of every pair are counted in each
-fragment separately and summed per pair.
+a prefix gram, and whose sizes and places of that gram leave room for a partner in its list, form blocks. ``ngram_join`` cuts the
+global order into fragments: in a block, the overlaps of every pair are counted in each fragment separately and summed per pair.
+Classes and numbers of links need no list of pairs, which grows with the square of a class: there a block's documents are cut into
+slabs, the overlaps of two slabs are counted in full at one place, and only sums per document and a spanning forest leave it.
 
 Documents with the same word sequence are one node throughout, so a thousand copies cost as much as one. Word sequences are
 told apart by a 64-bit hash, and grams by 40 bits and the number of their hash range: of 10 billion different texts, about 3
@@ -36,12 +38,17 @@ PACK_GRAMS = 1_000_000
 #: Fragments in which a block's overlaps are counted separately, at least, and grams in a fragment of a larger block.
 BLOCK_FRAGMENTS = 2
 BLOCK_GRAMS = 4_000_000
+#: Grams of a slab, documents of a block that are compared with those of each other slab: a block has up to SLABS slabs of about
+#: SLAB_GRAMS, for the sake of all cores, and more only where a slab would exceed SLAB_MOST.
+SLAB_GRAMS = 400_000
+SLAB_MOST = 1_500_000
+SLABS = 12
 #: Low bits of a gram's hash that travel; the fragment supplies the rest.
 LOW_BITS = 40
 LOW_BYTES = LOW_BITS // 8
 #: Bits of a gram's place in its fragment, beside the low bits of its hash in one 64-bit number.
 PLACE_BITS = 64 - LOW_BITS
-#: Pairs held at once while a fragment counts.
+#: Pairs held at once while a fragment or two slabs count.
 COUNT_PAIRS = 1_000_000
 
 
@@ -266,8 +273,8 @@ def _survivors(shared: DataFrame, threshold: float, width: int) -> DataFrame:
     return shared.mapInArrow(run, "key long, size int, prefix int, have int, grams binary, rarity binary")
 
 
-def _prefix_edges(survivors: DataFrame, partitions: int, width: int) -> DataFrame:
-    """Edges (a, b) from each prefix gram's least document to its others: whoever shares a prefix gram is connected."""
+def _prefix_edges(survivors: DataFrame, threshold: float, partitions: int, width: int) -> DataFrame:
+    """Edges (a, b) that connect all documents that may be near: each prefix gram's list in the order of size, cut where no pair can reach across."""
 
     @lean
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,30 +284,51 @@ def _prefix_edges(survivors: DataFrame, partitions: int, width: int) -> DataFram
                 continue
             place = np.arange(len(grams)) - np.repeat(np.cumsum(counts) - counts, counts)
             prefix = place < np.repeat(batch.column("prefix").to_numpy(), counts)
-            keys, grams = np.repeat(batch.column("key").to_numpy(), counts)[prefix], grams[prefix]
+            keys, sizes, rest = (np.repeat(x, counts)[prefix] for x in (batch.column("key").to_numpy(), batch.column("size").to_numpy(), counts))
+            grams, rest = grams[prefix], (rest - place[prefix]).astype(np.int32)
             bucket = (tokens.mix(grams.copy()) % U64(partitions)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, keys, grams = bucket[order], keys[order], grams[order]
+            bucket, keys, sizes, rest, low = bucket[order], keys[order], sizes[order], rest[order], _low(grams[order], width)
             cuts = np.flatnonzero(np.diff(bucket)) + 1
             spans = list(zip(np.r_[0, cuts], np.r_[cuts, len(bucket)]))
-            yield batch_of(bucket=bucket[[a for a, _ in spans]], keys=binary(keys[a:b].tobytes() for a, b in spans), grams=binary(_low(grams[a:b], width).tobytes() for a, b in spans))
+            yield batch_of(bucket=bucket[[a for a, _ in spans]], **{k: binary(x[a:b].tobytes() for a, b in spans) for k, x in (("keys", keys), ("sizes", sizes), ("rest", rest), ("grams", low))})
 
     @lean
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_bucket(batches):
-            keys, grams = numbers(rows["keys"], "<i8")[0], _unpack(rows["grams"], width)
-            order = np.lexsort((keys, grams))
-            keys, grams = keys[order], grams[order]
-            begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
-            least = np.repeat(keys[begin], np.diff(np.r_[begin, len(grams)]))
-            pairs = np.unique(np.stack([least, keys], 1)[least != keys], axis=0)
+            pairs = _linked(numbers(rows["keys"], "<i8")[0], _unpack(rows["grams"], width), numbers(rows["sizes"], "<i4")[0], numbers(rows["rest"], "<i4")[0], threshold)
             if len(pairs):
                 yield batch_of(a=pairs[:, 0].copy(), b=pairs[:, 1].copy())
 
-    packed = survivors.mapInArrow(pack, "bucket int, keys binary, grams binary")
+    packed = survivors.mapInArrow(pack, "bucket int, keys binary, sizes binary, rest binary, grams binary")
     return exchange(packed, partitions).mapInArrow(link, "a long, b long")
 
 
+def _linked(keys: np.ndarray, grams: np.ndarray, sizes: np.ndarray, rest: np.ndarray, threshold: float) -> np.ndarray:
+    """Edges (least key, key) of the documents of each gram that may be near; ``rest``: a document's grams from this one on.
+
+    Two near documents share no more than the lesser ``rest`` at the first gram they share, which bounds the size of a partner by
+    rest * (1 + threshold) / threshold - size. So no pair is lost, if its first gram's list, in the order of size, is only cut
+    where nobody before the cut can have a partner as large as the next.
+    """
+    order = np.lexsort((keys, sizes, grams))
+    keys, grams, sizes = keys[order], grams[order], sizes[order].astype(np.float64)
+    most = rest[order] * ((1 + threshold) / threshold) - sizes + 1e-6
+    for _ in range(2):  # without those for whom even the least of the list is too large
+        begin = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]][: len(grams)])
+        length = np.diff(np.r_[begin, len(grams)])
+        stay = (most >= np.repeat(sizes[begin], length)) & np.repeat(length > 1, length)
+        keys, grams, sizes, most = keys[stay], grams[stay], sizes[stay], most[stay]
+    if not len(keys):
+        return np.zeros((0, 2), np.int64)
+    same = grams[1:] == grams[:-1]
+    apart = np.cumsum(np.r_[False, ~same]) * float(1 << 36)  # beyond any size: one running maximum for all lists
+    reach = np.maximum.accumulate(np.minimum(most, sizes / threshold + 1e-6) + apart) - apart
+    begin = np.flatnonzero(np.r_[True, ~(same & (reach[:-1] >= sizes[1:] - 1e-3))])
+    least = np.repeat(np.minimum.reduceat(keys, begin), np.diff(np.r_[begin, len(keys)]))
+    return np.unique(np.stack([least, keys], 1)[least != keys], axis=0)
+
+
 def _count(node: np.ndarray, sizes: np.ndarray, have: np.ndarray, gram: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, overlap) of all pairs of nodes that share a gram here; ``gram`` tells blocks apart, ``node`` ascends.
 
@@ -427,12 +455,128 @@ def _pairs(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions
     return total.select("a", "b", (F.col("overlap") / (F.col("sizes") - F.col("overlap"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of a[k] and b[k] in ``root``, where each node points at its tree's least node."""
+    while True:
+        a, b = root[a], root[b]
+        differ = a != b
+        if not differ.any():
+            return
+        a, b = a[differ], b[differ]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root[:] = up
+
+
+def _compare(unit: np.ndarray, side: np.ndarray, sizes: np.ndarray, node: np.ndarray, gram: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The near pairs (a, b) of nodes of the same unit, some at a time; nodes are in the order of unit and side.
+
+    ``node`` and ``gram``: the grams of all nodes, by node; a gram in two units is two grams. A node of side 0 meets all others of its
+    unit, one of side 1 those of side 2. Overlaps are counted in full, for some nodes with all that they may meet at once.
+    """
+    first = np.searchsorted(unit, unit)
+    widths = np.searchsorted(unit, unit, "right") - first
+    order = np.argsort(gram, kind="stable")
+    node, gram = node[order], gram[order]
+    begin = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]][: len(gram)])
+    length = np.diff(np.r_[begin, len(gram)])
+    del gram, order
+    if not len(begin):
+        return
+    sides = side[node]
+    lower = np.add.reduceat(sides != 2, begin)
+    end = np.repeat(begin + length, length)
+    start = np.where(sides == 0, np.arange(1, len(node) + 1), np.where(sides == 1, np.repeat(begin + lower, length), end))
+    left = np.flatnonzero(end > start)
+    left = left[np.argsort(node[left], kind="stable")]
+    start, after, owner = start[left], (end - start)[left], node[left]
+    del end, sides, left
+    last = np.flatnonzero(np.r_[owner[1:] != owner[:-1], True][: len(owner)])
+    pairs, cells = np.cumsum(after), np.cumsum(widths[owner[last]])
+    k = lo = 0
+    while k < len(last):
+        k_from, k = k, max(k + 1, min(int(np.searchsorted(x, (x[at - 1] if at else 0) + COUNT_PAIRS, "right")) for x, at in ((pairs[last], k), (cells, k))))
+        hi = int(last[k - 1]) + 1
+        own = owner[last[k_from:k]]
+        base = np.cumsum(widths[own]) - widths[own]
+        n = after[lo:hi]
+        met = node[np.arange(int(n.sum())) + np.repeat(start[lo:hi] - (np.cumsum(n) - n), n)]
+        times = np.bincount(np.repeat((base - first[own])[np.searchsorted(own, owner[lo:hi])], n) + met, minlength=int(widths[own].sum()))
+        cell = np.flatnonzero(times)
+        at = np.searchsorted(base, cell, "right") - 1
+        a, b, overlap = own[at], cell - base[at] + first[own[at]], times[cell]
+        near = overlap / (sizes[a] + sizes[b] - overlap) >= threshold
+        if near.any():
+            yield a[near], b[near]
+        lo = hi
+
+
+def _links(survivors: DataFrame, blocks: DataFrame, threshold: float, partitions: int, width: int) -> DataFrame:
+    """Rows (key, root, links), for a key as often as its block has slabs: near documents met in a slab, and one that it is connected with there (or itself)."""
+
+    def counting(buckets: int) -> tuple:
+        @lean
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys, sizes, block, parts, other = (batch.column(x).to_numpy() for x in ("key", "size", "component", "parts", "other"))
+                slab = (tokens.mix(keys.view(U64).copy()) % parts.astype(U64)).astype(np.int64)
+                side = np.where(slab == other, 0, np.where(slab < other, 1, 2)).astype(np.uint8)
+                unit = tokens.mix(block.view(U64) + tokens.mix((np.minimum(slab, other) << 32 | np.maximum(slab, other)).view(U64)))
+                bucket = (unit % U64(buckets)).astype(np.int32)
+                grams = [x.as_buffer() for x in batch.column("grams")]
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                spans = [order[a:b] for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(order)])]
+                counts = np.array([len(x) // width for x in grams], "<u4")
+                fixed = (("keys", keys), ("sizes", sizes), ("units", unit), ("sides", side), ("counts", counts))
+                yield batch_of(bucket=bucket[[x[0] for x in spans]], **{k: binary(v[x].tobytes() for x in spans) for k, v in fixed}, grams=binary(b"".join(grams[i] for i in x) for x in spans))
+
+        @lean
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, rows in by_bucket(batches):
+                keys, sizes, unit, side = (numbers(rows[k], kind)[0] for k, kind in (("keys", "<i8"), ("sizes", "<i4"), ("units", "<u8"), ("sides", np.uint8)))
+                counts, grams = numbers(rows["counts"], "<u4")[0], _unpack(rows["grams"], width)
+                del rows
+                grams = tokens.mix(grams ^ np.repeat(tokens.mix(unit.copy()), counts))
+                order = np.lexsort((keys, side, unit))
+                keys, sizes, unit, side = keys[order], sizes[order].astype(np.int64), unit[order], side[order]
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order))
+                node = np.repeat(place, counts)
+                order = np.argsort(node, kind="stable")
+                node, grams = node[order], grams[order]
+                root, links = np.arange(len(keys)), np.zeros(len(keys), np.int64)
+                for a, b in _compare(unit, side, sizes, node, grams, threshold):
+                    links += np.bincount(a, minlength=len(keys)) + np.bincount(b, minlength=len(keys))
+                    _unite(root, a, b)
+                found = np.flatnonzero(links)
+                if len(found):
+                    yield batch_of(key=keys[found], root=keys[root[found]], links=links[found])
+
+        return split, count
+
+    home = blocks.withColumnRenamed("node", "key")
+    sums = survivors.select("key", "have").join(home, "key").groupBy("component").agg(F.sum("have").alias("total"))
+    parts = F.greatest(F.ceil(F.col("total") / SLAB_MOST), F.least(F.ceil(F.col("total") / SLAB_GRAMS), F.lit(SLABS)))
+    sums = saved(sums.select("component", "total", parts.cast("int").alias("parts")))
+    moved = sums.agg(F.sum(F.col("total") * F.col("parts"))).first()[0] or 0
+    buckets = max(partitions, math.ceil(moved / SLAB_GRAMS))
+    split, count = counting(buckets)
+    placed = survivors.join(saved(home.join(sums.select("component", "parts"), "component")), "key").select("key", "size", "component", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "grams")
+    return exchange(placed.mapInArrow(split, "bucket int, keys binary, sizes binary, units binary, sides binary, counts binary, grams binary"), min(buckets, partitions * 4)).mapInArrow(count, "key long, root long, links long")
+
+
 def _partitions(df: DataFrame, fragments: int) -> int:
     return min(fragments, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1) * 4)
 
 
-def key_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, key) of all documents with words, and the pairs (a, b, jaccard) of different keys at the threshold."""
+def _blocks(docs: DataFrame, n: int, threshold: float) -> tuple:
+    """(doc_id, key) of all documents with words, those that may have partners, the blocks (node, component) they form, and the numbers of partitions, of bytes a gram and of fragments."""
     spark = docs.sparkSession
     keys = saved(document_keys(docs, n))
     total = keys.agg(F.sum("grams")).first()[0] or 0
@@ -445,8 +589,21 @@ def key_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> t
 
     survivors = gather()
     release(spark)
-    blocks = components(_prefix_edges(survivors, partitions, width))
-    return keys.select("doc_id", "key"), saved(_pairs(survivors, blocks, threshold, partitions, width, fragments))
+    return keys.select("doc_id", "key"), survivors, components(_prefix_edges(survivors, threshold, partitions, width)), partitions, width, fragments
+
+
+def key_pairs(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key) of all documents with words, and the pairs (a, b, jaccard) of different keys at the threshold."""
+    keys, survivors, blocks, partitions, width, fragments = _blocks(docs, n, threshold)
+    return keys, saved(_pairs(survivors, blocks, threshold, partitions, width, fragments))
+
+
+def key_classes(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key) of all documents with words; of the keys in a pair at the threshold, their class (node, component) and in how many pairs they are (key, links). The pairs are not listed."""
+    keys, survivors, blocks, partitions, width, _ = _blocks(docs, n, threshold)
+    found = saved(_links(survivors, blocks, threshold, partitions, width))
+    release(docs.sparkSession)
+    return keys, components(found.select(F.col("root").alias("a"), F.col("key").alias("b"))), found.groupBy("key").agg(F.sum("links").alias("links"))
 
 
 def _check(n: int, threshold: float) -> None:
@@ -489,11 +646,10 @@ def near_duplicates(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD
     """
     _check(n, threshold)
     docs = docs.where("doc_id IS NOT NULL")
-    keys, pairs = key_pairs(docs, n, threshold)
+    keys, classes, links = key_classes(docs, n, threshold)
     documents_ = saved(keys.distinct())
     texts = documents_.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    links = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
-    near = saved(texts.join(components(pairs.select("a", "b")).withColumnRenamed("node", "key"), "key").join(links, "key"))
+    near = saved(texts.join(classes.withColumnRenamed("node", "key"), "key").join(links, "key"))
     least = near.groupBy("component").agg(F.min("rep").alias("class_id"))
     near = near.join(least, "component").select("key", "class_id", "links")
     judged = texts.join(near, "key", "left").select("key", F.coalesce("class_id", "rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
@@ -522,8 +678,7 @@ def deduplicate(docs: DataFrame, n: int = GRAM, threshold: float = THRESHOLD) ->
     (or null) with the same words, one stays. Documents without words all stay. Columns are those of the input. An empty table
     gives an empty result. doc_id must be a number, or text that reads as one, or null.
     """
-    keys, pairs = key_pairs(docs, n, threshold)
-    groups = components(pairs.select("a", "b"))
+    keys, groups, _ = key_classes(docs, n, threshold)
     grouped = keys.join(groups.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("component", "key").alias("component"))
     # a document that goes: not the least of its component; so few that the texts need not be moved to find them
     own = F.struct(F.col("doc_id").isNull(), "doc_id", "key")

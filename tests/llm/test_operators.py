@@ -47,6 +47,61 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert ngram_join.deduplicate(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_classes_without_a_list_of_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    family = [f"f{k}" for k in range(40)]
+    texts = [" ".join(w if rng.random() < 0.93 else f"x{rng.random()}" for w in family) for _ in range(60)]
+    texts += [" ".join(rng.choice("abcd") * 2 for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    pairs = {(a, b) for a, b, _ in brute_pairs(texts)}
+    for grams, most in ((1 << 30, 1 << 30), (300, 1 << 30), (300, 100)):  # one slab, some, many
+        monkeypatch.setattr(ngram_join, "SLAB_GRAMS", grams)
+        monkeypatch.setattr(ngram_join, "SLAB_MOST", most)
+        keys, classes, links = ngram_join.key_classes(docs(spark, texts))
+        key = {r.doc_id: r.key for r in keys.collect()}
+        low = {}
+        for k in sorted(key):
+            low.setdefault(key[k], k)
+        count = {}
+        for a, b in pairs:
+            if key[a] != key[b]:
+                for k in (a, b):
+                    count[k] = count.get(k, 0) + 1
+        assert {low[r.key]: r.links for r in links.collect()} == count and max(count.values()) > 20
+        assert {low[r.node] for r in classes.collect()} == set(count)
+        of = {low[r.node]: r.component for r in classes.collect()}
+        assert all(of[a] == of[b] for a, b in pairs if key[a] != key[b])
+        edges = len(pairs)
+        found = ngram_join._links(*_survivors_of(spark, texts), 0.5, 4, 6)
+        assert grams == 300 or found.count() <= len(set(key.values())) < edges / 2
+
+
+def _survivors_of(spark, texts):
+    _, survivors, blocks, *_ = ngram_join._blocks(docs(spark, texts), 3, 0.5)
+    return survivors, blocks
+
+
+def test_documents_that_cannot_be_near_form_no_block(spark):
+    passages = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(31)]
+    chain = [" ".join([passages[k], *(f"u{k}v{j}" for j in range(12)), passages[k + 1]]) for k in range(30)]
+    _, blocks = _survivors_of(spark, chain + [chain[0] + " more"])
+    assert blocks.count() == 2 and sum(r.links for r in ngram_join.near_duplicates(docs(spark, chain + [chain[0] + " more"])).collect()) == 2
+
+
+def test_linked_loses_no_pair():
+    rng = np.random.default_rng(3)
+    for threshold in (0.3, 0.5, 0.8):
+        sets = [rng.choice(60, rng.integers(1, 25), replace=False) for _ in range(60)]  # numbers are the global order
+        sets = [np.sort(x) for x in sets] + [np.unique(np.r_[x[rng.integers(0, 2) :], rng.integers(60)]) for x in sets[:20]]
+        place = [(k, g, len(x), len(x) - i) for k, x in enumerate(sets) for i, g in enumerate(x) if i <= len(x) - max(np.ceil(threshold * len(x) - 1e-9), 1)]
+        columns = [np.array(x) for x in zip(*place)]
+        edges = ngram_join._linked(columns[0].astype(np.int64), columns[1].astype(np.uint64), columns[2], columns[3], threshold)
+        root = np.arange(80)
+        if len(edges):
+            ngram_join._unite(root, edges[:, 0], edges[:, 1])
+        near = [(a, b) for a in range(80) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= threshold]
+        assert near and all(root[a] == root[b] for a, b in near)
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     bench = spark.createDataFrame([(1, item), (2, None), (3, item)], "item_id long, text string")
