@@ -80,6 +80,17 @@ def _survivors_of(spark, texts):
     return survivors, blocks
 
 
+def test_pipeline_drops_near_duplicates_without_a_list_of_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    def listed(*_):
+        raise AssertionError("pairs of a class were listed")
+
+    monkeypatch.setattr(ngram_join, "_pairs", listed)
+    texts = [" ".join(f"w{j}" for j in range(30)) + f" end{k}" for k in range(20)] + ["quite another text"]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs(spark, texts), "").collect()) == [0, 20]
+
+
 def test_documents_that_cannot_be_near_form_no_block(spark):
     passages = [" ".join(f"p{k}w{j}" for j in range(12)) for k in range(31)]
     chain = [" ".join([passages[k], *(f"u{k}v{j}" for j in range(12)), passages[k + 1]]) for k in range(30)]
