@@ -322,9 +322,11 @@ def _linked(keys: np.ndarray, grams: np.ndarray, sizes: np.ndarray, rest: np.nda
     if not len(keys):
         return np.zeros((0, 2), np.int64)
     same = grams[1:] == grams[:-1]
-    apart = np.cumsum(np.r_[False, ~same]) * float(1 << 36)  # beyond any size: one running maximum for all lists
-    reach = np.maximum.accumulate(np.minimum(most, sizes / threshold + 1e-6) + apart) - apart
-    begin = np.flatnonzero(np.r_[True, ~(same & (reach[:-1] >= sizes[1:] - 1e-3))])
+    # beyond any size: one running maximum for all lists; in whole numbers, as floats of many lists would round the sizes
+    apart = np.cumsum(np.r_[False, ~same]) << 33
+    reach = np.minimum(np.minimum(most, sizes / threshold + 1e-6) + 1e-3, float(1 << 32)).astype(np.int64)
+    reach = np.maximum.accumulate(reach + apart) - apart
+    begin = np.flatnonzero(np.r_[True, ~(same & (reach[:-1] >= sizes[1:].astype(np.int64)))])
     least = np.repeat(np.minimum.reduceat(keys, begin), np.diff(np.r_[begin, len(keys)]))
     return np.unique(np.stack([least, keys], 1)[least != keys], axis=0)
 

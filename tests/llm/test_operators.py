@@ -113,6 +113,14 @@ def test_linked_loses_no_pair():
         assert near and all(root[a] == root[b] for a, b in near)
 
 
+def test_linked_loses_no_pair_among_many_lists():
+    lists, keys = 1 << 19, np.arange(1 << 20)
+    grams = np.repeat(np.arange(lists, dtype=np.uint64), 2)
+    sizes, rest = np.tile([100, 161], lists), np.tile([87, 87], lists)  # 87 shared grams: jaccard 0.5
+    assert len(ngram_join._linked(keys, grams, sizes, rest, 0.5)) == lists
+    assert len(ngram_join._linked(keys, grams, sizes + np.tile([0, 1], lists), rest, 0.5)) == 0
+
+
 def test_decontamination(spark):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     bench = spark.createDataFrame([(1, item), (2, None), (3, item)], "item_id long, text string")
