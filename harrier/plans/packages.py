@@ -9,6 +9,8 @@ from ..operators import detectors, qualify
 from .samples import PACKAGES, Sample
 
 NOW = 1_700_000_000
+#: Tasks that packages are dealt out to, for each core.
+TASKS_PER_CORE = 4
 
 
 def sample_packages(spark: SparkSession, samples: list[Sample] = PACKAGES) -> DataFrame:
@@ -19,6 +21,8 @@ def sample_packages(spark: SparkSession, samples: list[Sample] = PACKAGES) -> Da
 def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A package per part, with the contents of the sample that its key falls on: package, sample, and the columns of ``detectors.SCHEMA``."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("package"), (F.col("p_partkey") % len(PACKAGES)).cast("int").alias("s_sample"))
+    # a file of millions of keys is one split, and judging a package is work: keys are dealt out before they become packages
+    parts = parts.repartition(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     own = sample_packages(spark)
     # as many rows as there are samples
     return parts.join(F.broadcast(own), F.col("s_sample") == F.col("sample")).drop("s_sample")

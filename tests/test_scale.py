@@ -26,3 +26,13 @@ def test_addresses_mentioned_twice_as_in_sql(spark, tmp_path, name):
     got = [tuple(r) for r in queries.queries()[name](spark, str(tmp_path)).select(*columns).collect()]
     # a line's carriage return is no part of it here
     assert sorted(got) == sorted(tuple(x.replace("\r", "") if isinstance(x, str) else x for x in r) for r in expected) and len(got) >= 4
+
+
+def test_packages_of_one_file_are_judged_on_all_cores(spark, tmp_path):
+    from harrier.plans import packages
+
+    spark.range(1, 5001).selectExpr("id AS p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    own = packages.packages(spark, str(tmp_path))
+    sizes = own.select("package").rdd.glom().map(len).collect()
+    assert sum(sizes) == 5000 and own.select("package").distinct().count() == 5000
+    assert len(sizes) >= 4 * spark.sparkContext.defaultParallelism and max(sizes) < 2 * 5000 / len(sizes)
