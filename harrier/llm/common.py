@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+from ..functions.batches import BATCH_BYTES, small_batches
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,12 +61,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return wrapped
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Long texts: Arrow batches are bounded by bytes, unless the session says otherwise. Workers then need the same memory for any texts."""
-    if spark.conf.get(BATCH_BYTES, None) in (None, "-1", "67108864", "67108864b", "64MB", "64m"):
-        spark.conf.set(BATCH_BYTES, str(8 << 20))
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

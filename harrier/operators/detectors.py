@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.batches import small_batches
 from ..functions.catalogue import cwe
 from ..functions.regex import holds, to_java
 from . import shell
@@ -372,6 +373,7 @@ def with_findings(packages: DataFrame, now: int, out: str = "findings") -> DataF
     A detector runs unless its capability is switched off; ``install-script`` switches all that looks at install scripts. Null
     texts and metadata find nothing. Nothing is shuffled.
     """
+    small_batches(packages.sparkSession)
     recipe, hooks, eco = _s("pkgbuild_content"), _s("install_script_content"), _s("ecosystem")
     runs, always = F.coalesce(F.col("pkgbuild_executes"), F.lit(False)), F.lit(True)
     own = packages.select("*", rule_candidates(recipe).alias("d_recipe"), rule_candidates(hooks).alias("d_hooks"), rule_candidates(_s("prior_pkgbuild_content")).alias("d_prior"))

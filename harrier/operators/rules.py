@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import allow, text
+from ..functions.batches import small_batches
 from ..functions.catalogue import EVIDENCE_POINTS, SECTIONS, Rule, cwe, rules
 from ..functions.literals import candidates
 from ..functions.regex import holds, to_java
@@ -95,6 +96,7 @@ def scan(df: DataFrame, keys: list[str], content: str, sections: Iterable[str],
     (nor suppressed for its rule); a rule that only comments match finds nothing, and one that matches across lines has an
     empty line. A null or empty text has no findings.
     """
+    small_batches(df.sparkSession)
     in_hook = F.lit(hook) if isinstance(hook, bool) else hook
     base = df.where(F.col(content) != "").select(*keys, F.col(content).alias("s_text"), in_hook.alias("s_hook"), F.col(ecosystem).alias("s_eco") if ecosystem else F.lit("").alias("s_eco"))
     base = base.withColumn("s_found", rule_candidates(F.col("s_text"))).where(F.size("s_found") > 0)

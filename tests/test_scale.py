@@ -36,3 +36,11 @@ def test_packages_of_one_file_are_judged_on_all_cores(spark, tmp_path):
     sizes = own.select("package").rdd.glom().map(len).collect()
     assert sum(sizes) == 5000 and own.select("package").distinct().count() == 5000
     assert len(sizes) >= 4 * spark.sparkContext.defaultParallelism and max(sizes) < 2 * 5000 / len(sizes)
+
+
+@pytest.mark.parametrize("query", [queries.rule_scan_pages, queries.rule_lines_documents])
+def test_rule_scans_bound_their_batches_by_bytes(spark, tmp_path, query):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    _tables(spark, tmp_path, [(0, "doas ls\n" + "é" * 100_000)], [(0, "", "doas ls\n" + "é" * 100_000)])
+    assert query(spark, str(tmp_path)).count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
