@@ -116,8 +116,8 @@ def url_host(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, HOST, 1), r"^\[|\]$", "")
 
 
-def _candidates(line: Column, without_ipv4: Column) -> Column:
-    """Array of (kind, key): what may be an indicator in a line, each once; more than is one in the end."""
+def _candidates(line: Column, without_ipv4: Column, kinds: set[str]) -> Column:
+    """Array of (kind, key): what may be an indicator in a line, each once; more than is one in the end. Only of ``kinds``, for the others are not looked up."""
     urls = F.when(F.contains(line, F.lit("://")), _tokens(line, URL))
     some = F.array().cast("array<struct<kind:string,key:string>>")
 
@@ -126,11 +126,11 @@ def _candidates(line: Column, without_ipv4: Column) -> Column:
 
     dotted = F.contains(line, F.lit("."))
     parts = [
-        of("url", F.transform(urls, F.lower)), of("domain", F.filter(F.transform(urls, lambda u: F.regexp_replace(F.lower(url_host(u)), r"\.\z", "")), lambda h: h != "")), F.when(dotted, of("domain", F.transform(_tokens(line, DOMAIN), F.lower))),
-        F.when(dotted & ~without_ipv4, of("ip", F.filter(_tokens(line, IPV4), lambda v: F.rlike(v, F.lit(QUAD))))),
-        F.when(F.rlike(line, F.lit("(?i)(?:^|[^0-9a-z_]|[0-9a-f]):[0-9a-f]*:|[0-9a-f]:")), of("ip6", F.filter(F.transform(_tokens(line, IPV6), F.lower), lambda v: F.length(v) - F.length(F.replace(v, F.lit(":"), F.lit(""))) >= 2))),
+        ("url", lambda: of("url", F.transform(urls, F.lower))), ("domain", lambda: of("domain", F.filter(F.transform(urls, lambda u: F.regexp_replace(F.lower(url_host(u)), r"\.\z", "")), lambda h: h != ""))), ("domain", lambda: F.when(dotted, of("domain", F.transform(_tokens(line, DOMAIN), F.lower)))),
+        ("ip", lambda: F.when(dotted & ~without_ipv4, of("ip", F.filter(_tokens(line, IPV4), lambda v: F.rlike(v, F.lit(QUAD)))))),
+        ("ip6", lambda: F.when(F.rlike(line, F.lit("(?i)(?:^|[^0-9a-z_]|[0-9a-f]):[0-9a-f]*:|[0-9a-f]:")), of("ip6", F.filter(F.transform(_tokens(line, IPV6), F.lower), lambda v: F.length(v) - F.length(F.replace(v, F.lit(":"), F.lit(""))) >= 2)))),
     ]
-    return F.array_distinct(F.concat(*[F.coalesce(p, some) for p in parts]))
+    return F.array_distinct(F.concat(some, *[F.coalesce(part(), some) for kind, part in parts if kind in kinds]))
 
 
 _GEOMETRY = re.compile(r"(?:^|[ \t])(?:d|points|transform)=(?:\\\"|[\"'])[^\"']*\Z")
@@ -182,19 +182,33 @@ def _places(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
         yield pd.DataFrame([find(*x) or (None, None, None) for x in zip(lines, kinds, keys)], columns=["kind", "value", "at"]).astype({"at": "Int32"})
 
 
+def held(indicators: DataFrame) -> tuple[set[str], bool]:
+    """Kinds of candidates that the set may know (``ip6`` if an address in it is one of IPv6), and whether its keys may be sent to all tasks: counted, not guessed."""
+    rows = indicators.groupBy("kind", F.contains("key", F.lit(":")).alias("colon")).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {"ip6" if r.kind == "ip" and r.colon else r.kind for r in rows}, sum(r.n for r in rows) * ROW_BYTES <= BROADCAST_BYTES
+
+
+def _once(indicators: DataFrame) -> DataFrame:
+    """The set, computed once: in the session's checkpoint folder, or with the executors where there is none."""
+    return indicators.checkpoint() if indicators.sparkSession.sparkContext.getCheckpointDir() else indicators.localCheckpoint()
+
+
 def small(indicators: DataFrame) -> bool:
     """Whether the set's keys may be sent to all tasks: counted, not guessed."""
-    return indicators.count() * ROW_BYTES <= BROADCAST_BYTES
+    return held(indicators)[1]
 
 
 def _hits(rows: DataFrame, keys: list[str], line: str, indicators: DataFrame) -> DataFrame:
     """(keys, m_at, kind, value, at, i): the indicators in each row's line, once each; ``m_at`` tells the lines of a file apart."""
-    narrow = rows.select(*keys, "m_at", F.explode(_candidates(F.col(line), F.col("m_no4"))).alias("c")).select(*keys, "m_at", F.col("c.kind").alias("m_kind"), F.col("c.key").alias("m_key"))
-    # IPv6 keys are put in canonical form; a mapped IPv4 address is none
-    six = narrow.where("m_kind = 'ip6'").withColumn("m_look", canonical_ip(F.col("m_key"))).where(F.contains("m_look", F.lit(":")))
-    looked = narrow.where("m_kind <> 'ip6'").withColumn("m_look", F.col("m_key")).unionByName(six)
+    kinds, few = held(indicators)
+    narrow = rows.select(*keys, "m_at", F.explode(_candidates(F.col(line), F.col("m_no4"), kinds)).alias("c")).select(*keys, "m_at", F.col("c.kind").alias("m_kind"), F.col("c.key").alias("m_key"))
+    looked = narrow.withColumn("m_look", F.col("m_key"))
+    if "ip6" in kinds:
+        # IPv6 keys are put in canonical form; a mapped IPv4 address is none
+        six = narrow.where("m_kind = 'ip6'").withColumn("m_look", canonical_ip(F.col("m_key"))).where(F.contains("m_look", F.lit(":")))
+        looked = looked.where("m_kind <> 'ip6'").unionByName(six)
     known = indicators.select(F.col("kind").alias("i_kind"), F.col("key").alias("i_key"))
-    known = F.broadcast(known) if small(indicators) else known
+    known = F.broadcast(known) if few else known
     met = looked.join(known, (F.when(F.col("m_kind") == "ip6", "ip").otherwise(F.col("m_kind")) == F.col("i_kind")) & (F.col("m_look") == F.col("i_key")), "left_semi")
     return met
 
@@ -208,6 +222,7 @@ def match_text(files: DataFrame, keys: list[str], content: str, indicators: Data
     keys; a token counts once in a line, where it is first.
     """
     context = context if context > 0 else CONTEXT_LINES
+    indicators = _once(indicators)
     p = F.col(path) if path else F.lit("")
     own = files.where(F.col(content) != "").where(file_tier(p) != "suppress")
     lines = own.select(*keys, is_noisy(p).alias("m_noisy"), F.posexplode(lines_of(F.col(content))).alias("m_at", "m_line"))

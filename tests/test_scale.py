@@ -44,3 +44,14 @@ def test_rule_scans_bound_their_batches_by_bytes(spark, tmp_path, query):
     _tables(spark, tmp_path, [(0, "doas ls\n" + "é" * 100_000)], [(0, "", "doas ls\n" + "é" * 100_000)])
     assert query(spark, str(tmp_path)).count() == 1
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+
+
+def test_matcher_computes_its_set_once_and_looks_for_its_kinds_only(spark, tmp_path):
+    _tables(spark, tmp_path, [(0, "at 45.67.89.10 http://45.67.89.10/x evil.io ::1:2")], [(0, "", "")])
+    own = queries.match_text_documents(spark, str(tmp_path))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 2 and "Union" not in plan
+    assert [(r.value, r.line_number) for r in own.collect()] == [("45.67.89.10", 1)]
+    # all kinds of a mixed set are still found
+    columns, expected = _oracle(tmp_path, "match_lines")
+    assert sorted(map(tuple, queries.match_lines(spark, "").select(*columns).collect())) == sorted(expected)
